@@ -128,7 +128,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 @functools.lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.multiply.accumulate(np.concatenate([[1], np.full(n, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, _BASE_INV))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, _BASE_INV))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
