@@ -17,7 +17,7 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
