@@ -74,9 +74,9 @@ def model_name(stem) -> Column:
 
 def train_context(model, looked_up=None) -> Column:
     """The training context of a model by its name; names with a slash are looked up."""
-    m = F.lower(col(model))
-    # Known name beginnings and their context lengths.
-    known = [("gpt-4-turbo", "128k"), ("gpt-4o", "128k"), ("gpt-3.5", "16k"), ("gemini-1.5", "1000k"), ("gemini-1.0", "32k"), ("claude-3", "200k")]
+    m = col(model)
+    # Beginnings of model names and the contexts they were trained on.
+    known = [("bigcode/starcoder2", "16k"), ("gpt-4-turbo", "128k"), ("gpt-4o-", "128k"), ("gpt-3.5-", "16k"), ("gemini-1.5-pro", "1000k"), ("gemini-1.5-flash", "1000k"), ("gemini-1.0-pro", "32k"), ("claude-3-", "200k")]
     out = F.when(m.startswith(known[0][0]), known[0][1])
     for k, v in known[1:]:
         out = out.when(m.startswith(k), v)
@@ -113,7 +113,32 @@ def big_file(files, sign) -> Column:
     return F.array_join(F.transform(F.array_sort(files), lambda f: F.concat(col(sign), F.lit(" current path: "), f["path"], F.lit("\n"), f["content"])), "")
 
 
+# The request for a description, and the marks around the part that is kept. {name} and {code} are filled in.
+DESC_HEAD, DESC_TAIL = "<desc_start>", "<desc_end>"
+ASK = 'Can you **briefly** describe the purpose, input, output, and procedure of "{name}"?'
+SKELETON = "1. **Purpose**: ...\n2. **Input**: ...\n3. **Output**: ...\n4. **Procedure**: ...\n"
+NOTES = (
+    "1. DO NOT reveal function names ({name}) and variable names\n"
+    "2. Start with <desc_start> and end with <desc_end>\n"
+    "3. Customize the description to differentiate it from other functions\n"
+)
+
+
 def annotation_prompt(name, code) -> Column:
-    """A request to describe a function, its instruction repeated after the code."""
-    ask = F.concat(F.lit("Describe what the function `"), col(name), F.lit("` does, without naming it or its identifiers, between <desc_start> and <desc_end>.\n"))
-    return F.concat(ask, F.lit(FENCE + "\n"), col(code), F.lit("\n" + FENCE + "\n"), ask, F.lit("Cover purpose, input, output and procedure.\n"), ask)
+    """The request to describe a function: question, code, question, skeleton, question, notes."""
+    form = f"{ASK}\n\n{FENCE}\n{{code}}\n{FENCE}\n\n{ASK}\n\nPlease follow format to complete the skeleton below:\n\n{DESC_HEAD}\n{SKELETON}{DESC_TAIL}\n\n{ASK}\n\nNotes:\n{NOTES}"
+    parts = [F.lit(form[a:b]) if x is None else col(x) for x, a, b in _cut_form(form, {"{name}": name, "{code}": code})]
+    return F.concat(*parts)
+
+
+def _cut_form(form: str, holes: dict):
+    """The form as (None, begin, end) stretches and (column, 0, 0) holes, in order."""
+    at = 0
+    while True:
+        found = min(((i, h) for h in holes if (i := form.find(h, at)) >= 0), default=None)
+        if found is None:
+            yield None, at, len(form)
+            return
+        yield None, at, found[0]
+        yield holes[found[1]], 0, 0
+        at = found[0] + len(found[1])

@@ -12,8 +12,9 @@ from haystrata.functions.provider import Provider, run_provider
 from haystrata.operators import context, curate, deps, graph, score
 from haystrata.streaming.resume import unfinished
 
+# The order of a prompt's parts, and the instruction that models are asked with.
 TEMPLATE = "instruction\ncode_context\ndescription\ninstruction"
-INSTRUCTION = "Based on the function description and code context, retrieve and repeat the exact described function from the code context in a code block wrapped by ```:\n"
+INSTRUCTION = "Based on the function description and code context, please retrieve and repeat the exact described function from the code context in a code block wrapped by ```:"
 CLEAN_MODES = ("none", "positional_padding", "no_padding")
 
 
@@ -29,8 +30,6 @@ def build_tasks(needles: DataFrame, files: DataFrame, context_size: int = 16 * 1
         raise ValueError(f"clean_mode must be one of {CLEAN_MODES}")
     if languages:
         needles, files = (x.where(F.col("language").isin(languages)) for x in (needles, files))
-    if clean_mode != "none":
-        files = files.withColumn("content", F.when(F.col("path").isNotNull(), F.col("content")))
     out = context.make_context(needles.where("description is not null"), files, context_size, count)
     if clean_mode != "none":
         cleaned = syntax.without_comments("code_context", "language")

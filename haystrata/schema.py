@@ -20,4 +20,4 @@ CRAWL = "repo_name string, repo_size bigint, repo_owner string, repo_url string,
 EVAL = "repo string, name string, needle_position double, is_best_similar boolean, best_similar_score double, best_target string, position struct<token_start:int,token_end:int>"
 # Line-comment signs and file suffixes by language.
 COMMENT_SIGN = {"python": "#", "java": "//", "typescript": "//", "rust": "//", "cpp": "//", "go": "//"}
-SUFFIXES = {"python": [".py"], "go": [".go"], "cpp": [".cpp", ".hpp", ".cc", ".cxx", ".c", ".h"], "java": [".java"], "typescript": [".ts", ".js"], "rust": [".rs"]}
+SUFFIXES = {"python": [".py"], "go": [".go"], "cpp": [".cpp", ".hpp", ".cc", ".hh", ".cxx", ".hxx", ".c", ".h"], "java": [".java"], "typescript": [".ts", ".js"], "rust": [".rs"]}

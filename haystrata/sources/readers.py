@@ -88,9 +88,11 @@ def read_results(spark: SparkSession, folder: str, min_bytes: int = 10 << 20, dd
 
 def model_context(configs: DataFrame) -> DataFrame:
     """model, train_size of a table of model configurations: the largest of the known length keys in thousands, else N/A."""
-    keys = [c for c in ("max_position_embeddings", "max_sequence_length", "seq_length", "max_seq_len", "model_max_length", "n_positions", "max_seq_length", "sliding_window") if c in configs.columns]
+    # Names that configurations give their longest context.
+    known = ["max_position_embeddings", "n_positions", "max_seq_len", "seq_length", "model_max_length", "max_sequence_length", "max_seq_length", "seq_len"]
+    keys = [c for c in known if c in configs.columns]
     most = F.greatest(*keys) if len(keys) > 1 else F.col(keys[0]) if keys else F.lit(None)
-    return configs.select("model", F.coalesce(F.concat((most / 1024).cast("int").cast("string"), F.lit("k")), F.lit("N/A")).alias("train_size"))
+    return configs.select("model", F.coalesce(F.concat((F.nullif(most, F.lit(0)) / 1024).cast("int").cast("string"), F.lit("k")), F.lit("N/A")).alias("train_size"))
 
 
 def crawl_filter(repos: DataFrame, commits: DataFrame, files: DataFrame, since: str = "2024-01-01", min_commits: int = 50, min_bytes: int = 65536, suffixes: list[str] | None = None, stars: int = 100) -> DataFrame:

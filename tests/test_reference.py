@@ -215,5 +215,7 @@ def test_names_and_small_columns(spark):
     assert one(spark, text.decode_chars(F.lit("104 233"))) == "hé"
     assert one(spark, text.drop_relative(F.lit("../a/./b"))) == "a/b"
     assert one(spark, text.line_slice(F.lit("a\nb\nc"), F.lit(1), F.lit(9))) == "b\nc"
-    assert one(spark, text.train_context(F.lit("gpt-4-turbo-x"))) == "128k"
+    assert one(spark, text.train_context(F.lit("gpt-4-turbo-x"))) == "128k" and one(spark, text.train_context(F.lit("gpt-4o"))) == "N/A"
+    ask = one(spark, text.annotation_prompt(F.lit("foo"), F.lit("x = 1")))
+    assert ask.count("\"foo\"?") == 3 and "\nx = 1\n" in ask and "(foo)" in ask
     assert [m["role"] for m in one(spark, text.messages(F.lit("u"), F.lit("")))] == ["user"]
