@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from haystrata.functions.text import tokens
 
-_GRAMS = "flatten(transform(sequence(1, 4), n -> if(size(w) < n, array(), transform(sequence(1, greatest(size(w) - n + 1, 1)), i -> struct(n as n, array_join(slice(w, i, n), ' ') as g)))))"
+#: Up to so many distinct n-grams of needles, about 100 MB, are sent to every executor; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
+
+
+def _grams(words: str = "w") -> Column:
+    """All n-grams of an array of words, n from 1 to 4, as (n, g). Words are read by position, so the work is linear in the array."""
+    of = [f"transform(slice({words}, 1, size({words}) - {n - 1}), (x, i) -> struct({n} as n, concat_ws(' ', {', '.join(f'get({words}, i + {k})' for k in range(n))}) as g))" for n in range(1, 5)]
+    return F.expr("concat(" + ", ".join(f"if(size({words}) < {n}, array(), {e})" for n, e in enumerate(of, 1)) + ")")
 
 
 def formula(h: str = "h", r: str = "r") -> Column:
@@ -22,15 +29,23 @@ def formula(h: str = "h", r: str = "r") -> Column:
     return F.expr(f"case when m1 = 0 then 0D else (case when {h} > {r} then 1D else exp(1 - {r} / cast({h} as double)) end) * exp({' + '.join(parts)}) end")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, if the scan has fewer. Large tables have more and are not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def similarity(replies: DataFrame, needles: DataFrame) -> DataFrame:
     """replies (rid, key, text) against the needles (nid, key, text) of the same key: (rid, nid, sim) of pairs with a common word.
 
-    Needle n-grams are the small side and join first, so of the replies' n-grams only matching ones are shuffled.
+    Up to BROADCAST_GRAMS needle n-grams go to every executor, so that of the replies' n-grams only matching ones are shuffled.
     """
-    a = replies.select("rid", "key", tokens("text").alias("w"))
+    a = _spread(replies.select("rid", "key", "text")).select("rid", "key", tokens("text").alias("w"))
     b = needles.select("nid", "key", tokens("text").alias("w"))
-    ref = b.select("nid", "key", F.size("w").alias("r"), F.explode(F.expr(_GRAMS)).alias("x")).groupBy("nid", "key", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("have"))
-    cand = a.select("rid", "key", F.size("w").alias("h"), F.explode(F.expr(_GRAMS)).alias("x")).select("rid", "key", "h", "x.n", "x.g")
+    ref = b.select("nid", "key", F.size("w").alias("r"), F.explode(_grams()).alias("x")).groupBy("nid", "key", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("have"))
+    cand = a.select("rid", "key", F.size("w").alias("h"), F.explode(_grams()).alias("x")).select("rid", "key", "h", "x.n", "x.g")
+    if ref.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        ref = F.broadcast(ref)
     hits = cand.join(ref, ["key", "n", "g"]).groupBy("rid", "h", "nid", "r", "n", "g", "have").agg(F.count(F.lit(1)).alias("got"))
     pairs = hits.groupBy("rid", "h", "nid", "r").agg(*[F.sum(F.when(F.col("n") == n, F.least("got", "have")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)])
     return pairs.select("rid", "nid", formula().alias("sim"))
