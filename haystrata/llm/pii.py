@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from haystrata.llm.boosting import Boosted
 from haystrata.llm.common import grouped, pieces
-from haystrata.llm.spans import Span, addresses, digest, digit_runs, emails, joined, luhn, phones
+from haystrata.llm.spans import Span, Taken, addresses, digest, digit_runs, emails, joined, luhn, phones
 
 KINDS = ("email", "ip", "card", "phone")
 #: Training examples of each kind, half of them positive.
@@ -134,20 +134,21 @@ def train(examples: int = EXAMPLES) -> dict[str, Boosted]:
 def all_spans(text: str, models: dict[str, Boosted]) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: base ones and the candidates that the models select. Both by kind as listed, then begin."""
     base = base_spans(text)
-    taken = list(base)
+    taken = Taken(base)
     scored = []
     by_kind: dict[str, list[Span]] = {}
     for s in proposals(text):
-        if not any(s[1] < y and x < s[2] for _, x, y in base):
+        if not taken.meets(s[1], s[2]):
             by_kind.setdefault(s[0], []).append(s)
     for kind, found in by_kind.items():
         p = models[kind].probability(np.array([describe(text, *s) for s in found], float))
         scored += [(-float(q), *s) for q, s in zip(p, found) if q >= models[kind].threshold]
     extra: list[Span] = []
     for _, kind, a, b in sorted(scored):
-        if not any(a < y and x < b for _, x, y in extra):
+        if not taken.meets(a, b):
+            taken.add(a, b)
             extra.append((kind, a, b))
-    return base, sorted(taken + extra, key=lambda s: (KINDS.index(s[0]), s[1]))
+    return base, sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 Span = tuple[str, int, int]  # kind, begin, end in code points, end exclusive
@@ -17,6 +18,26 @@ def digest(spans: list[Span]) -> str:
     return hashlib.sha256(joined(spans).encode()).hexdigest()
 
 
+class Taken:
+    """Disjoint stretches of a text in order; whether a further one meets any of them takes a binary search."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.parts: list[tuple[int, int]] = []
+        for a, b in sorted((a, b) for _, a, b in spans):
+            if self.parts and a < self.parts[-1][1]:
+                self.parts[-1] = (self.parts[-1][0], max(b, self.parts[-1][1]))
+            else:
+                self.parts.append((a, b))
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.parts, (b,)) - 1  # the last that begins before b
+        return i >= 0 and self.parts[i][1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """Takes a stretch that meets none."""
+        insort(self.parts, (a, b))
+
+
 _DOTTED = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)+")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -43,7 +64,7 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
         for i in range(0, len(parts) - 3, 4):
             four = parts[i : i + 4]
             b = a + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+            if all(len(q) <= 3 and int(q or "0") <= 255 for q in (p.lstrip("0") for p in four)):
                 yield a, b
             a = b + 1
 

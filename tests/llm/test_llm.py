@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -230,6 +232,21 @@ def test_pii(spark, docs, none):
     assert red[2] is None and "a@b.co" not in red[1] and "[EMAIL]" in red[1] and red[3] == rows[2][1]
     for a in ("a" * 200_000, "1" * 200_000, "+" * 50_000, "1." * 50_000):
         pii.base_spans(a)  # linear in very long runs
+    zeros = "0" * 6000 + "10.0.0.1 "
+    assert pii.base_spans(zeros) == [("ip", 0, len(zeros) - 1)]
+    many = "a@b.co 030 123 4567 " * 5000
+    base, every = pii.all_spans(many, pii.train())
+    assert len(base) == 5000 and len(every) >= 5000
+
+
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 8)), max_size=12), st.integers(0, 50), st.integers(1, 8))
+def test_taken_stretches(parts, a, n):
+    found = [("k", x, x + m) for x, m in parts]
+    taken = spans.Taken(found)
+    assert taken.meets(a, a + n) == any(a < y and x < a + n for _, x, y in found)
+    if not taken.meets(a, a + n):
+        taken.add(a, a + n)
+        assert taken.meets(a, a + n) and taken.parts == sorted(taken.parts)
 
 
 def test_boosted_trees_held_out():
