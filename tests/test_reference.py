@@ -8,7 +8,7 @@ from haystrata.functions import syntax, text
 from haystrata.functions.bleu import similarity
 from haystrata.functions.provider import Echo, backend, run_provider
 from haystrata.operators import context, curate, deps, graph, score
-from haystrata.plans import evaluate
+from haystrata.plans import evaluate, runs
 from haystrata.sources import readers, sinks
 from haystrata.streaming import resume
 
@@ -219,3 +219,30 @@ def test_names_and_small_columns(spark):
     ask = one(spark, text.annotation_prompt(F.lit("foo"), F.lit("x = 1")))
     assert ask.count("\"foo\"?") == 3 and "\nx = 1\n" in ask and "(foo)" in ask
     assert [m["role"] for m in one(spark, text.messages(F.lit("u"), F.lit("")))] == ["user"]
+
+
+def test_runs_on_files(spark, tmp_path):
+    body = "def foo(a):\n    b = a + 1\n    return b * 2\n"
+    data = {"python": [{"repo": "o/r", "commit_sha": "1", "entrypoint_path": "p", "topic": "t", "content": {"p/a.py": body, "p/b.py": body.replace("foo", "bar").replace("* 2", "- x")}, "dependency": {"p/a.py": [], "p/b.py": ["p/a.py"]}, "needles": [{"name": n, "start_line": 0, "end_line": 3, "start_byte": 0, "end_byte": len(body) - 1, "path": p, "description": d} for n, p, d in (("foo", "p/a.py", "adds"), ("bar", "p/b.py", "takes"))]}]}
+    (tmp_path / "d.json").write_text(json.dumps(data))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    class Right:
+        def generate_reply(self, q, **_):
+            with open(asked / str(hash(q)), "a") as f:
+                f.write("x")
+            return ["```python\n" + body + "```"]
+
+    folder = str(tmp_path / "results")
+    for _ in range(2):  # the second run has nothing left to ask
+        table = runs.evaluate_model(spark, "org/m", code_context_size=1000, result_dir=folder, dataset=str(tmp_path / "d.json"), make=Right)
+        assert sum(len(x.read_text()) for x in asked.iterdir()) == 2
+    out = sinks.output_name(folder, 1000, "org/m")
+    document = json.loads((tmp_path / "results" / "ntoken_1000" / "org_slash_m-SCORES.json").read_text())
+    assert document["org/m"]["scores"]["all"]["0.8"]["pass@1"] == 0.5 and "*all" in table
+    assert {r["name"]: r["best_target"] for r in document["org/m"]["results"]["python"]} == {"foo": "foo", "bar": "foo"}
+    assert (tmp_path / "results" / "ntoken_1000" / "org_slash_m-SCORES.json.bak").exists()
+    assert runs.score_file(spark, out, ignore_comments=True, dataset=str(tmp_path / "d.json"), mode="ignore") == table
+    with pytest.raises(ValueError):
+        runs.provider_maker("m", "no such")
