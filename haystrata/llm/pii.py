@@ -49,10 +49,10 @@ _HAS_DIGIT = re.compile(r"[0-9]{2}")
 def base_spans(text: str) -> list[Span]:
     """Base matches by kind as listed, then begin."""
     out = [("email", a, b) for a, b in emails(text)]
-    if _HAS_DIGIT.search(text) or "." in text:
+    if "." in text:
         out += [("ip", a, b) for a, b in addresses(text)]
-        out += [("card", a, b) for a, b, d in digit_runs(text) if 13 <= len(d) <= 19 and luhn(d)]
-        out += [("phone", a, b) for a, b, d in phones(text) if 9 <= len(d) <= 15]
+    out += [("card", a, b) for a, b, d in digit_runs(text) if 13 <= len(d) <= 19 and luhn(d)]
+    out += [("phone", a, b) for a, b, d in phones(text) if 9 <= len(d) <= 15]
     return out
 
 
