@@ -31,12 +31,13 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
+#: What a text must hold for a match (of keyed: in lower case, as its pattern ignores case), and the pattern.
 _LOOSE = {
-    "private_key": ("-----BEGIN ", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]{32,})-----END")),
-    "jwt": ("eyJ", re.compile(r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
-    "provider": ("_", re.compile(r"\b((?:ghp|gho|ghs|glpat|sk_live|rk_live|xoxb|xoxp|npm)[_-][A-Za-z0-9_-]{16,})")),
-    "url_login": ("://", re.compile(r"://[^\s/:@]{1,64}:([^\s/@:]{8,128})@")),
-    "keyed": ("key", re.compile(r"""(?:access|auth|client|private|signing|encryption)[_-]?key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})""", re.I | re.A)),
+    "private_key": (("-----BEGIN ",), re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]{32,})-----END")),
+    "jwt": (("eyJ",), re.compile(r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})")),
+    "provider": (("ghp", "gho", "ghs", "glpat", "sk_live", "rk_live", "xoxb", "xoxp", "npm"), re.compile(r"\b((?:ghp|gho|ghs|glpat|sk_live|rk_live|xoxb|xoxp|npm)[_-][A-Za-z0-9_-]{16,})")),
+    "url_login": (("://",), re.compile(r"://[^\s/:@]{1,64}:([^\s/@:]{8,128})@")),
+    "keyed": (("key",), re.compile(r"""(?:access|auth|client|private|signing|encryption)[_-]?key["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_=-]{16,})""", re.I | re.A)),
 }
 
 
@@ -54,7 +55,8 @@ def base_spans(text: str) -> list[tuple[Span, str]]:
 
 def loose_spans(text: str) -> list[tuple[Span, str]]:
     """Candidates of the loose kinds: the value's own span."""
-    return [((kind, m.start(1), m.end(1)), m[1]) for kind, (sign, pattern) in _LOOSE.items() if sign in text or kind == "keyed" and "KEY" in text for m in pattern.finditer(text)]
+    low = text.lower()
+    return [((kind, m.start(1), m.end(1)), m[1]) for kind, (signs, pattern) in _LOOSE.items() if any(s in (low if kind == "keyed" else text) for s in signs) for m in pattern.finditer(text)]
 
 
 def entropy(value: str) -> float:

@@ -2,7 +2,7 @@
 
 import random
 
-from haystrata.llm import pii
+from haystrata.llm import pii, secret_scan
 from test_llm import brute_pii
 
 
@@ -13,3 +13,15 @@ def test_pii_digits_set_apart():
     for _ in range(3000):
         t = "".join(rng.choice(["4 2 4 2 ", "4-2-", "+4 9 3 0 1 2 3", " ", "+", "a", "(", ")", "-", "7 ", "é"]) for _ in range(rng.randint(0, 14)))
         assert pii.base_spans(t) == brute_pii(t)
+
+
+def test_secret_key_spellings(spark):
+    value = "aB3dE5fG7hJ9kL1mN2pQ"
+    for name in ("accessKey", "clientKey", "privateKey", "Auth_Key", "ENCRYPTION-kEY", "signing_key"):
+        assert [k for (k, *_), _ in secret_scan.loose_spans(f'{name}: "{value}"')] == ["keyed"], name
+    for prefix in ("glpat-", "xoxb-", "npm-", "ghp_"):  # signs without an underscore
+        assert [k for (k, *_), _ in secret_scan.loose_spans(f"x {prefix}{value}")] == ["provider"], prefix
+    rows = [(1, f'accessKey: "{value}"', "a"), *[(10 + i, f"accessKey={value[::-1]}", s) for i, s in enumerate("abc")], (20, f"access_key={value[::-1]}", "d")]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got[1]["spans"] == "keyed:12:32" and got[1]["n_live"] == 1
+    assert got[20]["spans"] == "" and got[20]["n_live"] == 0 and got[20]["n_copied"] == 1  # copied by four owners
