@@ -111,14 +111,16 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     return np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) of every row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprint_table(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, the long columns of keep, fp long) of every row of docs."""
+    names = ["doc_id", *keep]
+    schema = pa.schema([(n, pa.int64()) for n in (*names, "fp")])
 
     def run(batches):
-        yield from grouped(batches, "text", schema, lambda b: {"doc_id": b.column(0), "fp": pa.array(fingerprints(b.column(1)).view(np.int64))})
+        yield from grouped(batches, "text", schema, lambda b: {n: b.column(n) for n in names} | {"fp": pa.array(fingerprints(b.column("text")).view(np.int64))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    columns = [F.col(n).cast("long").alias(n) for n in names]
+    return docs.select(*columns, F.col("text").cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in schema.names))
 
 
 # --- vantage-point search ---
@@ -263,15 +265,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_RO
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group: the one whose doc_id is the component_id.
+    """docs with exactly one row of each near-duplicate group: the one with the smallest doc_id, nulls last.
 
-    A group whose ids are all null keeps one row for each distinct text. Of rows that repeat the kept doc_id, one stays.
+    Rows are told apart by a row number, not by doc_id: of several with that doc_id (or of a group whose ids are all null) the first row stays.
     """
-    found = staged(near_duplicates(docs))
-    ids = staged(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    out = keep_ids(docs, ids.where("n = 1").select("doc_id"), "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        out = out.union(keep_ids(docs, ids.where("n > 1").select("doc_id"), "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("component_id is null").isEmpty():
-        out = out.union(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return out
+    rows = staged(docs.withColumn("__hs_row", F.monotonically_increasing_id()))
+    fps = staged(fingerprint_table(rows, "__hs_row"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hs_row")).alias("best")
+    reps = staged(fps.groupBy("fp").agg(best))
+    comp = staged(components(links(reps.select("fp"), reps.count())))
+    roots = reps.join(comp, comp.v == reps.fp, "left").select(F.coalesce("root", "fp").alias("root"), "best.*")
+    kept = staged(roots.groupBy("root").agg(best).select("best.__hs_row"))
+    return keep_ids(rows, kept, "left_semi", "__hs_row").drop("__hs_row")

@@ -2,7 +2,7 @@
 
 import random
 
-from haystrata.llm import pii, secret_scan
+from haystrata.llm import pii, secret_scan, simhash_vptree
 from test_llm import brute_pii
 
 
@@ -25,3 +25,17 @@ def test_secret_key_spellings(spark):
     got = {r["doc_id"]: r for r in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert got[1]["spans"] == "keyed:12:32" and got[1]["n_live"] == 1
     assert got[20]["spans"] == "" and got[20]["n_live"] == 0 and got[20]["n_copied"] == 1  # copied by four owners
+
+
+def test_one_row_of_each_component(spark):
+    rng = random.Random(2)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = c + " Zz"
+    rows = [(1, a), (None, a), (2, b), (None, b), (None, c), (None, near), (7, d), (7, e)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    assert len({r["component_id"] for r in simhash_vptree.near_duplicates(df).where("doc_id is null").collect()}) == 3  # 1, 2 and one group of nulls
+    kept = simhash_vptree.one_of_each(df)
+    got = sorted(r["n"] for r in kept.collect())
+    assert kept.columns == df.columns
+    assert [n for n in got if n not in (4, 5)] == [0, 2, 6, 7] and len(got) == 5
