@@ -13,13 +13,15 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import LOWER, flat, grouped, keep_ids, owner, staged, windows, word_hashes, words
+from haystrata.llm.common import LOWER, flat, grouped, owner, pieces, staged, windows, word_hashes, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -101,6 +103,16 @@ class Index:
         return out
 
 
+def indexes(benchmark: DataFrame, width: int, threshold: float, item_bytes: int) -> Iterator[Broadcast]:
+    """The broadcast index of each slice of the benchmark, one after another; at least one."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_slices = max(1, -(-total // item_bytes))
+    for k in range(n_slices):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k) if n_slices > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x)), width, threshold))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every row of docs and item contained in it at the threshold.
 
@@ -108,15 +120,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
     repeated rows. A benchmark of over item_bytes goes through in slices of that size, with one pass over docs for each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_slices = max(1, -(-total // item_bytes))
-    spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_shingles", pa.int64()), ("n_shared", pa.int64()), ("containment", pa.float64())])
     out = None
-    for k in range(n_slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k) if n_slices > 1 else items
-        index = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x)), width, threshold))
+    for index in indexes(benchmark, width, threshold, item_bytes):
 
         def one(batch, index=index):
             got = index.value.contained(batch.column(1))
@@ -130,7 +136,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id has a contained item. Rows with a null doc_id stay: no pair can name them."""
-    hits = staged(contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
-    return keep_ids(docs, hits, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs, all columns, whose own text contains no item; ids play no part. A pass over docs for each slice of the benchmark, the next over what is left."""
+    for k, index in enumerate(indexes(benchmark, width, threshold, item_bytes)):
+
+        def run(batches, index=index):
+            for batch in batches:
+                for piece in pieces(batch, "text"):
+                    kept = np.ones(piece.num_rows, bool)
+                    kept[[at for at, *_ in index.value.contained(piece.column(piece.schema.get_field_index("text")))]] = False
+                    yield piece.filter(pa.array(kept))
+
+        docs = (staged(docs) if k else docs).mapInArrow(run, docs.schema)  # one index at a time in a worker
+    return docs

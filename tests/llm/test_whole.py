@@ -2,7 +2,7 @@
 
 import random
 
-from haystrata.llm import pii, secret_scan, simhash_vptree
+from haystrata.llm import decontaminate, pii, secret_scan, simhash_vptree
 from test_llm import brute_pii
 
 
@@ -39,3 +39,13 @@ def test_one_row_of_each_component(spark):
     got = sorted(r["n"] for r in kept.collect())
     assert kept.columns == df.columns
     assert [n for n in got if n not in (4, 5)] == [0, 2, 6, 7] and len(got) == 5
+
+
+def test_decontamination_by_row(spark):
+    items = [" ".join(f"w{k}x{i}" for i in range(12)) for k in range(3)]
+    rows = [(None, "head " + items[0] + " tail"), (None, "a clean text"), (5, items[1]), (5, "another clean text"), (6, None), (7, items[2] + " end")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for bound in ({}, {"item_bytes": 50}):
+        kept = decontaminate.decontaminate(df, bench, **bound)
+        assert kept.columns == df.columns and sorted(r["n"] for r in kept.collect()) == [1, 3, 4]
