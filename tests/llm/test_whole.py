@@ -2,7 +2,7 @@
 
 import random
 
-from haystrata.llm import common, decontaminate, pii, quality_classifier, secret_scan, simhash_vptree
+from haystrata.llm import common, decontaminate, html_extract, pii, quality_classifier, secret_scan, simhash_vptree
 from test_llm import brute_pii
 
 
@@ -63,3 +63,46 @@ def test_all_grades_are_trained(spark):
     assert len(model.grades) == 10 and model.grades[-1] > 85
     kept = {r["doc_id"] % 101 for r in quality_classifier.select_quality(df, model).collect()}
     assert 100 in kept and min(kept) > 60
+
+
+def test_alignment_takes_whole_pages():
+    def naive(wrapper, page):
+        n, m = len(wrapper), len(page)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if wrapper[i] == page[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < n or j < m:
+            if i < n and j < m and wrapper[i] == page[j]:
+                yield "both"
+                i, j = i + 1, j + 1
+            elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+                yield "a"
+                i += 1
+            else:
+                yield "b"
+                j += 1
+
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in "ab")
+        assert list(html_extract._skips(a, b)) == list(naive(a, b))
+    page = "<body>" + "".join(f"<h{i % 5 + 1}>x{i}</h{i % 5 + 1}>" for i in range(900)) + "<footer>end</footer>"
+    assert len(html_extract.infer([page, page.replace("x0", "y")])) == 902
+
+
+def test_html_whole_hosts(spark):
+    links = '<ul><li><a href="/">see this other page over there</a></li><li><a href="/">and that one as well my friend</a></li></ul>'
+    lines = lambda k: "".join(f"<p>line {k} {i}</p>" for i in range(450))
+    rows = [(k, f"http://a.example/{k}", f"<body><article><p>Page {k} says</p>{links}" + ("<ul><li>own point</li></ul>" if k < 3 else "") + "</article></body>") for k in range(9)]
+    rows += [(100 + k, f"http://b.example/{k}", f'<body><article>{lines(k)}<div class="box">The same box</div><div class="own">box of {k}</div></article></body>') for k in range(12)]
+    rows += [(200 + k, f"http://c.example/{k}", '<body><article><div class="box">Copies of one page</div></article></body>') for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(9):
+        assert got[k] == f"Page {k} says" + "\nown point" * (k < 3)  # a link list is one page's, not every ul's of the host
+    for k in range(12):
+        assert got[100 + k] == "\n".join([*(f"line {k} {i}" for i in range(450)), f"box of {k}"])
+    assert {got[200 + k] for k in range(4)} == {"Copies of one page"}
+    only = '<body><article><ul><li><a href="/">one link</a></li></ul></article></body>'
+    assert html_extract.extract(only, None) == "one link"
