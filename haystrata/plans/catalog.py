@@ -372,12 +372,25 @@ def q38_topo_order(spark, d):
     return graph.topo_order(deps).select(F.col("repo").cast("int").alias("nation"), "path", "topo_idx")
 
 
+#: A function of two lines in each language, before and after its name.
+_FUNCTION = {"python": ("def ", "():\n    return 1\n"), "java": ("int ", "() {\n    return 1; }\n"), "typescript": ("function ", "() {\n    return 1; }\n"), "rust": ("fn ", "() -> i32 {\n    1 }\n"), "cpp": ("int ", "() {\n    return 1; }\n"), "go": ("func ", "() int {\n    return 1 }\n")}
+
+
+def _commented_code(doc_id, text):
+    """language and code columns: every line of a whole text as a comment, then a function f<doc_id>."""
+    names = list(_FUNCTION)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.col(doc_id), F.lit(len(names))).cast("int") + 1)
+    sign = pick(["# " if n == "python" else "// " for n in names])
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
+    code = F.concat(F.array_join(F.transform(lines, lambda x: F.concat(sign, x, F.lit("\n"))), ""), pick([a for a, _ in _FUNCTION.values()]), F.lit("f"), F.col(doc_id).cast("string"), pick([b for _, b in _FUNCTION.values()]))
+    return pick(names).alias("language"), code.alias("code")
+
+
 @query("SELECT doc_id, 1 AS n_functions, ('f' || doc_id) AS name, 2 AS n_lines FROM documents")
 def q39_function_extract(spark, d):
-    """Each document's id as a function's name, its first line as a comment."""
-    line = F.regexp_replace(F.substring_index("text", "\n", 1), r"[\r\x0c]", " ")
-    code = F.concat(F.lit("# "), line, F.lit("\ndef f"), F.col("doc_id").cast("string"), F.lit("():\n    return 1\n"))
-    rows = t(spark, d, "documents").select("doc_id", syntax.extract_functions(code, F.lit("python")).alias("f"))
+    """Each document's id as a function's name, all lines of its text as comments before it, in six languages by turns."""
+    rows = t(spark, d, "documents").select("doc_id", *_commented_code("doc_id", "text"))
+    rows = rows.select("doc_id", syntax.extract_functions("code", "language").alias("f"))
     first = F.get("f", F.lit(0))
     return rows.select("doc_id", F.size("f").alias("n_functions"), first["name"].alias("name"), (first["end_line"] - first["start_line"]).alias("n_lines"))
 

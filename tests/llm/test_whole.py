@@ -2,7 +2,9 @@
 
 import random
 
+from haystrata.functions import syntax
 from haystrata.llm import common, decontaminate, html_extract, pii, quality_classifier, secret_scan, simhash_vptree
+from haystrata.plans import catalog
 from test_llm import brute_pii
 
 
@@ -106,3 +108,32 @@ def test_html_whole_hosts(spark):
     assert {got[200 + k] for k in range(4)} == {"Copies of one page"}
     only = '<body><article><ul><li><a href="/">one link</a></li></ul></article></body>'
     assert html_extract.extract(only, None) == "one link"
+
+
+def test_functions_of_whole_texts(spark):
+    body = 'def no(): { "open\nint g() { /* ; }\r`more\n\n\'é last'
+    df = spark.createDataFrame([(i, body) for i in range(6)] + [(6, None)], "doc_id long, text string")
+    rows = df.select("doc_id", *catalog._commented_code("doc_id", "text")).collect()
+    assert len({r["language"] for r in rows}) == 6
+    for r in rows:
+        above = r["code"].split("\n")[: 1 if r["doc_id"] == 6 else 4]
+        assert [x.split(" ", 1)[1] for x in above] == ([""] if r["doc_id"] == 6 else body.replace("\r", " ").split("\n"))
+        begin = len("\n".join(above).encode()) + 1
+        got = syntax.functions(r["code"], r["language"])
+        assert got == [(f"f{r['doc_id']}", len(above), len(above) + 2, begin, len(r["code"].encode()) - 1)], r["language"]
+
+
+def test_several_and_nested_functions():
+    lines = ["plain", "with } and {", 'a "quote', "é ü", "// # /*"]
+    python, c, want_python, want_c = "", "", [], []
+    for k, x in enumerate(lines):
+        outer = f"def f{k}():\n    # {x}\n    def g{k}():\n        return {k}\n    return g{k}"
+        at = len(python.encode())
+        inner = at + len(f"def f{k}():\n    # {x}\n    ".encode())
+        want_python += [(f"f{k}", 5 * k, 5 * k + 5, at, at + len(outer.encode())), (f"g{k}", 5 * k + 2, 5 * k + 4, inner, inner + len(f"def g{k}():\n        return {k}"))]
+        python += outer + "\n"
+        one = f"func h{k}() int {{\n    // {x}\n    return {k}\n}}"
+        want_c.append((f"h{k}", 4 * k, 4 * k + 4, len(c.encode()), len((c + one).encode())))
+        c += one + "\n"
+    assert syntax.functions(python, "python") == want_python
+    assert syntax.functions(c, "go") == want_c
