@@ -8,7 +8,9 @@ its longest text, not the batch.
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a key set is broadcast (at most 9 bytes a key, so under 20 MB); above, a shuffled join does the same.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table is broadcast, by its values' own sizes; above, a shuffled join does the same.
+BROADCAST_BYTES = 16 << 20
 #: Distinct label values that are counted on the driver.
 MAX_LEVELS = 10_000
 #: Bytes of text that a kernel takes at once.
@@ -39,25 +41,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables: the cluster's spark.checkpoint.dir; an own one only where it is unset."""
+    """The shared folder for written intermediate tables: spark.checkpoint.dir, else the SparkContext's checkpoint folder. Only a local
+    master gets a temporary folder of its own, removed at exit; a cluster without a shared folder is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_haystrata_scratch", None) or tempfile.mkdtemp(prefix="haystrata-")
-        spark._haystrata_scratch = folder
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else None
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = getattr(spark, "_haystrata_scratch", None)
+        if not folder:
+            folder = spark._haystrata_scratch = tempfile.mkdtemp(prefix="haystrata-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, gives exact sizes to AQE."""
-    path = f"{scratch(df.sparkSession)}/haystrata-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/haystrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.__dict__.setdefault("_haystrata_staged", []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Removes every table that this session has staged and says how many; call it when no result that reads them is needed any more."""
+    gone = spark.__dict__.pop("_haystrata_staged", [])
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+    return len(gone)
+
+
+def fits(df: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the columns of df (all of them if none are named) take at most limit bytes: 12 a value and the length of what is written out."""
+    columns = columns or tuple(df.columns)
+    size = sum((F.octet_length(F.col(c)) if dict(df.dtypes)[c] == "string" else F.size(c) * 8 if dict(df.dtypes)[c].startswith("array") else F.lit(0) for c in columns), F.lit(0))
+    return (df.agg(F.sum(F.coalesce(size, F.lit(0)) + 12 * len(columns))).first()[0] or 0) <= limit
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
-    """left_semi or left_anti of docs with a staged one-column table of ids, broadcast only when its row count is within BROADCAST_ROWS."""
+    """left_semi or left_anti of docs with a staged one-column table of ids, broadcast only when it fits()."""
     ids = ids.select(F.col(ids.columns[0]).alias("__hs_id"))
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    ids = F.broadcast(ids) if fits(ids) else ids
     return docs.join(ids, docs[key] == F.col("__hs_id"), how)
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import BROADCAST_ROWS, numbered, staged
+from haystrata.llm.common import fits, numbered, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -97,7 +97,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, seed: i
     docs = staged(docs.withColumn("rid", F.monotonically_increasing_id()))
     by = source_targets(docs, weights, cap).withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     by = staged(by.withColumn("buckets", F.ceil(F.col("n_docs") / bucket_rows)).withColumnRenamed("source", "__hs_source"))
-    few = by.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits(by)
     most = by.agg(F.max("buckets")).first()[0] or 1
     rows = docs.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("__hs_source")))
     luck = F.xxhash64(F.lit(seed), "source", "doc_id", "size")

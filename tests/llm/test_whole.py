@@ -91,7 +91,9 @@ def test_alignment_takes_whole_pages():
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 40))] for _ in "ab")
         assert list(html_extract._skips(a, b)) == list(naive(a, b))
     page = "<body>" + "".join(f"<h{i % 5 + 1}>x{i}</h{i % 5 + 1}>" for i in range(900)) + "<footer>end</footer>"
-    assert len(html_extract.infer([page, page.replace("x0", "y")])) == 902
+    wrapper = html_extract.infer([html_extract.shape(html_extract.Page(p)) for p in (page, page.replace("x0", "y"))])
+    leaves = wrapper.items[0].items[0].leaves
+    assert len(leaves) == 900 and leaves[0][3] is None and all(x[3] for x in leaves[1:])
 
 
 def test_html_whole_hosts(spark):
