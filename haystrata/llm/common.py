@@ -90,46 +90,37 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, docs[key] == F.col("__hs_id"), how)
 
 
-def merged_levels(levels: list[tuple[int, int]], classes: int) -> list[tuple[int, int, int, int]]:
+def merged_levels(levels: list[tuple[float, int]], classes: int) -> list[tuple[float, float, float, int]]:
     """(lowest, highest, mean, rows) of at most `classes` ordered bins of the (value, rows) levels: while there are more, the two neighbours with the fewest rows meet."""
-    low, n = (np.array(x, np.int64) for x in zip(*sorted(levels)))
-    high, total = low.copy(), low.astype(float) * n
+    low, n = (np.array(x, float) for x in zip(*sorted(levels)))
+    high, total = low.copy(), low * n
     while len(low) > classes:
         i = int(np.argmin(n[:-1] + n[1:]))
         n[i], total[i], high[i] = n[i] + n[i + 1], total[i] + total[i + 1], high[i + 1]
         low, high, n, total = np.delete(low, i + 1), np.delete(high, i + 1), np.delete(n, i + 1), np.delete(total, i + 1)
-    return [(int(a), int(b), int(round(t / k)), int(k)) for a, b, t, k in zip(low, high, total, n)]
+    return [(float(a), float(b), float(t / k), int(k)) for a, b, t, k in zip(low, high, total, n)]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, per_class: int, where=None, classes: int = 10) -> list[tuple[str, int, int]]:
-    """At most per_class rows of each label value, as (text, value, rows of that value there are), smallest hash of doc_id first.
+def labelled_sample(docs: DataFrame, labels: DataFrame, value, per_class: int, where=None, classes: int = 10) -> tuple[DataFrame, dict[float, int]]:
+    """At most per_class rows of each label value, smallest hash of doc_id first, as a staged table (text, y), and the rows of each value there are.
 
-    More than `classes` values are merged with their neighbours into so many bins, each named by its rounded mean, so that all
-    labels count; over MAX_LEVELS values are an error.
-
-    This is the documented bound of the fitted models' training data. A doc_id with several labels counts with the
-    largest; null labels and ids are left out; null texts are empty.
+    This is the documented bound of the fitted models' training data; the texts stay on the executors. value: a column of labels,
+    whole or fractional. More than `classes` values are merged with their neighbours into so many bins, each named by its mean, so
+    that all labels count; over MAX_LEVELS values are an error. A doc_id with several labels counts with the largest, one with several
+    texts with the smallest; null labels and ids are left out; null texts are empty.
     """
-    spark = docs.sparkSession
-    held = labels.select("doc_id", F.col(value).cast("int").alias("__hs_y")).dropna()
+    held = labels.select("doc_id", (F.col(value) if isinstance(value, str) else value).cast("double").alias("__hs_y")).dropna()
     held = held.where(where) if where is not None else held
     held = staged(held.groupBy("doc_id").agg(F.max("__hs_y").alias("__hs_y")))
     levels = [tuple(r) for r in held.groupBy("__hs_y").count().limit(MAX_LEVELS + 1).collect()]
     if len(levels) > MAX_LEVELS:
         raise ValueError(f"{value} has over {MAX_LEVELS} values; ratings need fewer levels")
-    if not levels:
-        return []
-    bins = merged_levels(levels, classes)
-    counts = {y: n for _, _, y, n in bins}
+    bins = merged_levels(levels, classes) if levels else []
     parts = [held.where(F.col("__hs_y").between(a, b)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).select("doc_id", F.lit(y).alias("__hs_y")) for a, b, y, _ in bins]
-    ids = staged(functools.reduce(DataFrame.union, parts))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__hs_t")).join(F.broadcast(ids), "doc_id")
-    rows = rows.select("doc_id", "__hs_t", "__hs_y").collect()
-    first: dict[int, tuple[str, int]] = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1])):
-        first.setdefault(r[0], (r[1], r[2]))
-    del spark
-    return [(t, y, counts[y]) for t, y in first.values()]
+    ids = functools.reduce(DataFrame.union, parts) if parts else held
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__hs_t")).join(F.broadcast(ids), "doc_id")  # per_class ids a class
+    rows = rows.groupBy("doc_id").agg(F.min("__hs_t").alias("text"), F.first("__hs_y").alias("y"))
+    return staged(rows.select("text", "y")), {y: n for _, _, y, n in bins}
 
 
 # --- numpy text kernels ---

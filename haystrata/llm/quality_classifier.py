@@ -2,9 +2,16 @@
 
 P(grade <= k) = logistic(t_k - w.x): one weight vector w over hashed text features for all grades, and ordered thresholds
 t_1 < t_2 < ... between them. A document gets its expected grade and the tail probability of the grade that selection asks
-for. Features are hashed word forms (runs of lower-case letters, capitals, digits and each punctuation mark, folded), pairs
-of such forms, repeats of the word before, and the shares of repeated lines and repeated runs of three words; texts of any
-language give the same forms, so weights carry over to words never seen.
+for. Features are hashed words (A-Z in lower case) and pairs of words, hashed word forms (runs of lower-case letters, capitals, digits and
+each punctuation mark, folded: texts of any language give the same forms, so weights carry over to words never seen) and pairs of
+forms, repeats of the word before, and the shares of repeated lines and repeated runs of three words.
+
+The grades of the query are those of rating(): a labelled row of quality 0 has grade 0, one of quality 1 grade 1 if it is marked toxic,
+else 2. Selection asks for grade 1 or more, that is for quality 1. Any column of whole or fractional ratings can take their place.
+
+Cases. Null texts are graded as empty. Ties: a tail probability of exactly select_at is selected. A doc_id with several labels counts
+with the largest, null labels do not count, labels of one grade only give a model that always says it, no labels one that selects
+all. Repeated rows give repeated rows; other columns are not read; empty tables give no rows. Very long texts take linear time.
 """
 
 from __future__ import annotations
@@ -16,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import flat, grouped, labelled_sample, mix, owner, pieces, windows, word_hashes, words
+from haystrata.llm.common import LOWER, flat, grouped, labelled_sample, mix, owner, pieces, windows, word_hashes, words
 
 #: Bound of the training sample: rows of each grade.
 ROWS_PER_GRADE = 3000
-BUCKETS = 1024
-#: Selection: probability of at least SELECT_GRADE (None: the highest grade) that a document needs.
+#: Buckets of hashed words, pairs of words, forms and pairs of forms.
+BUCKETS = (1024, 512, 512, 512)
+N_FEATURES = sum(BUCKETS) + 4
+#: Selection: the grade, and the probability of at least that grade, that a document needs.
+SELECT_GRADE = 1
 SELECT_AT = 0.5
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[97:123] = _CLASS[128:] = ord("a")
@@ -33,8 +43,13 @@ def _shares(n: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.divide(n, of, out=np.zeros(len(n)), where=of > 0)
 
 
-def features(texts: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
-    """One row of hashed features for each text: square roots of shares, so rows are about unit length at any text size."""
+def _pairs(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    pair, at = windows(h, first, 2)
+    return pair, owner(first, at)
+
+
+def features(texts: pa.Array) -> np.ndarray:
+    """One row of N_FEATURES for each text: square roots of shares, so rows are about unit length at any text size."""
     data, offs = flat(texts)
     starts, ends, first = words(data, offs)
     n_docs, n_words = len(offs) - 1, np.diff(first)
@@ -44,17 +59,16 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
     new[starts] = True
     place = np.concatenate([[0], np.cumsum(new)])
     form = word_hashes(folded[new], place[starts], place[ends])
-    doc = owner(first, np.arange(len(starts)))
-    out = np.zeros((n_docs, buckets + 4))
-
-    def add(h, d, per):
-        at = d * buckets + (h % np.uint64(buckets)).astype(np.int64)
-        out[:, :buckets] += np.sqrt(np.bincount(at, minlength=n_docs * buckets).reshape(n_docs, buckets) / np.maximum(per, 1)[:, None])
-
-    add(form, doc, n_words)
-    pair, at = windows(form, first, 2)
-    add(mix(pair), owner(first, at), n_words)
+    low = word_hashes(LOWER[data], starts, ends)
     raw = word_hashes(data, starts, ends)
+    doc = owner(first, np.arange(len(starts)))
+    buckets = sum(BUCKETS)
+    out = np.zeros((n_docs, N_FEATURES))
+    base = 0
+    for n, (h, d) in zip(BUCKETS, ((low, doc), _pairs(low, first), (form, doc), _pairs(form, first))):
+        at = d * n + (mix(h) % np.uint64(n)).astype(np.int64)
+        out[:, base : base + n] = np.sqrt(np.bincount(at, minlength=n_docs * n).reshape(n_docs, n) / np.maximum(n_words, 1)[:, None])
+        base += n
     same = np.zeros(len(raw), np.int64)
     if len(raw) > 1:
         same[1:] = (raw[1:] == raw[:-1]) & (doc[1:] == doc[:-1])
@@ -74,7 +88,7 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> np.ndarray:
 class Model:
     """Grades in order, the weights they share, and the thresholds between them."""
 
-    grades: list[int]
+    grades: list[float]
     weights: np.ndarray
     cuts: np.ndarray
 
@@ -102,7 +116,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: floa
     for step in range(1, steps + 1):
         gaps = np.exp(theta[nf + 1 :])
         cuts = theta[nf] + np.concatenate([[0], np.cumsum(gaps)])
-        z = x @ theta[:nf]
+        z = (x @ theta[:nf].astype(x.dtype)).astype(float)
         cdf = np.ones((len(y), len(grades) + 1))
         cdf[:, 0] = 0
         cdf[:, 1:-1] = 1 / (1 + np.exp(np.clip(z[:, None] - cuts, -60, 60)))
@@ -110,7 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: floa
         slope = cdf * (1 - cdf)
         dz = weight * (slope[rows, k + 1] - slope[rows, k]) / p  # of the loss by z
         g = np.zeros_like(theta)
-        g[:nf] = x.T @ dz + l2 * theta[:nf]
+        g[:nf] = x.T @ dz.astype(x.dtype) + l2 * theta[:nf]
         dc = np.array([-(weight * slope[:, j + 1] * ((k == j).astype(float) - (k == j + 1)) / p).sum() for j in range(len(cuts))])
         g[nf] = dc.sum()
         for j in range(len(gaps)):
@@ -120,36 +134,54 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: floa
     return Model(grades, theta[:nf].copy(), theta[nf] + np.concatenate([[0], np.cumsum(np.exp(theta[nf + 1 :]))]))
 
 
-def train(docs: DataFrame, labels: DataFrame, value: str = "quality", rows_per_grade: int = ROWS_PER_GRADE, where=None) -> Model:
-    """Fitted on the bounded sample of labelled rows; grades count as often as all labels have them. Without labels: a model that selects all."""
-    rows = labelled_sample(docs, labels, value, rows_per_grade, where)
+def rating(labels: DataFrame):
+    """The grade of a row of labels (quality 0 or 1, toxic 0 or 1 if there is such a column): 0 for poor, 1 for good but toxic, 2 for good. Null without a quality."""
+    good = F.when(F.col("toxic") > 0, 1).otherwise(2) if "toxic" in labels.columns else 2
+    return F.when(F.col("quality") <= 0, 0).when(F.col("quality") > 0, good)
+
+
+def train(docs: DataFrame, labels: DataFrame, value=None, rows_per_grade: int = ROWS_PER_GRADE, where=None) -> Model:
+    """Fitted on the bounded sample of labelled rows; grades count as often as all labels have them. Without labels: a model that selects all.
+
+    value: the column of ratings; None: rating(). Executors make the features; the driver gets rows_per_grade x N_FEATURES half-precision numbers a grade.
+    """
+    sample, counts = labelled_sample(docs, labels, rating(labels) if value is None else value, rows_per_grade, where)
+    schema = pa.schema([("y", pa.float64()), ("x", pa.binary())])
+
+    def one(batch):
+        return {"y": batch.column(1), "x": [x.tobytes() for x in features(batch.column(0)).astype(np.float16)]}
+
+    rows = sorted(map(tuple, sample.mapInArrow(lambda it: grouped(it, "text", schema, one), "y double, x binary").collect()))
     if not rows:
-        return Model([0], np.zeros(BUCKETS + 4), np.zeros(0))
-    texts, y, n = zip(*rows)
-    y = np.array(y)
-    weight = np.array(n, float) / np.bincount(np.searchsorted(sorted(set(y)), y))[np.searchsorted(sorted(set(y)), y)]
-    x = np.concatenate([features(pa.array(texts[i : i + 500], pa.large_string())) for i in range(0, len(texts), 500)])
-    return fit(x, y, weight)
+        return Model([0], np.zeros(N_FEATURES), np.zeros(0))
+    x = np.stack([np.frombuffer(b, np.float16) for _, b in rows]).astype(np.float32)
+    y = np.array([v for v, _ in rows])
+    grades, at = np.unique(y, return_inverse=True)
+    return fit(x, y, (np.array([counts[g] for g in grades]) / np.bincount(at))[at])
+
+
+def tail(model: Model, tails: np.ndarray, grade: float) -> np.ndarray:
+    """P(at least this grade): of the model's lowest grade that is no lower; the highest grade of models without such."""
+    at = min(int(np.searchsorted(model.grades, grade)), len(model.grades) - 1)
+    return np.ones(len(tails)) if at == 0 else tails[:, at - 1]
 
 
-def grade(docs: DataFrame, model: Model, select_grade: int | None = None, select_at: float = SELECT_AT) -> DataFrame:
+def grade(docs: DataFrame, model: Model, select_grade: float = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
     """(doc_id, expected_grade, tail_probability, selected), one row for each row of docs. Null texts are graded as empty ones."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets + 4 weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # N_FEATURES weights
     schema = pa.schema([("doc_id", pa.int64()), ("expected_grade", pa.float64()), ("tail_probability", pa.float64()), ("selected", pa.bool_())])
 
     def one(batch):
         m = shared.value
         tails = m.tails(features(batch.column(1)))
-        want = m.grades[-1] if select_grade is None else select_grade
-        at = int(np.searchsorted(m.grades, want))
-        tail = np.ones(len(tails)) if at == 0 else tails[:, at - 1] if at < len(m.grades) else np.zeros(len(tails))
-        return {"doc_id": batch.column(0), "expected_grade": m.expected(tails), "tail_probability": tail, "selected": tail >= select_at}
+        p = tail(m, tails, select_grade)
+        return {"doc_id": batch.column(0), "expected_grade": m.expected(tails), "tail_probability": p, "selected": p >= select_at}
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(lambda it: grouped(it, "text", schema, one), "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
-def select_quality(docs: DataFrame, model: Model, select_at: float = SELECT_AT) -> DataFrame:
+def select_quality(docs: DataFrame, model: Model, select_grade: float = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
     """The rows of docs, all columns, whose own text the model selects."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -158,7 +190,6 @@ def select_quality(docs: DataFrame, model: Model, select_at: float = SELECT_AT)
             for piece in pieces(batch, "text"):
                 m = shared.value
                 tails = m.tails(features(piece.column(piece.schema.get_field_index("text"))))
-                kept = tails[:, -1] >= select_at if tails.shape[1] else np.ones(len(tails), bool)
-                yield piece.filter(pa.array(kept))
+                yield piece.filter(pa.array(tail(m, tails, select_grade) >= select_at))
 
     return docs.mapInArrow(run, docs.schema)

@@ -55,15 +55,16 @@ def test_decontamination_by_row(spark):
 
 def test_all_grades_are_trained(spark):
     assert common.merged_levels([(1, 5), (0, 3)], 10) == [(0, 0, 0, 3), (1, 1, 1, 5)]
+    assert common.merged_levels([(0.25, 5), (0.5, 3)], 10) == [(0.25, 0.25, 0.25, 5), (0.5, 0.5, 0.5, 3)]  # fractions stay apart
     bins = common.merged_levels([(y, 1000 if y == 0 else 1) for y in range(101)], 10)
     assert len(bins) == 10 and bins[0] == (0, 0, 0, 1000) and bins[-1][1] == 100 and sum(n for *_, n in bins) == 1100
     assert all(a[1] + 1 == b[0] and a[2] < b[2] for a, b in zip(bins, bins[1:]))
     rows = [(i, " ".join(["good" if j < i % 101 else "BAD!!" for j in range(100)])) for i in range(606)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 101) for i in range(606)], "doc_id long, quality int")
-    model = quality_classifier.train(df, labels)
+    model = quality_classifier.train(df, labels, "quality")
     assert len(model.grades) == 10 and model.grades[-1] > 85
-    kept = {r["doc_id"] % 101 for r in quality_classifier.select_quality(df, model).collect()}
+    kept = {r["doc_id"] % 101 for r in quality_classifier.select_quality(df, model, model.grades[-1]).collect()}
     assert 100 in kept and min(kept) > 60
 
 
