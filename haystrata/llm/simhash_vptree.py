@@ -7,12 +7,18 @@ Search. With b blocks of bits, two fingerprints within r bits agree on at least
 choice of b - r blocks therefore sees every linked pair under one branch of its top level, whose metric is the Hamming
 distance on the chosen blocks with triangle bound 0: no boundary copies at all. (A tree over all 64 bits alone prunes
 badly: distances of unrelated fingerprints crowd around 32 with deviation 4, so at radius 4 each level copies about 60 %
-of the rows across its boundary.) Under a top branch, fingerprints are split by their full Hamming distance to a vantage
-point: branches too large for a task become annulus shards, where a fingerprint that the triangle bound cannot keep
-apart from the next annulus is copied into it; inside a task, a recursive tree with median splits compares only the
-boundary bands on both sides of a split. b grows with the number of fingerprints, so a top branch stays small.
+of the rows across its boundary.) Under a top branch every fingerprint is placed by its full Hamming distance to the branch's vantage
+point, and by the triangle bound only fingerprints whose distances to it differ by radius at most are compared: sweep() takes the
+branches of a task at once, in order of that distance, and each fingerprint's comparisons end with the first that is too far
+out. A branch of over LEAF rows is split further by vantage points of its own, at their median distance, with the boundary bands on
+both sides compared (vp_pairs); one too large for a task becomes annulus shards, where a fingerprint that the bound cannot keep apart
+from the next annulus is copied into it (split_large). b grows with the number of fingerprints, so a top branch stays small.
 
 Links leave a task as a spanning star, never as pairs; components() joins the stars.
+
+Cases. Null and empty texts have fingerprint zero and link like others. Ties: component_id is the smallest doc_id, nulls do not count; a
+group whose ids are all null has none. Repeated rows stay repeated; other columns are not read; empty tables give no rows. Very long
+texts take linear time and BLOCK shingles of memory at once.
 """
 
 from __future__ import annotations
@@ -32,8 +38,12 @@ SHINGLE = 4
 RADIUS = 4
 #: Rows of one top branch that a single task takes; larger ones are split by vantage points across tasks.
 SHARD_ROWS = 50_000
-#: Rows below which a tree node is compared directly.
-LEAF = 64
+#: Rows of a top branch above which it is split by further vantage points.
+LEAF = 256
+#: Rows of one fingerprint from which on they are joined without a shuffle: there are few such fingerprints.
+HOT_ROWS = 100_000
+#: Rows of branches that a task handles at once, or one branch.
+CHUNK_ROWS = 500_000
 #: Shingles whose bits are counted at once.
 BLOCK = 250_000
 #: Each byte's bits, one to each byte of a 64-bit lane.
@@ -138,7 +148,7 @@ def _direct(fp, a, b, radius, same):
             yield part[x], b[y]
 
 
-def vp_pairs(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF):
+def vp_pairs(fp: np.ndarray, radius: int = RADIUS, leaf: int = 64):
     """All index pairs of distinct fingerprints within radius, as arrays: median splits, bands by the triangle bound."""
     todo = [(np.arange(len(fp)), None)]
     while todo:
@@ -164,9 +174,27 @@ def vp_pairs(fp: np.ndarray, radius: int = RADIUS, leaf: int = LEAF):
             todo += [(a[da <= cut], b[db <= cut + radius]), (a[da > cut], b[db > cut - radius])]
 
 
+def sweep(key: np.ndarray, fp: np.ndarray, radius: int = RADIUS):
+    """Index pairs within radius in the same branch (key), for rows in order of key, then distance to the branch's vantage point, its first row."""
+    cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[cut, len(key)])
+    far = np.bitwise_count(fp ^ np.repeat(fp[cut], size)).astype(np.int64)
+    order = np.lexsort((far, np.repeat(np.arange(len(cut)), size)))
+    far, fp = far[order], fp[order]
+    end = np.repeat(cut + size, size)
+    live = np.arange(len(fp))
+    s = 1
+    while len(live):
+        live = live[live + s < end[live]]
+        live = live[far[live + s] - far[live] <= radius]  # what is farther out stays so
+        near = live[np.bitwise_count(fp[live] ^ fp[live + s]) <= radius]
+        yield order[near], order[near + s], len(live)
+        s += 1
+
+
 def _stars(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars (root, member) of the links between rows of the same key."""
-    order = np.lexsort((fp, key))
+    order = np.argsort(key, kind="stable")
     key, fp = key[order], fp[order]
     value, at = np.unique(fp, return_inverse=True)
     label = np.arange(len(value))
@@ -185,14 +213,10 @@ def _stars(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
 
     cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     size = np.diff(cut)
-    small = np.repeat(size <= LEAF, size)
-    for s in range(1, LEAF):  # all leaves at once
-        i = np.flatnonzero((key[s:] == key[:-s]) & small[s:])
-        if not len(i):
-            break
-        i = i[np.bitwise_count(fp[i] ^ fp[i + s]) <= radius]
+    small = np.flatnonzero(np.repeat(size <= LEAF, size))
+    for i, j, _ in sweep(key[small], fp[small], radius):
         if len(i):
-            join(i, i + s)
+            join(small[i], small[j])
     for k in np.flatnonzero(size > LEAF):
         for i, j in vp_pairs(fp[cut[k] : cut[k + 1]], radius):
             join(i + cut[k], j + cut[k])
@@ -200,6 +224,13 @@ def _stars(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np
     return value[label[member]], value[member]
 
 
+def pruned_share(keys: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[int, int]:
+    """Pairs in the branches of one task, and those that the vantage points leave to compare."""
+    order = np.argsort(keys, kind="stable")
+    size = np.unique(keys, return_counts=True)[1].astype(np.int64)
+    return int((size * (size - 1) // 2).sum()), sum(n for *_, n in sweep(keys[order], fp[order], radius))
+
+
 def _blocks(n: int, radius: int) -> tuple[list[int], list[tuple[int, ...]]]:
     """Bit masks of b blocks, and the choices of b - radius of them, for about 4,096 of n fingerprints in a top branch."""
     for b in range(radius + 1, radius + 5):
@@ -240,12 +271,28 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, limit: int = SHARD_
     rows = split_large(distinct.select(F.explode(F.array(*keys)).alias("k"), "fp"), radius, limit)
 
     def run(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            a, b = _stars(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]).view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    return rows.repartition("k").mapInArrow(run, "a long, b long")
+        # rows come in order of key; whole branches are handled as soon as CHUNK_ROWS of them are there
+        held_k, held_f, n = [], [], 0
+
+        def flush(last: bool):
+            nonlocal held_k, held_f, n
+            k, f = np.concatenate(held_k), np.concatenate(held_f)
+            end = len(k) if last else int(np.searchsorted(k, k[-1]))
+            a, b = _stars(k[:end], f[:end].view(np.uint64), radius)
+            held_k, held_f, n = [k[end:]], [f[end:]], len(k) - end
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held_k.append(batch.column(0).to_numpy())
+                held_f.append(batch.column(1).to_numpy())
+                n += batch.num_rows
+                if n > CHUNK_ROWS:
+                    yield flush(False)
+        if n:
+            yield flush(True)
+
+    return rows.repartition("k").sortWithinPartitions("k").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_ROWS) -> DataFrame:
@@ -255,13 +302,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_RO
     the row's component (null ids are passed over; null only if the component has no other). Repeated rows stay repeated.
     """
     fps = staged(fingerprint_table(docs))
-    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    reps = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     comp = staged(components(links(reps.select("fp"), reps.count(), radius, limit)))
     linked = comp.join(reps, comp.v == reps.fp).select("fp", "root", "rep")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = staged(linked.join(least, "root").select("fp", "least"))
-    out = fps.join(reps, "fp").join(linked, "fp", "left")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("least", "rep").alias("component_id"))
+    linked = linked.join(least, "root").select("fp", "least")
+    every = staged(reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
+    # copies of one fingerprint would be one task's rows: those of hot ones meet their few rows by a broadcast
+    hot = F.broadcast(every.where(F.col("n") >= HOT_ROWS).select(F.col("fp").alias("hot"), F.col("component_id").alias("at")))  # 1 in HOT_ROWS rows at most
+    rows = fps.join(hot, fps.fp == F.col("hot"), "left")
+    few = rows.where("hot is not null").select("doc_id", "fp", F.col("at").alias("component_id"))
+    rest = rows.where("hot is null").select("doc_id", "fp").join(every.where(F.col("n") < HOT_ROWS), "fp").select("doc_id", "fp", "component_id")
+    return few.union(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
