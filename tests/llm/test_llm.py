@@ -256,7 +256,7 @@ def test_boosted_trees_held_out():
     m = Boosted().fit(x[:450], y[:450])
     assert ((m.probability(x[450:]) >= 0.5) == y[450:]).mean() > 0.85
     for kind, model in pii.train().items():
-        rows = pii._examples(kind, 1500)[900:]
+        rows = pii._examples(kind, 1500)[900:]  # those that the models were not fitted on
         p = model.probability(np.array([pii.describe(t, kind, a, b) for t, a, b, _ in rows], float))
         assert ((p >= model.threshold) == np.array([y for *_, y in rows])).mean() > 0.95, kind
 
