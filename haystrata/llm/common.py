@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which a table is broadcast, by its values' own sizes; above, a shuffled join does the same.
 BROADCAST_BYTES = 16 << 20
+#: Rows of one key from which on they are joined without a shuffle: there is one such key in so many rows at most.
+HOT_ROWS = 100_000
 #: Distinct label values that are counted on the driver.
 MAX_LEVELS = 10_000
 #: Bytes of text that a kernel takes at once.
@@ -90,6 +92,19 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, docs[key] == F.col("__hs_id"), how)
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with the columns of their key's row in table, which has one row a key and n, the key's rows, and is staged.
+
+    All rows of one key would be one task's: keys of hot_rows rows or more, of which there are few, meet theirs by a broadcast.
+    """
+    more = [c for c in table.columns if c not in (key, "n")]
+    hot = table.where(F.col("n") >= hot_rows).select(F.col(key).alias("__hs_key"), *[F.col(c).alias(f"__hs_{c}") for c in more])
+    both = rows.join(F.broadcast(hot), rows[key] == F.col("__hs_key"), "left")
+    few = both.where("__hs_key is not null").select(*rows.columns, *[F.col(f"__hs_{c}").alias(c) for c in more])
+    rest = both.where("__hs_key is null").select(*rows.columns).join(table.where(F.col("n") < hot_rows).drop("n"), key)
+    return few.unionByName(rest)
+
+
 def merged_levels(levels: list[tuple[float, int]], classes: int) -> list[tuple[float, float, float, int]]:
     """(lowest, highest, mean, rows) of at most `classes` ordered bins of the (value, rows) levels: while there are more, the two neighbours with the fewest rows meet."""
     low, n = (np.array(x, float) for x in zip(*sorted(levels)))

@@ -9,6 +9,9 @@ Rounding runs as a reduction tree. Documents of a source are dealt into buckets
 source has many; a bucket leaves one undecided document, and FAN_IN buckets' leftovers meet on the next level until one is
 left for each source, which is rounded to the nearer side. Documents go largest first, so leftovers tend to be small. All
 chance comes from hashes of the seed and the document, so reruns and other partitionings agree.
+
+Cases. Null texts have size 0 and are taken 0 times; a null source is one of its own, the last in order; null ids are like any other. Ties of
+size go by chance. Other columns are not read; empty tables give no rows; sources without words have target 0.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ MAX_COPIES = 3
 BUCKET_ROWS = 2_000
 FAN_IN = 64
 SEED = 17
+#: Alike rows that one task writes out.
+BLOCK_ROWS = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -90,17 +95,22 @@ def _round(pdf: pd.DataFrame) -> pd.DataFrame:
 def mix_sources(docs: DataFrame, weights=WEIGHTS, cap: int = MAX_COPIES, seed: int = SEED, bucket_rows: int = BUCKET_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, size, source_size, target, taken), one row for each row of docs (doc_id, text, source).
 
-    size: words of the text (null: 0). Rows without words are taken 0 times. Rows that are alike in id, source and size
-    share their chance but are rounded one by one.
+    size: words of the text (null: 0). Rows without words are taken 0 times. Rows that are alike in id, source and size are told apart by a
+    number from 0 on, so any number of them spreads over the buckets and any partitioning gives the same rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    docs = staged(docs.withColumn("rid", F.monotonically_increasing_id()))
+    alike = staged(docs.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n")))  # map-side: a hot class is a row a task
+    names = ["doc_id", "source", "size"]
+    few = alike.where(F.col("n") <= BLOCK_ROWS).select(*names, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    many = alike.where(F.col("n") > BLOCK_ROWS).select(*names, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(BLOCK_ROWS).cast("long"))).alias("at"))
+    many = many.repartition("doc_id", "source", "size", "at").select(*names, F.explode(F.sequence(F.col("at"), F.least(F.col("at") + BLOCK_ROWS, F.col("n")) - 1)).alias("copy"))
+    docs = staged(few.union(many).withColumn("rid", F.monotonically_increasing_id()))
     by = source_targets(docs, weights, cap).withColumn("c", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     by = staged(by.withColumn("buckets", F.ceil(F.col("n_docs") / bucket_rows)).withColumnRenamed("source", "__hs_source"))
     few = fits(by)
     most = by.agg(F.max("buckets")).first()[0] or 1
     rows = docs.join(F.broadcast(by) if few else by, F.col("source").eqNullSafe(F.col("__hs_source")))
-    luck = F.xxhash64(F.lit(seed), "source", "doc_id", "size")
+    luck = F.xxhash64(F.lit(seed), "source", "doc_id", "size", "copy")
     rows = rows.withColumn("whole", F.floor("c")).withColumn("p", F.col("c") - F.col("whole")).withColumn("luck", luck).withColumn("bucket", F.pmod(F.xxhash64(F.col("luck")), F.col("buckets")))
     rows = staged(rows.select("rid", "doc_id", "source", "size", "source_size", "target", "whole", "p", "luck", "bucket"))
     cols = "rid long, source string, size long, p double, luck long, bucket long, final boolean"

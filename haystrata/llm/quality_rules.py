@@ -1,9 +1,13 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base statistics. Documents that pass the base then go through the rules, each of which only sees
-what the rules before it kept. A rule's cost (seconds a document) and selectivity (share rejected) are estimated on a
-sample of SAMPLE_ROWS rows; rules run by rejections per second, highest first. All rules are deterministic and a document
-is kept if none rejects it, so the order changes the time, never the verdict.
+what the rules before it kept. Each task estimates every rule's cost (seconds a document) and selectivity (share rejected) on a sample of
+SAMPLE_ROWS of its own whole texts, spread over its first batch, and runs the rules by rejections per second, highest first. All rules are
+deterministic and a document is kept if none rejects it, so the order changes the time, never the verdict; a lost task
+may come to another order and gives the same rows.
+
+Cases. Null and empty texts have no words and fail the base. Ties of rates keep the rules' given order. Repeated rows give repeated
+rows; other columns are not read; empty tables give no rows. Very long texts take linear time and about 40 times their bytes.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ from pyspark.sql import functions as F
 
 from haystrata.llm.common import flat, grouped, mix, owner, windows, word_hashes, words
 
-#: Bound of the sample that orders the rules.
-SAMPLE_ROWS = 1000
+#: Bound of the sample of each task that orders its rules.
+SAMPLE_ROWS = 256
+#: Share of the packed texts below which those left are packed anew.
+SPARSE = 0.7
 _BLANK = " \t\n\x0b\x0c\r"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -35,7 +41,10 @@ class Texts:
         self.texts = texts
         self.data, self.offs = flat(texts)
         self.starts, self.ends, self.first = words(self.data, self.offs)
-        self.n_words = np.diff(self.first)
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return np.diff(self.first)
 
     def count(self, mask: np.ndarray) -> np.ndarray:
         """How many bytes of each text are marked."""
@@ -49,7 +58,21 @@ class Texts:
         return hit[self.first[1:]] - hit[self.first[:-1]]
 
     def take(self, at: np.ndarray) -> Texts:
-        return Texts(self.texts.take(pa.array(at)))
+        """The texts at these ascending places, without reading any text anew."""
+        if len(at) == len(self.offs) - 1:
+            return self
+        keep = np.zeros(len(self.offs) - 1, bool)
+        keep[at] = True
+        size, n_words = np.diff(self.offs), self.n_words
+        out = Texts.__new__(Texts)
+        out.texts = self.texts.take(pa.array(at))
+        out.data = self.data[np.repeat(keep, size)]
+        out.offs = np.concatenate([[0], np.cumsum(size[at])])
+        out.first = np.concatenate([[0], np.cumsum(n_words[at])])
+        held = np.repeat(keep, n_words)
+        back = np.repeat(self.offs[:-1][at] - out.offs[:-1], n_words[at])
+        out.starts, out.ends = self.starts[held] - back, self.ends[held] - back
+        return out
 
 
 def base(t: Texts) -> dict[str, np.ndarray]:
@@ -109,29 +132,35 @@ def base_failed(b: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def cascade(t: Texts, b: dict[str, np.ndarray], rules) -> np.ndarray:
-    """Which texts are kept; a rule sees only what is left."""
+    """Which texts are kept; a rule sees only what is left. Texts are packed anew only once SPARSE of those held are rejected, as packing costs about as much as a rule."""
     left = np.flatnonzero(~base_failed(b))
+    held, at = t.take(left), left
     for rule in rules:
         if not len(left):
             break
-        no = rule.rejects(t.take(left) if rule.wants_text else None, {k: v[left] for k, v in b.items()})
-        left = left[~no]
+        if not rule.wants_text:
+            left = left[~rule.rejects(None, {k: v[left] for k, v in b.items()})]
+            continue
+        if len(left) < SPARSE * len(at):
+            held, at = t.take(left), left
+        no = np.zeros(len(t.n_words), bool)
+        no[at] = rule.rejects(held, {k: v[at] for k, v in b.items()})
+        left = left[~no[left]]
     kept = np.zeros(len(t.n_words), bool)
     kept[left] = True
     return kept
 
 
-def order_rules(texts: list[str], rules=RULES) -> list[Rule]:
-    """Rules by rejections per second on the sample, highest first; without a sample as they are."""
-    t = Texts(pa.array(texts, pa.large_string()))
-    b = base(t)
+def order_rules(t: Texts, b: dict[str, np.ndarray], rules=RULES, sample: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejections per second on up to `sample` of the texts that pass the base, evenly spread; without such texts as they are."""
     at = np.flatnonzero(~base_failed(b))
     if not len(at):
         return list(rules)
-    rate = {}
+    at = at[np.unique(np.linspace(0, len(at) - 1, sample).astype(int))]
+    held, stats, rate = t.take(at), {k: v[at] for k, v in b.items()}, {}
     for rule in rules:
         began = time.perf_counter()
-        no = rule.rejects(t.take(at) if rule.wants_text else None, {k: v[at] for k, v in b.items()})
+        no = rule.rejects(held, stats)
         rate[rule.name] = no.mean() / max(time.perf_counter() - began, 1e-6)
     return sorted(rules, key=lambda r: -rate[r.name])
 
@@ -142,15 +171,20 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     Null texts have no words and fail the base. Null and repeated doc_ids go through as they are.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = order_rules([r[0] or "" for r in docs.select(F.substring("text", 1, 100_000)).limit(SAMPLE_ROWS).collect()], rules)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
-    def one(batch):
-        t = Texts(batch.column(1))
-        b = base(t)
-        return {"doc_id": batch.column(0)} | {n: b[n] for n in names} | {"base_failed": base_failed(b), "kept": cascade(t, b, ordered)}
+    def run(batches):
+        ordered = None
 
-    return docs.mapInArrow(lambda it: grouped(it, "text", schema, one), ", ".join(["doc_id long", *(f"{n} long" for n in names), "base_failed boolean", "kept boolean"]))
+        def one(batch):
+            nonlocal ordered
+            t = Texts(batch.column(1))
+            b = base(t)
+            if ordered is None and not base_failed(b).all():
+                ordered = order_rules(t, b, rules)
+            return {"doc_id": batch.column(0)} | {n: b[n] for n in names} | {"base_failed": base_failed(b), "kept": cascade(t, b, ordered or rules)}
 
+        yield from grouped(batches, "text", schema, one)
 
+    return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "base_failed boolean", "kept boolean"]))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import LOWER, components, flat, grouped, keep_ids, staged, words
+from haystrata.llm.common import LOWER, components, flat, grouped, join_counted, keep_ids, staged, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 SEED = 42
@@ -40,8 +40,6 @@ RADIUS = 4
 SHARD_ROWS = 50_000
 #: Rows of a top branch above which it is split by further vantage points.
 LEAF = 256
-#: Rows of one fingerprint from which on they are joined without a shuffle: there are few such fingerprints.
-HOT_ROWS = 100_000
 #: Rows of branches that a task handles at once, or one branch.
 CHUNK_ROWS = 500_000
 #: Shingles whose bits are counted at once.
@@ -308,12 +306,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, limit: int = SHARD_RO
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
     every = staged(reps.join(linked, "fp", "left").select("fp", "n", F.coalesce("least", "rep").alias("component_id")))
-    # copies of one fingerprint would be one task's rows: those of hot ones meet their few rows by a broadcast
-    hot = F.broadcast(every.where(F.col("n") >= HOT_ROWS).select(F.col("fp").alias("hot"), F.col("component_id").alias("at")))  # 1 in HOT_ROWS rows at most
-    rows = fps.join(hot, fps.fp == F.col("hot"), "left")
-    few = rows.where("hot is not null").select("doc_id", "fp", F.col("at").alias("component_id"))
-    rest = rows.where("hot is null").select("doc_id", "fp").join(every.where(F.col("n") < HOT_ROWS), "fp").select("doc_id", "fp", "component_id")
-    return few.union(rest).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_counted(fps, every, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ the damaged offset ranges.
 
 A file's records follow its seq (then id, then digest). Files are bounded by the writer's rotation; the tree's groups have
 FAN_OUT rows. Null payloads are empty records; a node that only one replica has is a mismatch.
+
+Cases. Null ids go by url into files of their own. Ties: records with the same id, digest and length are alike and keep any order. Repeated
+rows are repeated records. Empty replicas have no rows and no root. Only page_id, url and html are read. Very long payloads are hashed whole.
 """
 
 from __future__ import annotations
@@ -98,26 +101,37 @@ def parents_only(top: DataFrame, fan_out: int, k: int) -> DataFrame:
 
 
 def compare(one: DataFrame, two: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """Every leaf position of either replica: (file, seq, id, begin, end, digest, other_digest, status).
+    """Every record of either replica: (file, seq, id, begin, end, digest, other_digest, status), places being the first replica's where it has the record.
 
-    status: match, altered, missing (only in one) or extra (only in two). Positions outside the damaged branches match by
-    their branch's hash and are not compared again.
+    status: match; moved (the same record, its range shifted by damage before it); altered (another content under its id); missing (only
+    in one) or extra (only in two). Records outside the damaged branches match by their branch's hash and are not compared
+    again; those inside are paired by digest, then by id, in order of their places, so that a lost record does not damage those after it.
     """
     one, two = staged(leaves(one)), staged(leaves(two))
     bad = staged(audit(one, two, fan_out).select("file", "seq"))
-    x = one.select("file", "seq", "id", "begin", "end", "digest", "h")
-    y = two.join(bad, ["file", "seq"], "left_semi").select("file", "seq", F.col("id").alias("id2"), F.col("begin").alias("begin2"), F.col("end").alias("end2"), F.col("digest").alias("other"), F.col("h").alias("h2"))
-    good = x.join(bad, ["file", "seq"], "left_anti").select("file", "seq", "id", "begin", "end", "digest", F.col("digest").alias("other_digest"), F.lit("match").alias("status"))
-    hurt = x.join(bad, ["file", "seq"], "left_semi").join(y, ["file", "seq"], "full_outer")
-    status = F.when(F.col("h2").isNull(), "missing").when(F.col("h").isNull(), "extra").otherwise("altered")
-    hurt = hurt.select("file", "seq", F.coalesce("id", "id2").alias("id"), F.coalesce("begin", "begin2").alias("begin"), F.coalesce("end", "end2").alias("end"), "digest", F.col("other").alias("other_digest"), status.alias("status"))
-    return good.union(hurt)
+    names = ["seq", "id", "begin", "end", "digest"]
+    good = one.join(bad, ["file", "seq"], "left_anti").select("file", *names, F.col("digest").alias("other_digest"), F.lit("match").alias("status"))
+    x, y = (z.join(bad, ["file", "seq"], "left_semi").select("file", *names) for z in (one, two))
+
+    def placed(rows: DataFrame, key: str) -> DataFrame:
+        """rows with k, which of the records with the same key of their file each is. A file's records are bounded by its writer."""
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("file", key).orderBy("seq")))
+
+    x, y = staged(placed(x, "digest")), staged(placed(y, "digest"))
+    moved = x.join(y.select("file", "digest", "k"), ["file", "digest", "k"], "left_semi").select("file", *names, F.col("digest").alias("other_digest"), F.lit("moved").alias("status"))
+    x, y = (placed(a.join(b.select("file", "digest", "k"), ["file", "digest", "k"], "left_anti").drop("k"), "id") for a, b in ((x, y), (y, x)))
+    y = y.select(F.col("file").alias("file2"), F.col("k").alias("k2"), *[F.col(n).alias(f"{n}2") for n in names])
+    rest = x.join(y, (F.col("file") == F.col("file2")) & F.col("id").eqNullSafe(F.col("id2")) & (F.col("k") == F.col("k2")), "full_outer")
+    status = F.when(F.col("k2").isNull(), "missing").when(F.col("k").isNull(), "extra").otherwise("altered")
+    rest = rest.select(F.coalesce("file", "file2").alias("file"), *[F.coalesce(n, f"{n}2").alias(n) for n in names[:-1]], "digest", F.col("digest2").alias("other_digest"), status.alias("status"))
+    return good.union(moved).union(rest)
 
 
 def damaged(pages: DataFrame) -> DataFrame:
-    """The replica that the query audits: pages with the first character changed where page_id mod 211 is 7, and every page after the
-    last full hundred of its file's ids lost where the file number mod 5 is 3. Bit rot and a torn file end, at known places."""
+    """The replica that the query audits: pages with the first character changed where page_id mod 211 is 7, every page from the 900th of its
+    file's ids on lost where the file number mod 5 is 3, and the 120th where it is a multiple of 3. Bit rot, a torn file end and a record lost in the middle, at known places."""
     hit = F.col("page_id") % 211 == 7
     lost = (F.floor(F.col("page_id") / FILE_PAGES) % 5 == 3) & (F.col("page_id") % FILE_PAGES >= 900)
     html = F.when(hit, F.concat(F.lit("?"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    return pages.select("page_id", "url", html.alias("html")).where(~F.coalesce(lost, F.lit(False)))
+    gone = (F.floor(F.col("page_id") / FILE_PAGES) % 3 == 0) & (F.col("page_id") % FILE_PAGES == 120)
+    return pages.select("page_id", "url", html.alias("html")).where(~F.coalesce(lost | gone, F.lit(False)))
