@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from haystrata.functions.text import tokens
 
-#: Up to so many distinct n-grams of needles, about 100 MB, are sent to every executor; more are joined by a shuffle.
-BROADCAST_GRAMS = 1_000_000
+#: Up to so many bytes of distinct n-grams of needles are sent to every executor; more are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def _grams(words: str = "w") -> Column:
@@ -38,13 +38,13 @@ def _spread(rows: DataFrame) -> DataFrame:
 def similarity(replies: DataFrame, needles: DataFrame) -> DataFrame:
     """replies (rid, key, text) against the needles (nid, key, text) of the same key: (rid, nid, sim) of pairs with a common word.
 
-    Up to BROADCAST_GRAMS needle n-grams go to every executor, so that of the replies' n-grams only matching ones are shuffled.
+    Up to BROADCAST_BYTES of needle n-grams go to every executor, so that of the replies' n-grams only matching ones are shuffled.
     """
     a = _spread(replies.select("rid", "key", "text")).select("rid", "key", tokens("text").alias("w"))
     b = needles.select("nid", "key", tokens("text").alias("w"))
     ref = b.select("nid", "key", F.size("w").alias("r"), F.explode(_grams()).alias("x")).groupBy("nid", "key", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("have"))
     cand = a.select("rid", "key", F.size("w").alias("h"), F.explode(_grams()).alias("x")).select("rid", "key", "h", "x.n", "x.g")
-    if ref.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+    if (ref.agg(F.sum(F.octet_length("g") + F.octet_length("key") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         ref = F.broadcast(ref)
     hits = cand.join(ref, ["key", "n", "g"]).groupBy("rid", "h", "nid", "r", "n", "g", "have").agg(F.count(F.lit(1)).alias("got"))
     pairs = hits.groupBy("rid", "h", "nid", "r").agg(*[F.sum(F.when(F.col("n") == n, F.least("got", "have")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)])

@@ -24,17 +24,41 @@ def check(n: int, temperature: float) -> None:
         raise ValueError("n must be 1 at temperature 0")
 
 
-def retried(call: Callable[[], object], attempts: int = 6, wait: float = 1.0):
-    """call(), with growing waits after failures; bounded, unlike a client that must not lose its place."""
+# What a blocked reply's error says, and the seconds to wait after a rate limit, a lost connection and anything else.
+BLOCKED = "Output blocked by content filtering policy"
+WAITS = (("RateLimit", 10.0), ("Connection", 5.0), ("InternalServer", 5.0), ("", 1.0))
+
+
+def retried(call: Callable[[], object], attempts: int = 6, wait: float | None = None):
+    """call() again after failures, with the wait of their kind; bounded, unlike a client that must not lose its place. A reply that a content filter blocks is Rejected at once."""
     for k in range(attempts):
         try:
             return call()
         except Rejected:
             raise
-        except Exception:
+        except Exception as e:
+            if BLOCKED in str(getattr(e, "body", "")) or BLOCKED in str(e):
+                raise Rejected(BLOCKED) from e
             if k == attempts - 1:
                 raise
-            time.sleep(wait * 2**k)
+            time.sleep(next(s for kind, s in WAITS if kind in type(e).__name__) if wait is None else wait)
+
+
+def stop_sequence(tokenizer) -> str:
+    """What the chat template of a tokenizer writes after an assistant's message."""
+    mark = "\x00end-of-reply\x00"
+    return tokenizer.apply_chat_template([{"role": "user", "content": ""}, {"role": "assistant", "content": mark}], tokenize=False).rpartition(mark)[2]
+
+
+def model_stops(model: str) -> list[str]:
+    """The stop sequences of a model whose tokenizer can be loaded here, none otherwise."""
+    try:
+        from transformers import AutoTokenizer
+
+        tokenizer = AutoTokenizer.from_pretrained(model)
+        return [x for x in [stop_sequence(tokenizer)] if x] if getattr(tokenizer, "chat_template", None) else []
+    except Exception:  # no such package, model or network
+        return []
 
 
 class Echo:
@@ -60,12 +84,13 @@ class OpenAI:
     def __init__(self, model: str, base_url: str | None = None):
         import openai
 
+        self.stop = model_stops(model)
         self.model, self.client = model, openai.OpenAI(api_key=os.getenv("OPENAI_API_KEY", "none"), base_url=base_url, timeout=100)
 
     def generate_reply(self, question, n=1, max_tokens=1024, temperature=0.0, system_msg=None):
         check(n, temperature)
         messages = [{"role": "system", "content": system_msg}] * bool(system_msg) + [{"role": "user", "content": question}]
-        got = retried(lambda: self.client.chat.completions.create(model=self.model, messages=messages, n=n, max_tokens=max_tokens, temperature=temperature))
+        got = retried(lambda: self.client.chat.completions.create(model=self.model, messages=messages, n=n, max_tokens=max_tokens, temperature=temperature, **({"stop": self.stop} if self.stop else {})))
         return [x.message.content for x in got.choices]
 
 
@@ -115,6 +140,7 @@ class Transformers:
     def __init__(self, model: str, trust_remote_code: bool = False, attn_implementation: str | None = None):
         import transformers
 
+        self.stop = model_stops(model)
         more = {"attn_implementation": attn_implementation} if attn_implementation else {}
         self.pipe = transformers.pipeline("text-generation", model, trust_remote_code=trust_remote_code, device_map="auto", model_kwargs=more)
 
@@ -122,7 +148,7 @@ class Transformers:
         check(n, temperature)
         messages = [{"role": "system", "content": system_msg}] * bool(system_msg) + [{"role": "user", "content": question}]
         draw = {"do_sample": True, "temperature": temperature} if temperature else {"do_sample": False}
-        return [x["generated_text"][-1]["content"] for x in self.pipe(messages, max_new_tokens=max_tokens, num_return_sequences=n, **draw)]
+        return [x["generated_text"][-1]["content"] for x in self.pipe(messages, max_new_tokens=max_tokens, num_return_sequences=n, **draw, **({"stop_strings": self.stop, "tokenizer": self.pipe.tokenizer} if self.stop else {}))]
 
 
 BACKENDS = {"openai": OpenAI, "vllm": Local, "anthropic": Anthropic, "hf": Transformers, "google": Google, "echo": Echo, "lookup": Lookup}
@@ -135,7 +161,7 @@ def backend(name: str | None, base_url: str | None = None):
     return BACKENDS[name]
 
 
-def run_provider(tasks: DataFrame, make: Callable[[], Provider], max_tokens: int = 1024, system_msg: str | None = None, question: str = "prompt") -> DataFrame:
+def run_provider(tasks: DataFrame, make: Callable[[], Provider], max_tokens: int = 1024, system_msg: str | None = None, question: str = "prompt", temperature: float = 0.0) -> DataFrame:
     """tasks with output: array of replies to the question column. make() runs once a task partition; a rerun task asks again, so write by key."""
     from pyspark.sql import types as T
 
@@ -144,6 +170,6 @@ def run_provider(tasks: DataFrame, make: Callable[[], Provider], max_tokens: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
         for pdf in batches:
-            yield pdf.assign(output=[provider.generate_reply(q, max_tokens=max_tokens, system_msg=system_msg or None) for q in pdf[question]])
+            yield pdf.assign(output=[provider.generate_reply(q, max_tokens=max_tokens, temperature=temperature, system_msg=system_msg or None) for q in pdf[question]])
 
     return tasks.mapInPandas(run, schema)

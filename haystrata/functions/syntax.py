@@ -161,22 +161,46 @@ def clean_segment(text: str, language: str, path_comments: set[str]) -> str:
 
 
 def clean_partial_file(text: str, language: str, partial_lines: int, sign: str, path: str) -> str:
-    """The file's first partial_lines - 1 lines with comments blanked line for line, after its path comment and before an ellipsis."""
+    """The file's first partial_lines - 1 lines with comments blanked line for line, after its path comment; an ellipsis ends the last line."""
     kept = splice(text, language, lambda c: "\n" * c.count("\n")).split("\n")[: max(0, partial_lines - 1)]
-    return "\n".join([f"{sign} Path: {path}", *kept]) + "\n...\n"
+    return f"{sign} Path: {path}\n" + "\n".join(kept) + "...\n"
 
 
-def padding(sign: str, removed_tokens: int, count, start: int = 0) -> tuple[str, int]:
-    """Numbered comment lines that make up for removed tokens, and the next number."""
+def padding(sign: str, tokens: int, count, start: int = 0) -> tuple[str, int]:
+    """Numbered comment lines until they make up for so many tokens, and the next number."""
     out, k = [], start
-    while removed_tokens > 0:
-        line = f"{sign} Line Number {k}\n"
-        out.append(line)
-        removed_tokens -= count(line)
+    while tokens > 0:
+        out.append(f"{sign} Line Number {k}\n")
+        tokens -= count(out[-1])
         k += 1
     return "".join(out), k
 
 
+def _cleaned_side(part: str, language: str, far: dict | None, sign: str, keep: set[str], first: bool) -> str:
+    """One side of a context without comments. far: its outermost file (path, content, n_lines in the context), cleaned as a whole, since the context may cut it anywhere."""
+    if far is None:
+        return clean_segment(part, language, keep)
+    lines, n = part.split("\n"), far["n_lines"]
+    whole = clean_partial_file(far["content"], language, n, sign, far["path"])
+    if first:
+        return whole + clean_segment("\n".join(lines[n:]), language, keep)
+    return clean_segment("\n".join(lines[: len(lines) - 1 - n]) + "\n", language, keep) + whole
+
+
+def clean_context(language: str, sign: str, prefix: str, needle: str, suffix: str, paths: list[str], top: dict | None, bottom: dict | None, ratio: float, pad: bool, count) -> tuple[str, str, str]:
+    """Prefix, needle and suffix without comments but for those that name one of paths. pad: comment lines before the prefix and after the suffix make
+    up for the tokens removed, those of the needle shared by ratio, less one on each side, so that the needle keeps its place."""
+    keep = {f"{sign} Path: {p}" for p in paths}
+    new = (_cleaned_side(prefix, language, top, sign, keep, True), clean_segment(needle, language, keep), _cleaned_side(suffix, language, bottom, sign, keep, False))
+    if not pad:
+        return new
+    lost = [count(a) - count(b) for a, b in zip((prefix, needle, suffix), new)]
+    before = int(lost[1] * ratio)
+    head, k = padding(sign, before + lost[0] - 1, count)
+    tail, _ = padding(sign, lost[1] - before + lost[2] - 1, count, k)
+    return head + "\n" + new[0], new[1], new[2] + tail + "\n"
+
+
 def obfuscate(text: str | None, language: str) -> str:
     """Every comment as NUL bytes of the same byte length with a line end last; the text keeps its byte length."""
     return splice(text, language, lambda c: "\0" * (len(c.encode()) - 1) + "\n" if c else "")

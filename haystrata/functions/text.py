@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +18,39 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+class Counter:
+    """Token counts of text: counter(column) is a column, counter.text(string) a number. count: of one string; column: a built-in expression with
+    the same result, else count runs in Arrow batches. setup: makes count once a worker, for tokenizers that load files."""
+
+    def __init__(self, count: Callable[[str], int] | None = None, column: Callable[[Column], Column] | None = None, setup: Callable[[], Callable[[str], int]] | None = None):
+        self.count, self.column, self.setup = count, column, setup
+
+    def text(self, value: str) -> int:
+        if self.count is None:
+            self.count = self.setup()
+        return self.count(value)
+
+    def __getstate__(self):
+        return {"count": None if self.setup else self.count, "column": None, "setup": self.setup}
+
+    def __call__(self, c) -> Column:
+        return self.column(col(c)) if self.column else self._batched()(col(c))
+
+    def _batched(self):
+        own = Counter(self.count if not self.setup else None, None, self.setup)
+
+        @F.pandas_udf("int")
+        def run(values: pd.Series) -> pd.Series:
+            return values.map(lambda x: None if x is None else own.text(x)).astype("Int32")
+
+        return run
+
+
+_TOKEN = re.compile(r"\S+", re.A)
+#: White-space tokens and the line end: the built-in line cost.
+space_tokens = Counter(lambda x: len(_TOKEN.findall(x)) + 1, lambda c: F.regexp_count(c, F.lit(r"\S+")) + 1)
+
+
 def task_id(language, repo, name) -> Column:
     return F.concat(col(language), F.lit("::"), col(repo), F.lit("::"), col(name))
 
@@ -36,8 +73,21 @@ def description_block(description) -> Column:
     return F.concat(F.lit("\nFunction Description:"), col(description), F.lit("\n"))
 
 
-def prompt(instruction, context, description) -> Column:
-    return F.concat(col(instruction), col(context), col(description), col(instruction))
+def prompt(template, parts: dict) -> Column:
+    """The parts that the template's lines name, one after another with nothing between; a name that is no part is an error when it is met."""
+    held = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), col(v))])
+    piece = lambda k: F.coalesce(F.element_at(held, k), F.raise_error(F.concat(F.lit("no such part of a prompt: "), k)).cast("string"))
+    return F.array_join(F.transform(F.split(col(template), "\n"), piece), "")
+
+
+def actual_ratio(needle_token_start, code_context_ntokens) -> Column:
+    """Where the needle really begins, as a share of the context's tokens; null for an empty context."""
+    return F.try_divide(col(needle_token_start).cast("double"), col(code_context_ntokens))
+
+
+def repo_tail(repo) -> Column:
+    """The name of a repository without its owner."""
+    return F.substring_index(col(repo), "/", -1)
 
 
 def line_slice(text, start, end) -> Column:

@@ -2,7 +2,8 @@
 
 Every line costs at least one token, so "add lines while the total fits" keeps the rows whose running sum fits. The same
 holds for whole files: a neighbour file is visited while the budget less the files before it is positive, and only the one
-file that does not fit whole is cut line by line. Files are therefore pruned before any line is exploded.
+file that does not fit whole is cut line by line. Token sums of the files are made once a repository, over numbers only; a needle
+finds the files it visits by an equality join on stretches of that sum as long as a context, and only their texts are fetched.
 
 files: language, repo, path, file_idx, content. needles: language, repo, path, name, start_byte, end_byte, needle_ord,
 n_needles. Offsets are bytes of UTF-8 (offset_mode='bytes') or code points ('chars').
@@ -10,20 +11,17 @@ n_needles. Offsets are bytes of UTF-8 (offset_mode='bytes') or code points ('cha
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haystrata.functions.text import path_comment, position_ratio, prefix_budget
+from haystrata.functions import syntax
+from haystrata.functions.text import path_comment, position_ratio, prefix_budget, space_tokens
 from haystrata.schema import COMMENT_SIGN
 
 ELLIPSIS = "...\n"
 
 
-def space_tokens(line: Column) -> Column:
-    """White-space tokens and the line end: the built-in line cost."""
-    return F.regexp_count(line, F.lit(r"\S+")) + 1
-
-
 def budget_lines(lines: DataFrame, key: list[str], budget, backward: bool = False) -> DataFrame:
     """lines (key, line_no, n_tok, …) that fit the budget from the top, or backward from the bottom, with run: the running sum."""
     order = F.desc("line_no") if backward else F.asc("line_no")
@@ -56,51 +54,105 @@ def _cut(lines: DataFrame, key: list[str], backward: bool, ellipsis: bool) -> Da
     return rows.groupBy(*key).agg(F.concat(text, end).alias("part"))
 
 
-def make_context(needles: DataFrame, files: DataFrame, context_size: int, count=space_tokens, offset_mode: str = "bytes") -> DataFrame:
+def _rows() -> Column:
+    """A file's lines in a context: the comment with its path, then its own."""
+    return F.concat(F.array(path_comment(_sign(), "path")), F.split("content", "\n"))
+
+
+def file_costs(files: DataFrame, count=space_tokens) -> DataFrame:
+    """(language, repo, file_idx, n_tok, before): each file's tokens and those of the repository's files before it."""
+    if count.column:
+        tokens = F.aggregate(F.transform(_rows(), lambda x: count(F.concat(x, F.lit("\n")))), F.lit(0), lambda a, x: a + x)
+        costs = files.select("language", "repo", "file_idx", tokens.cast("long").alias("n_tok"))
+    else:  # batches of lines
+        lines = files.select("language", "repo", "file_idx", F.explode(_rows()).alias("line"))
+        costs = lines.withColumn("n", count(F.concat("line", F.lit("\n")))).groupBy("language", "repo", "file_idx").agg(F.sum("n").cast("long").alias("n_tok"))
+    w = Window.partitionBy("language", "repo").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
+    return costs.withColumn("before", F.coalesce(F.sum("n_tok").over(w), F.lit(0)).cast("long"))
+
+
+def visited(needles: DataFrame, costs: DataFrame, span: int, backward: bool) -> DataFrame:
+    """(needle columns, file_idx, n_tok, left, whole) of the files that needles (language, repo, own_idx, own_end or own_begin as at, budget of at most span) visit.
+
+    Before: files whose end is in (at - budget, at]; after: files whose begin is in [at, at + budget). Both lie in at most two stretches of span tokens.
+    """
+    place = F.col("before") + F.col("n_tok") - 1 if backward else F.col("before")
+    f = costs.select("language", "repo", F.col("file_idx").alias("to_idx"), "n_tok", "before", F.floor(place / span).alias("stretch"))
+    low, high = (F.col("at") - F.col("budget"), F.col("at")) if backward else (F.col("at"), F.col("at") + F.col("budget"))
+    n = needles.where("budget > 0").withColumn("stretch", F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / span), F.floor(high / span))))
+    got = n.join(f, ["language", "repo", "stretch"])
+    got = got.where(F.col("to_idx") < F.col("own_idx") if backward else F.col("to_idx") > F.col("own_idx"))
+    spent = F.col("at") - F.col("before") - F.col("n_tok") if backward else F.col("before") - F.col("at")
+    got = got.withColumn("left", F.col("budget") - spent).where(F.col("left") > 0).withColumn("whole", F.col("n_tok") <= F.col("left"))
+    return got.drop("stretch", "before", "at").withColumnRenamed("to_idx", "file_idx")
+
+
+def make_context(needles: DataFrame, files: DataFrame, context_size: int, count=space_tokens, offset_mode: str = "bytes", parts: bool = False) -> DataFrame:
     """needles with position_ratio, code_context, needle_token_start, needle_token_end, code_context_ntokens.
 
     Needles whose file is missing are dropped, as no context can be cut for them. A needle larger than its share of the
-    budget gets an empty prefix.
+    budget gets an empty prefix. parts: also prefix, needle_code, suffix, context_paths, and top_file and bottom_file (path, content, n_lines): the
+    outermost neighbour files, null without any.
     """
-    key = ["language", "repo", "nid"]
-    needles = needles.withColumn("nid", F.xxhash64("language", "repo", "path", "name", "start_byte")).withColumn("position_ratio", position_ratio("needle_ord", "n_needles"))
-    own = needles.join(files.select("language", "repo", "path", "file_idx", "content"), ["language", "repo", "path"])
+    key = ["language", "repo", "path", "name", "start_byte", "end_byte", "needle_ord"]
+    needles = needles.withColumn("position_ratio", position_ratio("needle_ord", "n_needles"))
+    costs = file_costs(files, count)
+    own = needles.join(files.select("language", "repo", "path", "file_idx", "content"), ["language", "repo", "path"]).join(costs.withColumnRenamed("n_tok", "file_tok"), ["language", "repo", "file_idx"])
     if offset_mode == "bytes":
         raw = F.encode("content", "UTF-8")
         piece = lambda a, n: F.decode(F.substring(raw, a, n), "UTF-8")
     else:
         piece = lambda a, n: F.substring(F.col("content"), a, n)
-    own = own.withColumn("needle_code", piece(F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))).withColumn("before", piece(F.lit(1), F.col("start_byte"))).withColumn("after", piece(F.col("end_byte") + 1, F.lit(2**31 - 1)))
+    own = own.withColumn("needle_code", piece(F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))).withColumn("before_needle", piece(F.lit(1), F.col("start_byte"))).withColumn("after_needle", piece(F.col("end_byte") + 1, F.lit(2**31 - 1)))
     own = own.withColumn("needle_tok", count(F.col("needle_code"))).withColumn("pre", prefix_budget(F.lit(context_size), "position_ratio", "needle_tok"))
     own = own.withColumn("suf", F.lit(context_size) - F.col("needle_tok") - F.col("pre"))
-    # the needle's own file
-    sides = []
+    out = own
+    texts = files.select("language", "repo", "file_idx", F.col("path").alias("to_path"), "content", _rows().alias("rows"))
     for side, backward in (("prefix", True), ("suffix", False)):
-        rows = F.concat(F.array(path_comment(_sign(), "path")), F.split("before", "\n")) if backward else F.split("after", "\n")
+        # the needle's own file
+        rows = F.concat(F.array(path_comment(_sign(), "path")), F.split("before_needle", "\n")) if backward else F.split("after_needle", "\n")
         lines = own.select(*key, F.col("pre" if backward else "suf").alias("budget"), F.posexplode(rows).alias("line_no", "line"))
         lines = lines.withColumn("n_tok", count(F.concat("line", F.lit("\n"))))
         total = lines.groupBy(*key).agg(F.sum("n_tok").alias("own_tok"))
-        sides.append((_cut(lines, key, backward, not backward), total))
-    # whole neighbour files, nearest first
-    costs = files.withColumn("sign", _sign()).select("language", "repo", "path", "file_idx", F.concat(F.array(path_comment("sign", "path")), F.split("content", "\n")).alias("rows"))
-    costs = costs.withColumn("n_tok", F.aggregate(F.transform("rows", lambda x: count(F.concat(x, F.lit("\n")))), F.lit(0), lambda a, x: a + x).cast("long"))
-    out = own
-    for k, (side, backward) in enumerate((("prefix", True), ("suffix", False))):
-        part, total = sides[k]
-        base = own.select(*key, F.col("file_idx").alias("own_idx"), F.col("pre" if backward else "suf").alias("side_budget")).join(total, key)
-        base = base.withColumn("budget", F.col("side_budget") - F.col("own_tok"))
-        near = base.where("budget > 0").join(costs.select("language", "repo", "file_idx", "n_tok"), ["language", "repo"])
-        near = near.where(F.col("file_idx") < F.col("own_idx") if backward else F.col("file_idx") > F.col("own_idx"))
-        near = file_budget(near, key, F.col("budget"), F.desc("file_idx") if backward else F.asc("file_idx"))
-        near = near.join(costs.select("language", "repo", "file_idx", "rows"), ["language", "repo", "file_idx"])
-        whole = near.where("whole").select(*key, "file_idx", F.concat(F.array_join("rows", "\n"), F.lit("\n")).alias("part"))
-        edge = near.where("not whole").select(*key, "file_idx", F.col("left").alias("budget"), F.posexplode("rows").alias("line_no", "line"))
-        edge = _cut(edge.withColumn("n_tok", count(F.concat("line", F.lit("\n")))), [*key, "file_idx"], False, True).select(*key, "file_idx", "part")
-        files_text = whole.union(edge).groupBy(*key).agg(_text("file_idx").alias(f"{side}_files"))
-        out = out.join(part.withColumnRenamed("part", f"{side}_own"), key, "left").join(files_text, key, "left")
+        part = _cut(lines, key, backward, not backward)
+        # neighbour files, nearest first
+        base = own.select(*key, F.col("file_idx").alias("own_idx"), (F.col("before") if backward else F.col("before") + F.col("file_tok")).alias("at"), F.col("pre" if backward else "suf").alias("side_budget")).join(total, key)
+        near = visited(base.withColumn("budget", F.col("side_budget") - F.col("own_tok")).drop("own_tok", "side_budget"), costs, context_size, backward)
+        near = near.join(texts, ["language", "repo", "file_idx"])
+        name = [*key, "file_idx", "to_path", "content"]
+        whole = near.where("whole").select(*name, F.concat(F.array_join("rows", "\n"), F.lit("\n")).alias("part"))
+        edge = near.where("not whole").select(*name, F.col("left").alias("budget"), F.posexplode("rows").alias("line_no", "line"))
+        edge = _cut(edge.withColumn("n_tok", count(F.concat("line", F.lit("\n")))), name, False, True).select(*name, "part")
+        far = F.max_by(F.struct(F.col("to_path").alias("path"), "content", (F.size(F.split("part", "\n")) - 1).alias("n_lines")), -F.col("file_idx") if backward else F.col("file_idx"))
+        paths = F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "to_path"))), lambda x: x["to_path"])
+        around = whole.union(edge).groupBy(*key).agg(_text("file_idx").alias(f"{side}_files"), far.alias("top_file" if backward else "bottom_file"), paths.alias(f"{side}_paths"))
+        out = out.join(part.withColumnRenamed("part", f"{side}_own"), key, "left").join(around, key, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    prefix, suffix = F.concat(text("prefix_files"), text("prefix_own")), F.concat(text("suffix_own"), text("suffix_files"))
-    out = out.withColumn("prefix", prefix).withColumn("suffix", suffix)
+    none = F.array().cast("array<string>")
+    out = out.withColumn("prefix", F.concat(text("prefix_files"), text("prefix_own"))).withColumn("suffix", F.concat(text("suffix_own"), text("suffix_files")))
+    out = out.withColumn("context_paths", F.concat(F.coalesce("prefix_paths", none), F.array("path"), F.coalesce("suffix_paths", none)))
+    out = out.drop("content", "before_needle", "after_needle", "needle_tok", "pre", "suf", "before", "file_tok", "prefix_own", "suffix_own", "prefix_files", "suffix_files", "prefix_paths", "suffix_paths", "file_idx")
+    out = joined(out, count)
+    return out if parts else out.drop("prefix", "needle_code", "suffix", "context_paths", "top_file", "bottom_file")
+
+
+def joined(rows: DataFrame, count=space_tokens) -> DataFrame:
+    """rows (prefix, needle_code, suffix) with code_context and the token places, counted on the three finished strings."""
     start = count(F.col("prefix"))
-    out = out.withColumn("code_context", F.concat("prefix", "needle_code", "suffix")).withColumn("needle_token_start", start).withColumn("needle_token_end", start + F.col("needle_tok")).withColumn("code_context_ntokens", start + F.col("needle_tok") + count(F.col("suffix")))
-    return out.drop("nid", "content", "before", "after", "needle_tok", "pre", "suf", "prefix_own", "suffix_own", "prefix_files", "suffix_files", "file_idx", "needle_code", "prefix", "suffix")
+    rows = rows.withColumn("code_context", F.concat("prefix", "needle_code", "suffix")).withColumn("needle_token_start", start).withColumn("needle_token_end", start + count(F.col("needle_code")))
+    return rows.withColumn("code_context_ntokens", F.col("needle_token_end") + count(F.col("suffix")))
+
+
+def clean_contexts(rows: DataFrame, pad: bool, count=space_tokens) -> DataFrame:
+    """Contexts of make_context(parts=True) without comments, padded or not, with their token places counted anew."""
+    kept = ["language", "sign", "prefix", "needle_code", "suffix", "context_paths", "top_file", "bottom_file", "position_ratio"]
+
+    @F.pandas_udf("prefix string, needle string, suffix string")
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        none = lambda x: None if x is None or not isinstance(x, dict) or x.get("path") is None else x
+        got = [syntax.clean_context(r["language"], r["sign"], r["prefix"], r["needle_code"], r["suffix"], list(r["context_paths"]), none(r["top_file"]), none(r["bottom_file"]), r["position_ratio"], pad, count.text) for r in frame.to_dict("records")]
+        return pd.DataFrame(got, columns=["prefix", "needle", "suffix"])
+
+    rows = rows.withColumn("sign", _sign())
+    rows = rows.withColumn("clean", run(F.struct(*kept))).withColumn("prefix", F.col("clean.prefix")).withColumn("needle_code", F.col("clean.needle")).withColumn("suffix", F.col("clean.suffix"))
+    return joined(rows.drop("clean", "sign"), count)

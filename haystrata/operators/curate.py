@@ -14,6 +14,16 @@ def unique_names(functions: DataFrame) -> DataFrame:
     return functions.join(once, [*REPO, "name"], "left_semi")
 
 
+def functions_per_repo(functions: DataFrame) -> DataFrame:
+    """language, repo, n_functions."""
+    return functions.groupBy(*REPO).agg(F.count(F.lit(1)).alias("n_functions"))
+
+
+def pending(rows: DataFrame, results: DataFrame | None, key: list[str], overwrite: bool = False) -> DataFrame:
+    """The rows that a stage still has to do: those whose key has no result yet, all of them to overwrite."""
+    return rows if overwrite or results is None else rows.join(results.select(*key), key, "left_anti")
+
+
 def repo_sizes(files: DataFrame) -> DataFrame:
     """language, repo, n_chars: code points of all files."""
     return files.groupBy(*REPO).agg(F.sum(F.length("content")).alias("n_chars"))
@@ -43,10 +53,11 @@ def select_needles(functions: DataFrame, files: DataFrame, max_len: int = 2000,
 
 
 def global_offsets(files: DataFrame, order: str = "topo_idx") -> DataFrame:
-    """files with the code points and lines of the files before them in their repository."""
+    """files, without their content, with the code points and lines of the files before them in their repository. Only numbers are shuffled and sorted."""
+    rows = files.withColumn("__chars", F.length("content").cast("long")).withColumn("__lines", F.size(F.split("content", "\n")).cast("long")).drop("content")
     w = Window.partitionBy(*REPO).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.withColumn("chars_before", F.coalesce(F.sum(F.length("content")).over(w), F.lit(0)))
-    return rows.withColumn("lines_before", F.coalesce(F.sum(F.size(F.split("content", "\n"))).over(w), F.lit(0)))
+    rows = rows.withColumn("chars_before", F.coalesce(F.sum("__chars").over(w), F.lit(0))).withColumn("lines_before", F.coalesce(F.sum("__lines").over(w), F.lit(0)))
+    return rows.drop("__chars", "__lines")
 
 
 def with_global_spans(functions: DataFrame, files: DataFrame) -> DataFrame:

@@ -141,4 +141,12 @@ def prefix_paths(deps: DataFrame, parent: str, files: DataFrame) -> DataFrame:
     return out
 
 
+def crate_targets(metadata: DataFrame, entrypoint: str) -> DataFrame:
+    """(repo, name, src_path, kind) of the targets of cargo metadata (repo, metadata as JSON) under the entry point that are libraries or programs by their first kind."""
+    ddl = "packages array<struct<targets:array<struct<name:string,src_path:string,kind:array<string>>>>>"
+    rows = metadata.select("repo", F.explode(F.from_json("metadata", ddl)["packages"]).alias("p")).select("repo", F.explode("p.targets").alias("t"))
+    rows = rows.select("repo", "t.name", "t.src_path", F.get("t.kind", F.lit(0)).alias("kind"))
+    return rows.where(F.contains("src_path", F.lit(entrypoint)) & F.col("kind").isin("lib", "bin"))
+
+
 EDGES = {"cpp": cpp_edges, "python": python_edges, "java": java_edges, "go": go_edges, "rust": rust_edges, "typescript": typescript_edges}

@@ -14,6 +14,7 @@ from haystrata.functions import syntax, text
 from haystrata.functions.bleu import similarity
 from haystrata.functions.provider import Echo, run_provider
 from haystrata.operators import context, curate, graph, score
+from haystrata.plans import evaluate
 from haystrata.streaming import resume
 
 QUERIES: dict = {}
@@ -195,8 +196,8 @@ def q14_budget_split(spark, d):
 
 @query("SELECT conv_id, turn, md5('Find:' || text || chr(10) || 'Function Description:' || role || chr(10) || 'Find:') AS prompt_md5 FROM conversations")
 def q15_prompt_concat(spark, d):
-    rows = t(spark, d, "conversations").select("conv_id", "turn", F.lit("Find:").alias("i"), F.col("text").alias("c"), text.description_block("role").alias("s"))
-    return rows.select("conv_id", "turn", F.md5(text.prompt("i", "c", "s")).alias("prompt_md5"))
+    rows = t(spark, d, "conversations").select("conv_id", "turn", F.lit("Find:").alias("instruction"), F.col("text").alias("code_context"), text.description_block("role").alias("description"), F.lit(evaluate.TEMPLATE).alias("template"))
+    return evaluate.with_prompt(rows).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
 
 
 @query("SELECT doc_id, lang || '::' || source || '::' || doc_id AS task_id, lang || '::' || source || '::' || doc_id || '::16384::0.25::none' AS cache_id FROM documents")

@@ -30,30 +30,36 @@ def build_tasks(needles: DataFrame, files: DataFrame, context_size: int = 16 * 1
         raise ValueError(f"clean_mode must be one of {CLEAN_MODES}")
     if languages:
         needles, files = (x.where(F.col("language").isin(languages)) for x in (needles, files))
-    out = context.make_context(needles.where("description is not null"), files, context_size, count)
+    out = context.make_context(needles.where("description is not null"), files, context_size, count, parts=clean_mode != "none")
     if clean_mode != "none":
-        cleaned = syntax.without_comments("code_context", "language")
-        lost = F.col("code_context_ntokens") - count(cleaned)
-        out = out.withColumn("__lost", lost).withColumn("code_context", cleaned)
-        if clean_mode == "positional_padding":
-            sign = context._sign()
-            lines = F.when(F.col("__lost") > 4, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.col("__lost") / 5) - 1, F.lit(0))), lambda k: F.concat(sign, F.lit(" Line Number "), k.cast("string"), F.lit("\n"))), "")).otherwise("")
-            out = out.withColumn("code_context", F.concat(lines, "code_context"))
-        out = out.drop("__lost")
+        out = context.clean_contexts(out, clean_mode == "positional_padding", count).drop("prefix", "needle_code", "suffix", "context_paths", "top_file", "bottom_file")
     out = out.withColumn("description", text.description_block("description")).withColumn("instruction", F.lit(INSTRUCTION)).withColumn("template", F.lit(TEMPLATE))
     out = out.withColumn("task_id", text.task_id("language", "repo", "name")).withColumn("cache_id", text.cache_id("language", "repo", "name", F.lit(context_size), "position_ratio", clean_mode))
-    return out.withColumn("prompt", text.prompt("instruction", "code_context", "description"))
+    return with_prompt(out)
+
+
+def with_prompt(tasks: DataFrame) -> DataFrame:
+    """tasks with the prompt that their own template asks for."""
+    return tasks.withColumn("prompt", text.prompt("template", {k: k for k in ("instruction", "code_context", "description")}))
+
+
+def orphans(outputs: DataFrame, needles: DataFrame) -> DataFrame:
+    """(language, repo) of outputs whose repository the dataset does not have."""
+    return outputs.select("language", "repo").distinct().join(needles.select("language", "repo").distinct(), ["language", "repo"], "left_anti")
 
 
 def evaluate(tasks: DataFrame, make: Callable[[], Provider], done: DataFrame | None = None, max_new_tokens: int = 1024, system_message: str | None = None) -> DataFrame:
     """Outputs of all tasks: those done already and the provider's replies to the others."""
-    todo = tasks if done is None else unfinished(tasks, done)
+    todo = with_prompt(tasks if done is None else unfinished(tasks, done))
     new = run_provider(todo, make, max_new_tokens, system_message)
     return new if done is None else done.unionByName(new, allowMissingColumns=True)
 
 
 def score_all(outputs: DataFrame, needles: DataFrame, files: DataFrame, ignore_comments: bool = False, use_functions: bool = True) -> tuple[DataFrame, DataFrame]:
     """(evaluation rows, pass rates by scope). Needle code is whole lines of its file. ignore_comments compares without comments on both sides."""
+    lost = orphans(outputs, needles).limit(5).collect()
+    if lost:
+        raise ValueError(f"outputs of repositories that are not in the dataset: {[tuple(r) for r in lost]}")
     code = needles.join(files.select("language", "repo", "path", "content"), ["language", "repo", "path"]).withColumn("code", text.line_slice("content", "start_line", "end_line")).drop("content")
     outs = outputs
     if use_functions:
@@ -85,10 +91,25 @@ def analyse_functions(files: DataFrame) -> DataFrame:
 
 
 def annotation_requests(needles: DataFrame, files: DataFrame, prefix_lines: int = 100) -> DataFrame:
-    """needles with prompt: a request to describe the function, shown after the lines before it."""
-    rows = needles.join(files.select("language", "repo", "path", "content"), ["language", "repo", "path"])
-    code = text.line_slice("content", F.greatest(F.lit(0), F.col("start_line") - prefix_lines), "end_line")
-    return rows.withColumn("prompt", text.annotation_prompt("name", code)).drop("content")
+    """needles (language, repo, name, global_start_line, global_end_line) with prompt: a request to describe the function, shown after the prefix_lines
+    lines before it. Lines count through all files (language, repo, path, file_idx, content) of the repository in order, so they may reach into the files before."""
+    base = curate.global_offsets(files, "file_idx").select("language", "repo", "file_idx", F.col("lines_before").alias("first"))
+    base = base.join(files.select("language", "repo", "file_idx", "content"), ["language", "repo", "file_idx"]).withColumn("end", F.col("first") + F.size(F.split("content", "\n")))
+    low = F.greatest(F.lit(0), F.col("global_start_line") - prefix_lines)
+    near = needles.withColumn("low", low).join(base, ["language", "repo"]).where("end > low and first < global_end_line")
+    part = text.line_slice("content", F.greatest(F.lit(0), F.col("low") - F.col("first")).cast("int"), (F.least("global_end_line", "end") - F.col("first")).cast("int"))
+    names = needles.columns
+    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", F.col("part").alias("t")))), lambda x: x["t"]), "\n")
+    rows = near.withColumn("part", part).groupBy(*names).agg(code.alias("code"))
+    return rows.withColumn("prompt", text.annotation_prompt("name", "code")).drop("code")
+
+
+def annotate(needles: DataFrame, files: DataFrame, make: Callable[[], Provider], done: DataFrame | None = None) -> DataFrame:
+    """Annotations (repo, name, prompt, raw_annotation, annotation) of the needles that done has none of, with the settings that annotation asks with."""
+    todo = needles if done is None else unfinished(needles, done, ["repo", "name"])
+    # The length and the temperature of an annotation.
+    replies = run_provider(annotation_requests(todo, files), make, max_tokens=2048, temperature=0.2)
+    return parse_annotations(replies).select("repo", "name", "prompt", "raw_annotation", "annotation")
 
 
 def parse_annotations(replies: DataFrame) -> DataFrame:
@@ -98,9 +119,10 @@ def parse_annotations(replies: DataFrame) -> DataFrame:
 
 
 def token_stats(files: DataFrame, count=context.space_tokens) -> DataFrame:
-    """language, repo, tokens of each repository's files with a path comment each."""
-    body = F.concat(context._sign(), F.lit(" current path: "), F.col("path"), F.lit("\n"), F.col("content"))
-    return files.groupBy("language", "repo").agg(F.sum(count(body)).alias("tokens"))
+    """language, repo, tokens of each repository's files as one text, with a path comment each."""
+    sign = F.any_value(context._sign())
+    one = files.groupBy("language", "repo").agg(text.big_file(F.collect_list(F.struct("path", "content")), sign).alias("text"))
+    return one.select("language", "repo", count(F.col("text")).alias("tokens"))
 
 
 def obfuscate_files(files: DataFrame) -> DataFrame:

@@ -29,11 +29,11 @@ def _held(read: Callable[[], DataFrame]) -> DataFrame | None:
         return None
 
 
-def provider_maker(model: str, backend_name: str | None = None, base_url: str | None = None, code_context_size: int = 16384, tensor_parallel_size: int = 1) -> Callable[[], Provider]:
+def provider_maker(model: str, backend_name: str | None = None, base_url: str | None = None, code_context_size: int = 16384, tensor_parallel_size: int = 1, trust_remote_code: bool = False, attn_implementation: str | None = None) -> Callable[[], Provider]:
     """What makes a worker's provider. Without a name: 'openai' if there is a base_url, else 'vllm'."""
     cls = backend(backend_name, base_url)
     name = backend_name or ("openai" if base_url else "vllm")
-    more = {"openai": {"base_url": base_url}, "vllm": {"context_size": code_context_size, "tensor_parallel_size": tensor_parallel_size}}.get(name, {})
+    more = {"openai": {"base_url": base_url}, "vllm": {"context_size": code_context_size, "tensor_parallel_size": tensor_parallel_size}, "hf": {"trust_remote_code": trust_remote_code, "attn_implementation": attn_implementation}}.get(name, {})
     return cls if name == "echo" else lambda: cls(model, **more)
 
 
@@ -56,20 +56,20 @@ def build_or_read_tasks(repos: DataFrame, folder: str | None, code_context_size:
 def evaluate_model(
     spark: SparkSession, model: str, base_url: str | None = None, backend_name: str | None = None, tensor_parallel_size: int = 1, code_context_size: int = 16 * 1024, max_new_tokens: int = 1024,
     result_dir: str = "results", languages: list[str] | None = None, caching: bool = True, system_message: str | None = None, dataset: str | None = None, clean_mode: str = "none",
-    make: Callable[[], Provider] | None = None, count=context.space_tokens,
+    make: Callable[[], Provider] | None = None, count=context.space_tokens, eval_ignore_comments: bool = False, trust_remote_code: bool = False, attn_implementation: str | None = None, flush_tasks: int = 256,
 ) -> str:
-    """Asks the model for every task that the result folder has no output of, appends the outputs as JSON lines, scores all of them
-    and returns the printed table. make: another provider than the backend's."""
+    """Asks the model for every task that the result folder has no output of, appends the outputs as JSON lines, about flush_tasks at a time, scores all of
+    them and returns the printed table. make: another provider than the backend's. Cleaned contexts are scored without comments."""
     repos = readers.read_dataset(spark, readers.dataset_path(dataset))
-    make = make or provider_maker(model, backend_name, base_url, code_context_size, tensor_parallel_size)
+    make = make or provider_maker(model, backend_name, base_url, code_context_size, tensor_parallel_size, trust_remote_code, attn_implementation)
     out = sinks.output_name(result_dir, code_context_size, model)
     tasks = build_or_read_tasks(repos, f"{result_dir}/tasks" if caching else None, code_context_size, languages, clean_mode, count)
     done = _held(lambda: readers.read_jsonl(spark, out, schema.OUTPUT))
     todo = tasks if done is None else unfinished(tasks, done)
     new = evaluate.evaluate(todo, make, None, max_new_tokens, system_message)
     kept = [f.name for f in spark.createDataFrame([], schema.OUTPUT).schema]
-    sinks.append_jsonl(new.select(*kept), out)
-    return score_file(spark, out, dataset=dataset)
+    sinks.append_slices(new.select(*kept), out, TASK_KEY, max(1, -(-todo.count() // flush_tasks)))
+    return score_file(spark, out, eval_ignore_comments or clean_mode != "none", dataset)
 
 
 def score_file(spark: SparkSession, model_output_path: str, ignore_comments: bool = False, dataset: str | None = None, train_size: str | None = None, mode: str = "backup") -> str:

@@ -28,6 +28,22 @@ def append_jsonl(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
+def append_slices(df: DataFrame, folder: str, key: list[str], slices: int) -> None:
+    """df appended as JSON lines in so many jobs, each with the rows of some hashes of key: a run that is stopped keeps the slices that were done."""
+    part = F.pmod(F.xxhash64(*key), F.lit(slices))
+    for k in range(slices):
+        append_jsonl(df.where(part == k), folder)
+
+
+def obfuscate_dataset(repos: DataFrame, path: str, obfuscate) -> str:
+    """The dataset with obfuscate(content, language) in place of every file's content, as JSON rows by the side of path; returns where."""
+    files = repos.select("language", "repo_ord", F.explode("content").alias("path", "content")).withColumn("content", obfuscate("content", "language"))
+    one = files.groupBy("language", "repo_ord").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "content")))).alias("content"))
+    out = obfuscated_name(path)
+    repos.drop("content").join(one, ["language", "repo_ord"], "left").write.mode("error").json(out)
+    return out
+
+
 def save_scores(document: dict, path: str, mode: str = "backup") -> bool:
     """Write a score document. An existing one is moved to the first free .bak name (backup), kept (ignore) or an error."""
     if os.path.exists(path):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TASK_KEY = ["language", "repo", "name"]
@@ -19,7 +20,17 @@ def cached_or_new(tasks: DataFrame, cache: DataFrame, compute, key: str = "cache
 
 
 def append_results(spark: SparkSession, source: str, ddl: str, target: str, checkpoint: str, key: list[str] = TASK_KEY) -> None:
-    """Run through the new JSON lines in source, once each key, and append them to target. Rerun at any time: the checkpoint keeps what was read."""
-    rows = spark.readStream.schema(ddl).json(source).dropDuplicates(key)
-    query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Run through the new JSON lines in source and append those whose key target has not, once each. Rerun at any time: the checkpoint keeps what
+    was read, and a batch that runs again finds its rows in target, so no state grows with the stream."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        rows = batch.dropDuplicates(key)
+        try:
+            rows = unfinished(rows, batch.sparkSession.read.schema(ddl).parquet(target), key)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        rows.write.mode("append").parquet(target)
+
+    query = spark.readStream.schema(ddl).json(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
