@@ -7,14 +7,18 @@ a repository are those whose item_id mod 20 is the number of its source.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from haystrata.functions import syntax, text
 from haystrata.functions.bleu import similarity
 from haystrata.functions.provider import Echo, run_provider
-from haystrata.operators import context, curate, graph, score
+from haystrata.operators import context, curate, deps, graph, score
 from haystrata.plans import evaluate
+from haystrata.sources import readers, sinks
 from haystrata.streaming import resume
 
 QUERIES: dict = {}
@@ -161,14 +165,39 @@ def q11_file_budget_suffix(spark, d):
     return _file_budget(spark, d, F.asc("doc_id"))
 
 
-@query()
+def _tok(x):
+    return f"(len(regexp_extract_all({x}, '[^ \\t\\n\\x0B\\f\\r]+')) + 1)"
+
+
+#: A needle a repository: all of the middle document but its first tenth and last half, in a context of 2,000 tokens at ratio 0.5.
+_CONTEXT_SQL = f"""
+WITH d AS (SELECT lang, source, doc_id, text, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lang, source) AS k FROM documents),
+f AS (SELECT lang, source, doc_id, list_concat(['# Path: ' || doc_id], string_split(text, chr(10))) AS rows FROM documents),
+c AS (SELECT *, list_sum(list_transform(rows, lambda x: {_tok("x")})) AS n FROM f),
+own AS (SELECT lang, source, doc_id, text, length(text) // 10 AS a, length(text) // 2 AS b FROM d WHERE i = (k + 1) // 2),
+nd AS (SELECT *, substring(text, a + 1, b - a) AS needle, list_concat(['# Path: ' || doc_id], string_split(substring(text, 1, a), chr(10))) AS up, string_split(substring(text, b + 1), chr(10)) AS down FROM own),
+bg AS (SELECT *, trunc(2000 * 0.5 - {_tok("needle")} / 2.0)::BIGINT AS pre, 2000 - {_tok("needle")} - trunc(2000 * 0.5 - {_tok("needle")} / 2.0)::BIGINT AS suf FROM nd),
+ul AS (SELECT lang, source, pre, j, up[j] AS line, sum({_tok("up[j]")}) OVER (PARTITION BY lang, source ORDER BY j DESC) AS run FROM (SELECT *, unnest(range(1, len(up) + 1)) AS j FROM bg)),
+u AS (SELECT lang, source, max(run) AS used, coalesce(string_agg(line || chr(10), '' ORDER BY j) FILTER (run <= pre), '') AS part FROM ul GROUP BY lang, source),
+dl AS (SELECT lang, source, suf, j, down[j] AS line, sum({_tok("down[j]")}) OVER (PARTITION BY lang, source ORDER BY j) AS run FROM (SELECT *, unnest(range(1, len(down) + 1)) AS j FROM bg)),
+w AS (SELECT lang, source, max(run) AS used, coalesce(string_agg(line || chr(10), '' ORDER BY j) FILTER (run <= suf), '') || CASE WHEN max(run) > any_value(suf) THEN '...' || chr(10) ELSE '' END AS part FROM dl GROUP BY lang, source),
+pf AS (SELECT c.lang, c.source, c.doc_id, c.rows, c.n, bg.pre - u.used - coalesce(sum(c.n) OVER (PARTITION BY c.lang, c.source ORDER BY c.doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM c JOIN bg ON c.lang = bg.lang AND c.source = bg.source AND c.doc_id < bg.doc_id JOIN u ON u.lang = c.lang AND u.source = c.source),
+sf AS (SELECT c.lang, c.source, c.doc_id, c.rows, c.n, bg.suf - w.used - coalesce(sum(c.n) OVER (PARTITION BY c.lang, c.source ORDER BY c.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM c JOIN bg ON c.lang = bg.lang AND c.source = bg.source AND c.doc_id > bg.doc_id JOIN w ON w.lang = c.lang AND w.source = c.source),
+v AS (SELECT 'p' AS side, * FROM pf WHERE l > 0 UNION ALL SELECT 's', * FROM sf WHERE l > 0),
+vl AS (SELECT side, lang, source, doc_id, l, n, j, rows[j] AS line, sum({_tok("rows[j]")}) OVER (PARTITION BY side, lang, source, doc_id ORDER BY j) AS run FROM (SELECT *, unnest(range(1, len(rows) + 1)) AS j FROM v)),
+vp AS (SELECT side, lang, source, doc_id, coalesce(string_agg(line || chr(10), '' ORDER BY j) FILTER (run <= l), '') || CASE WHEN max(run) > any_value(l) THEN '...' || chr(10) ELSE '' END AS part FROM vl GROUP BY side, lang, source, doc_id),
+vs AS (SELECT side, lang, source, string_agg(part, '' ORDER BY doc_id) AS part FROM vp GROUP BY side, lang, source),
+j AS (SELECT bg.lang, bg.source, bg.doc_id, coalesce(x.part, '') || u.part AS prefix, needle, w.part || coalesce(y.part, '') AS suffix FROM bg JOIN u USING (lang, source) JOIN w USING (lang, source) LEFT JOIN vs x ON x.side = 'p' AND x.lang = bg.lang AND x.source = bg.source LEFT JOIN vs y ON y.side = 's' AND y.lang = bg.lang AND y.source = bg.source)
+SELECT lang AS language, source AS repo, doc_id::VARCHAR AS path, md5(prefix || needle || suffix) AS context_md5, {_tok("prefix")}::INT AS needle_token_start, ({_tok("prefix")} + {_tok("needle")})::INT AS needle_token_end, ({_tok("prefix")} + {_tok("needle")} + {_tok("suffix")})::INT AS code_context_ntokens FROM j"""
+
+
+@query(_CONTEXT_SQL)
 def q12_context_text(spark, d):
-    """One needle a repository, characters 10 to 60 of its middle document, with a context of 2,000 tokens."""
-    docs = t(spark, d, "documents")
-    files = docs.select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("file_idx"), F.col("text").alias("content"))
-    middle = files.groupBy("language", "repo").agg(F.expr("percentile_disc(0.5) within group (order by file_idx)").cast("long").alias("file_idx"))
-    needles = middle.select("language", "repo", F.col("file_idx").cast("string").alias("path"), F.lit("needle").alias("name"), F.lit(10).alias("start_byte"), F.lit(60).alias("end_byte"), F.lit(2).alias("needle_ord"), F.lit(5).alias("n_needles"))
-    got = context.make_context(needles, files, 2000, offset_mode="chars")
+    docs = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("file_idx"), F.col("text").alias("content"))
+    w = Window.partitionBy("language", "repo")
+    place = docs.select("language", "repo", "path", "file_idx", F.length("content").alias("n")).withColumn("i", F.row_number().over(w.orderBy("file_idx"))).withColumn("k", F.count(F.lit(1)).over(w))
+    needles = place.where("i = (k + 1) div 2").select("language", "repo", "path", F.lit("needle").alias("name"), F.expr("n div 10").cast("int").alias("start_byte"), F.expr("n div 2").cast("int").alias("end_byte"), F.lit(2).alias("needle_ord"), F.lit(5).alias("n_needles"))
+    got = context.make_context(needles, docs, 2000, offset_mode="chars")
     return got.select("language", "repo", "path", F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end", "code_context_ntokens")
 
 
@@ -282,9 +311,10 @@ def q25_merge_last_wins(spark, d):
     return curate.merge_last(events.select("user_id").distinct(), lines, ["user_id"], "last_event", "o")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 250000)")
 def q26_resume_anti(spark, d):
-    return resume.unfinished(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    done = t(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return resume.unfinished(t(spark, d, "customer").select("c_custkey"), done, ["c_custkey"])
 
 
 @query("SELECT o_orderkey AS k, round(o_totalprice, 2) AS v, 'cache' AS origin FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 0.0, 'new' FROM orders WHERE o_orderstatus <> 'F'")
@@ -297,12 +327,11 @@ def q27_cache_semi_union(spark, d):
 # --- texts ---
 
 
-@query("""WITH x AS (SELECT conv_id, turn, 'before' || chr(10) || '```py' || chr(10) || text || chr(10) || '```' || chr(10) || 'after' AS s FROM conversations WHERE NOT contains(text, '```'))
+@query("""WITH x AS (SELECT conv_id, turn, 'before' || chr(10) || '```py' || chr(10) || text || chr(10) || '```' || chr(10) || 'after' AS s FROM conversations)
 SELECT conv_id, turn, len(b)::INT AS n_blocks, md5(b[1]) AS first_md5 FROM (SELECT conv_id, turn, regexp_extract_all(s, '(?sm)^```(?:[0-9A-Za-z_]+)?\\s*\\n(.*?)^```', 1) AS b FROM x)""")
 def q28_fence_extract(spark, d):
     f = text.FENCE
-    rows = t(spark, d, "conversations").where(~F.contains("text", F.lit(f)))
-    rows = rows.select("conv_id", "turn", text.fences(F.concat(F.lit(f"before\n{f}py\n"), "text", F.lit(f"\n{f}\nafter"))).alias("b"))
+    rows = t(spark, d, "conversations").select("conv_id", "turn", text.fences(F.concat(F.lit(f"before\n{f}py\n"), "text", F.lit(f"\n{f}\nafter"))).alias("b"))
     return rows.select("conv_id", "turn", F.size("b").alias("n_blocks"), F.md5(F.get("b", F.lit(0))).alias("first_md5"))
 
 
@@ -318,32 +347,94 @@ def q30_line_slice(spark, d):
     return t(spark, d, "documents").select("doc_id", F.md5(text.line_slice("text", F.lit(1), F.lit(4))).alias("slice_md5"))
 
 
-@query("SELECT page_id, md5(regexp_replace(html, '<!--.*?-->', '', 'gs')) AS bare_md5 FROM pages")
+#: A function of two lines in each language, before and after its name.
+_FUNCTION = {"python": ("def ", "():\n    return 1\n"), "java": ("int ", "() {\n    return 1; }\n"), "typescript": ("function ", "() {\n    return 1; }\n"), "rust": ("fn ", "() -> i32 {\n    1 }\n"), "cpp": ("int ", "() {\n    return 1; }\n"), "go": ("func ", "() int {\n    return 1 }\n")}
+
+
+def _commented_code(doc_id, text):
+    """language and code columns: every line of a whole text as a comment, then a function f<doc_id>."""
+    names = list(_FUNCTION)
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.col(doc_id), F.lit(len(names))).cast("int") + 1)
+    sign = pick(["# " if n == "python" else "// " for n in names])
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
+    code = F.concat(F.array_join(F.transform(lines, lambda x: F.concat(sign, x, F.lit("\n"))), ""), pick([a for a, _ in _FUNCTION.values()]), F.lit("f"), F.col(doc_id).cast("string"), pick([b for _, b in _FUNCTION.values()]))
+    return pick(names).alias("language"), code.alias("code")
+
+
+_PICK = lambda values: "[" + ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values) + "][doc_id % 6 + 1]"
+#: The parts of _commented_code: the text's lines, the sign, and the function.
+_CODE_SQL = f"""code AS (SELECT doc_id, t, len(string_split(t, chr(10))) AS n, {_PICK(["# " if k == "python" else "// " for k in _FUNCTION])} AS sign, {_PICK([a for a, _ in _FUNCTION.values()])} || 'f' || doc_id || {_PICK([b for _, b in _FUNCTION.values()])} AS fn
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\r\\x00\\x0c]', ' ', 'g') AS t FROM documents))"""
+
+
+def _code(spark, d):
+    return t(spark, d, "documents").select("doc_id", *_commented_code("doc_id", "text"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT doc_id, md5(repeat(chr(10), n) || fn) AS bare_md5 FROM code")
 def q31_comment_strip(spark, d):
-    return t(spark, d, "pages").select("page_id", F.md5(F.regexp_replace("html", "(?s)<!--.*?-->", "")).alias("bare_md5"))
+    return _code(spark, d).select("doc_id", F.md5(syntax.without_comments("code", "language")).alias("bare_md5"))
 
 
-@query("SELECT page_id, round((strlen(html) - strlen(regexp_replace(html, '<!--.*?-->', '', 'gs'))) / strlen(html)::DOUBLE, 9) AS comment_ratio FROM pages")
+@query(f"WITH {_CODE_SQL} SELECT doc_id, round((strlen(t) - (n - 1) + n * strlen(sign)) / (strlen(t) + 1 + n * strlen(sign) + strlen(fn))::DOUBLE, 9) AS comment_ratio FROM code")
 def q32_comment_ratio(spark, d):
-    n = F.octet_length("html")
-    return t(spark, d, "pages").select("page_id", F.round((n - F.octet_length(F.regexp_replace("html", "(?s)<!--.*?-->", ""))) / n, 9).alias("comment_ratio"))
+    return _code(spark, d).select("doc_id", F.round(syntax.comment_ratio("code", "language"), 9).alias("comment_ratio"))
+
+
+#: A language's path of a document, and what in its code names the document that follows it by id; {} is the id.
+_IMPORTS = {
+    "python": ("p/m{}.py", "import p.m{}\n", "# "),
+    "cpp": ("src/d{}.h", '#include "d{}.h"\n', "// "),
+    "java": ("src/a/C{}.java", "import a.C{};\n", "// "),
+    "go": ("x/g{}.go", "func f() {{ g{}.Run() }}\n", "// "),
+    "rust": ("src/r{}.rs", "use crate::r{}::f;\n", "// "),
+    "typescript": ("s/t{}.ts", 'import {{x}} from "./t{}";\n', "// "),
+}
+
+
+def _import_edges(spark, d, language):
+    """Documents as source files of their language's repository: an import of the next id, then all lines of the whole text as comments."""
+    path, use, sign = _IMPORTS[language]
+    fill = lambda form, c: F.concat(*[F.lit(x) for x in form.format("\0").split("\0")][:1], c, F.lit(form.format("\0").split("\0")[1]))
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
+    code = F.concat(fill(use, (F.col("doc_id") + 1).cast("string")), F.array_join(lines, ""))
+    files = t(spark, d, "documents").select(F.col("lang").alias("repo"), fill(path, F.col("doc_id").cast("string")).alias("path"), code.alias("content"))
+    return deps.EDGES[language](files)
+
 
+def _edge_sql(language):
+    head, tail = _IMPORTS[language][0].split("{}")
+    return f"SELECT DISTINCT a.lang AS repo, '{head}' || a.doc_id || '{tail}' AS src, '{head}' || b.doc_id || '{tail}' AS dst FROM documents a JOIN documents b ON a.lang = b.lang AND b.doc_id = a.doc_id + 1"
 
-@query("""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS m FROM pages), w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')) AS m FROM benchmark)
-SELECT page_id, m AS target FROM l WHERE m IN (SELECT m FROM w)""")
+
+@query(_edge_sql("python"))
 def q33_import_edges(spark, d):
-    links = t(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1))).alias("target")).distinct()
-    names = t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).alias("target")).distinct()
-    return links.join(names, "target", "left_semi").select("page_id", "target")
+    return _import_edges(spark, d, "python")
 
 
-@query("""WITH c AS (SELECT p_partkey, unnest([1, 2, 3]) AS rank FROM part), h AS (SELECT p_partkey, rank, p_partkey * rank % 7 AS s FROM c), f AS (SELECT h.*, row_number() OVER (PARTITION BY p_partkey ORDER BY rank) AS i FROM h WHERE s IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0))
-SELECT p_partkey, rank::INT AS rank, s AS hit FROM f WHERE i = 1""")
+@query(_edge_sql("cpp"))
 def q34_include_resolve(spark, d):
-    cand = t(spark, d, "part").select("p_partkey", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("rank")).withColumn("hit", F.col("p_partkey") * F.col("rank") % 7)
-    names = t(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("long").alias("hit"))
-    first = cand.join(names, "hit", "left_semi").groupBy("p_partkey").agg(F.min(F.struct("rank", "hit")).alias("f"))
-    return first.select("p_partkey", "f.rank", "f.hit")
+    return _import_edges(spark, d, "cpp")
+
+
+@query(_edge_sql("java"))
+def q43_java_edges(spark, d):
+    return _import_edges(spark, d, "java")
+
+
+@query(_edge_sql("go"))
+def q44_go_edges(spark, d):
+    return _import_edges(spark, d, "go")
+
+
+@query(_edge_sql("rust"))
+def q45_rust_edges(spark, d):
+    return _import_edges(spark, d, "rust")
+
+
+@query(_edge_sql("typescript"))
+def q46_typescript_edges(spark, d):
+    return _import_edges(spark, d, "typescript")
 
 
 @query("SELECT c_custkey, array_to_string(list_transform(string_split(c_mktsegment || '_slash_' || c_name, '_'), lambda x: CASE WHEN x = 'slash' THEN '/' ELSE x END), '') AS model FROM customer")
@@ -357,34 +448,30 @@ def q36_train_context(spark, d):
     return t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n")).select("user_id", "event_type", text.train_context(model).alias("train_size"), "n")
 
 
-@query("SELECT user_id, count(*) AS n_new FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id HAVING count(*) >= 5")
+@query("""SELECT u.user_id FROM (SELECT DISTINCT user_id FROM events) u WHERE user_id >= 20
+AND user_id IN (SELECT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY user_id HAVING count(*) >= 30)
+AND user_id IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id HAVING sum(event_id % 1000) >= 12000)""")
 def q37_commit_filter(spark, d):
-    rows = t(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("ts") >= F.to_timestamp(F.lit("2024-01-15"))).alias("n_new"))
-    return rows.where("n_new >= 5")
+    """A user is a repository with its number of stars, an event a commit and a file of its type."""
+    events = t(spark, d, "events").withColumn("repo", F.col("user_id"))
+    files = events.select("repo", F.concat(F.lit("f."), "event_type").alias("path"), (F.col("event_id") % 1000).alias("size"))
+    repos = events.select("repo", F.col("repo").alias("stars")).distinct()
+    return readers.crawl_filter(repos, events, files, "2024-01-15", 30, 12000, [".click", ".view"], 20).select(F.col("repo").alias("user_id"))
 
 
-@query("SELECT c_nationkey AS nation, c_custkey::VARCHAR AS path, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS topo_idx FROM customer")
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM customer),
+up AS (SELECT nation, r AS v, r AS u FROM c UNION ALL SELECT nation, v, u // 2 FROM up WHERE u > 1),
+m AS (SELECT nation, u, max(v) AS last FROM up GROUP BY nation, u)
+SELECT m.nation, c.c_custkey::VARCHAR AS path, (row_number() OVER (PARTITION BY m.nation ORDER BY last DESC, u) - 1)::INT AS topo_idx FROM m JOIN c ON c.nation = m.nation AND c.r = m.u""")
 def q38_topo_order(spark, d):
-    """Each customer of a nation depends on the nation's customer before it."""
-    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
-    rows = t(spark, d, "customer").select("c_nationkey", "c_custkey", F.lag("c_custkey").over(w).alias("before"))
-    dst = F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("before").cast("string")))
-    deps = rows.select(F.lit("l").alias("language"), F.col("c_nationkey").cast("string").alias("repo"), (-F.col("c_custkey")).alias("src_ord"), F.col("c_custkey").cast("string").alias("src"), dst.alias("dst"))
-    return graph.topo_order(deps).select(F.col("repo").cast("int").alias("nation"), "path", "topo_idx")
-
-
-#: A function of two lines in each language, before and after its name.
-_FUNCTION = {"python": ("def ", "():\n    return 1\n"), "java": ("int ", "() {\n    return 1; }\n"), "typescript": ("function ", "() {\n    return 1; }\n"), "rust": ("fn ", "() -> i32 {\n    1 }\n"), "cpp": ("int ", "() {\n    return 1; }\n"), "go": ("func ", "() int {\n    return 1 }\n")}
-
-
-def _commented_code(doc_id, text):
-    """language and code columns: every line of a whole text as a comment, then a function f<doc_id>."""
-    names = list(_FUNCTION)
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.col(doc_id), F.lit(len(names))).cast("int") + 1)
-    sign = pick(["# " if n == "python" else "// " for n in names])
-    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
-    code = F.concat(F.array_join(F.transform(lines, lambda x: F.concat(sign, x, F.lit("\n"))), ""), pick([a for a, _ in _FUNCTION.values()]), F.lit("f"), F.col(doc_id).cast("string"), pick([b for _, b in _FUNCTION.values()]))
-    return pick(names).alias("language"), code.alias("code")
+    """A nation's customers as a binary tree: the r-th depends on the (r div 2)-th and, against a cycle, the first on the last; the walk starts at the last."""
+    w = Window.partitionBy("c_nationkey")
+    rows = t(spark, d, "customer").select("c_nationkey", "c_custkey").withColumn("r", F.row_number().over(w.orderBy("c_custkey")))
+    up = rows.select("c_nationkey", F.col("r").alias("half"), F.col("c_custkey").alias("before"))
+    rows = rows.withColumn("half", F.expr("r div 2")).join(up, ["c_nationkey", "half"], "left")
+    last = F.max("c_custkey").over(w)
+    edges = rows.select(F.lit("l").alias("language"), F.col("c_nationkey").cast("string").alias("repo"), (-F.col("r")).alias("src_ord"), F.col("c_custkey").cast("string").alias("src"), F.array(F.coalesce("before", last).cast("string")).alias("dst"))
+    return graph.topo_order(edges).select(F.col("repo").cast("int").alias("nation"), "path", "topo_idx")
 
 
 @query("SELECT doc_id, 1 AS n_functions, ('f' || doc_id) AS name, 2 AS n_lines FROM documents")
@@ -402,13 +489,67 @@ def q40_provider_echo(spark, d):
     return run_provider(rows, Echo).select("conv_id", "turn", F.md5(F.get("output", F.lit(0))).alias("reply_md5"))
 
 
+def _folder(spark):
+    """A new folder for files that a query writes: in spark.checkpoint.dir, a temporary one only where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/haystrata-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="haystrata-")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def q41_stream_resume(spark, d):
-    """What the resume stream's deduplication keeps, over the table as one batch; the stream itself is tested on files."""
-    return t(spark, d, "events").select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
+    """The resume stream over JSON lines that come in two deliveries, the second with all rows of the first again."""
+    rows, folder = t(spark, d, "events").select("user_id", "event_type"), _folder(spark)
+    for part in (rows.where("user_id % 2 = 0"), rows):
+        part.write.mode("append").json(f"{folder}/in")
+        resume.append_results(spark, f"{folder}/in", "user_id long, event_type string", f"{folder}/out", f"{folder}/at", ["user_id", "event_type"])
+    return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
 
 
 @query("SELECT doc_id, md5(text) AS text_md5, n_chars FROM documents")
 def q42_json_roundtrip(spark, d):
-    rows = t(spark, d, "documents").select(F.to_json(F.struct("doc_id", "text", "n_chars")).alias("j"))
-    return rows.select(F.from_json("j", "doc_id long, text string, n_chars long").alias("r")).select("r.doc_id", F.md5("r.text").alias("text_md5"), "r.n_chars")
+    """All documents appended as JSON lines in slices, and read again with a schema."""
+    folder = _folder(spark)
+    sinks.append_slices(t(spark, d, "documents").select("doc_id", "text", "n_chars"), f"{folder}/out.jsonl", ["doc_id"], 3)
+    rows = readers.read_jsonl(spark, f"{folder}/out.jsonl", "doc_id long, text string, n_chars long")
+    return rows.select("doc_id", F.md5("text").alias("text_md5"), "n_chars")
+
+
+_ASK = "'Can you **briefly** describe the purpose, input, output, and procedure of \"' || role || '\"?'"
+
+
+@query(f"""SELECT conv_id, turn, md5({_ASK} || chr(10) || chr(10) || '```' || chr(10) || text || chr(10) || '```' || chr(10) || chr(10) || {_ASK} || chr(10) || chr(10) || 'Please follow format to complete the skeleton below:' || chr(10) || chr(10) || '<desc_start>' || chr(10)
+|| '1. **Purpose**: ...' || chr(10) || '2. **Input**: ...' || chr(10) || '3. **Output**: ...' || chr(10) || '4. **Procedure**: ...' || chr(10) || '<desc_end>' || chr(10) || chr(10) || {_ASK} || chr(10) || chr(10) || 'Notes:' || chr(10)
+|| '1. DO NOT reveal function names (' || role || ') and variable names' || chr(10) || '2. Start with <desc_start> and end with <desc_end>' || chr(10) || '3. Customize the description to differentiate it from other functions' || chr(10)) AS ask_md5 FROM conversations""")
+def q47_annotation_prompt(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", F.md5(text.annotation_prompt("role", "text")).alias("ask_md5"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT doc_id, md5(fn) AS code_md5 FROM code")
+def q48_sanitized_reply(spark, d):
+    """A reply of prose, a fenced block without a function and one with all of a document as comments: the first function of a block is what counts."""
+    f = text.FENCE
+    rows = _code(spark, d).withColumn("reply", F.concat(F.lit(f"so:\n{f}\nnothing\n{f}\nand\n{f}\n"), "code", F.lit(f"\n{f}\n")))
+    blocks = F.explode(text.fences("reply"))
+    found = rows.select("doc_id", "language", blocks.alias("b")).select("doc_id", "b", F.get(syntax.extract_functions("b", "language"), F.lit(0)).alias("f")).where("f is not null")
+    body = F.decode(F.substring(F.encode("b", "UTF-8"), F.col("f.start_byte") + 1, F.col("f.end_byte") - F.col("f.start_byte")), "UTF-8")
+    return found.select("doc_id", F.md5(F.concat(body, F.lit("\n"))).alias("code_md5"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT doc_id, strlen(t) + 1 + n * strlen(sign) + strlen(fn) AS n_bytes, md5(fn) AS rest_md5 FROM code")
+def q49_obfuscated(spark, d):
+    """Comments become NUL bytes of the same length; what is left is the function."""
+    rows = _code(spark, d).select("doc_id", syntax.obfuscated("code", "language").alias("o"))
+    return rows.select("doc_id", F.octet_length("o").cast("long").alias("n_bytes"), F.md5(F.regexp_replace("o", r"^(?:\x00*\n)*", "")).alias("rest_md5"))
+
+
+@query(f"WITH {_CODE_SQL} SELECT doc_id, md5(replace(fn, 'f' || doc_id, 'function_0')) AS named_md5 FROM code")
+def q50_renamed_functions(spark, d):
+    rename = F.pandas_udf(lambda c, x: c.combine(x, lambda a, b: syntax.rename_functions(a, b)), "string")
+    rows = _code(spark, d).select("doc_id", rename("code", "language").alias("c"))
+    return rows.select("doc_id", F.md5(F.regexp_extract("c", r"(?s)((?:def|int|function|fn|func) function_0\(.*)$", 1)).alias("named_md5"))
+
+
+@query("SELECT lang AS language, source AS repo, sum(len(regexp_extract_all('# current path: ' || doc_id || chr(10) || text, '[^ \\t\\n\\x0B\\f\\r]+')))::INT + 1 AS tokens FROM documents GROUP BY lang, source")
+def q51_token_stats(spark, d):
+    files = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.concat("text", F.lit("\n")).alias("content"))
+    return evaluate.token_stats(files)
