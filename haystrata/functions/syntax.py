@@ -180,7 +180,7 @@ def _cleaned_side(part: str, language: str, far: dict | None, sign: str, keep: s
     """One side of a context without comments. far: its outermost file (path, content, n_lines in the context), cleaned as a whole, since the context may cut it anywhere."""
     if far is None:
         return clean_segment(part, language, keep)
-    lines, n = part.split("\n"), far["n_lines"]
+    lines, n = part.split("\n"), int(far["n_lines"])
     whole = clean_partial_file(far["content"], language, n, sign, far["path"])
     if first:
         return whole + clean_segment("\n".join(lines[n:]), language, keep)
