@@ -42,6 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _local(spark: SparkSession) -> bool:
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
+
+
 def scratch(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables: spark.checkpoint.dir, else the SparkContext's checkpoint folder. Only a local
     master gets a temporary folder of its own, removed at exit; a cluster without a shared folder is an error."""
@@ -50,7 +54,7 @@ def scratch(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not _local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_haystrata_scratch", None)
         if not folder:
@@ -65,6 +69,8 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{scratch(spark)}/haystrata-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.__dict__.setdefault("_haystrata_staged", []).append(path)
+    if _local(spark):  # one machine's folder: nothing is left when the process ends
+        atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return spark.read.schema(df.schema).parquet(path)
 
 

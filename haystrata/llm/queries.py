@@ -62,6 +62,44 @@ def pipeline(spark, sf_dir):
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
+_ANY_CASE = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+_VALUE = "[A-Za-z0-9+/_.=-]+"
+_KEYED = lambda words, value: rf"""(?:{'|'.join(map(_ANY_CASE, words))})["']?\x20*[:=]\x20*["']?{value}"""
+#: (kind, whole pattern, its value as a pattern of the whole match, least characters of the value, whether the span is the value's own) in order of kinds.
+_SECRETS = [
+    ("assign", _KEYED(["password", "passwd", "secret", "token", "api_?key"], _VALUE), rf"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?({_VALUE})$""", 8, False),
+    ("access", "AKIA[A-Z0-9]+", "^(.*)$", 16, False),
+    ("hex", "[0-9a-f]{32,}", "^(.*)$", 32, False),
+    ("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{32,}-----END", r"^-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----([A-Za-z0-9+/=\s]{32,})-----END$", 32, True),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "^(.*)$", 1, True),
+    ("provider", r"\b(?:ghp|gho|ghs|glpat|sk_live|rk_live|xoxb|xoxp|npm)[_-][A-Za-z0-9_-]{16,}", "^(.*)$", 1, True),
+    ("url_login", r"://[^\s/:@]{1,64}:[^\s/@:]{8,128}@", r"^://[^\s/:@]{1,64}:([^\s/@:]{8,128})@$", 1, True),
+    ("keyed", rf"(?:{'|'.join(map(_ANY_CASE, ['access', 'auth', 'client', 'private', 'signing', 'encryption']))})[_-]?" + _KEYED(["key"], "[A-Za-z0-9+/_=-]{16,}"), """["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_=-]{16,})$""", 1, True),
+]
+
+
+def _found(i, kind, pattern, value, least, own):
+    """Matches with their places: where the pieces between matches and the matches before it end. A token of jwt begins at no word character, which the table's texts meet."""
+    p, v = pattern.replace("'", "''"), value.replace("'", "''")
+    head = "strpos(m, v) - 1" if own else "0"
+    size = "length(v)" if own else "length(m)"
+    return f"""SELECT rid, {i} AS k, '{kind}' AS kind, pos + {head} AS a, pos + {head} + {size} AS b, v FROM (SELECT rid, pos, m, regexp_extract(m, '{v}', 1, 's') AS v FROM
+ (SELECT rid, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS pos
+  FROM (SELECT rid, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d) WHERE len(m) > 0)) WHERE length(v) >= {least}"""
+
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce('=' || source, '') AS owner, concat_ws('/', source, lang) AS repo FROM documents),
+f AS ({" UNION ALL ".join(_found(i, *x) for i, x in enumerate(_SECRETS))}),
+freq AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM f JOIN d USING (rid) GROUP BY v),
+chars AS (SELECT v, unnest(string_split(v, '')) AS c, length(v) AS n FROM freq),
+live AS (SELECT v, -sum(k / n::DOUBLE * log2(k / n::DOUBLE)) >= 3.0 AS live FROM (SELECT v, c, n, count(*) AS k FROM chars GROUP BY v, c, n) GROUP BY v),
+j AS (SELECT f.*, owners >= 3 OR repos >= 8 AS wide, owners = 1 AND repos < 8 AND live AS own FROM f JOIN freq USING (v) JOIN live USING (v)),
+s AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3 OR own) AS spans, count(*) FILTER (own) AS n_live, count(*) FILTER (wide) AS n_copied FROM j GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN s USING (rid)
+"""
+
 #: Items of under 5 words are one shingle in the operator; the benchmark table has none, and this SQL passes them over.
 OP2_SQL = f"""
 WITH iw AS (SELECT row_number() OVER () AS rid, item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
@@ -110,4 +148,4 @@ FROM f
 """
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, pipeline)}
-SQL = {"op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL}
+SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL}
