@@ -159,12 +159,12 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have `limit` bytes at most, or one row."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows, `rows` at most if that is given, whose texts have `limit` bytes at most, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, begin = 0, 0
     for i, n in enumerate(sizes):
-        if i > begin and total + n > limit:
+        if i > begin and (total + n > limit or i - begin == rows):
             yield batch.slice(begin, i - begin)
             total, begin = 0, i
         total += n
@@ -234,10 +234,10 @@ def owner(first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, at, "right") - 1
 
 
-def grouped(batches: Iterable[pa.RecordBatch], column: str, schema: pa.Schema, fn) -> Iterator[pa.RecordBatch]:
+def grouped(batches: Iterable[pa.RecordBatch], column: str, schema: pa.Schema, fn, rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """fn(piece) -> dict of columns, over the pieces of each batch; the body of a mapInArrow function."""
     for batch in batches:
-        for piece in pieces(batch, column):
+        for piece in pieces(batch, column, rows=rows):
             out = fn(piece)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, schema.field(k).type) for k, x in ((k, out[k]) for k in schema.names)], schema=schema)

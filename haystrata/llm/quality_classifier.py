@@ -30,6 +30,8 @@ ROWS_PER_GRADE = 3000
 #: Buckets of hashed words, pairs of words, forms and pairs of forms.
 BUCKETS = (1024, 512, 512, 512)
 N_FEATURES = sum(BUCKETS) + 4
+#: Texts whose features a worker holds at once, 10 kB each.
+PIECE_ROWS = 256
 #: Selection: the grade, and the probability of at least that grade, that a document needs.
 SELECT_GRADE = 1
 SELECT_AT = 0.5
@@ -63,7 +65,7 @@ def features(texts: pa.Array) -> np.ndarray:
     raw = word_hashes(data, starts, ends)
     doc = owner(first, np.arange(len(starts)))
     buckets = sum(BUCKETS)
-    out = np.zeros((n_docs, N_FEATURES))
+    out = np.zeros((n_docs, N_FEATURES), np.float32)
     base = 0
     for n, (h, d) in zip(BUCKETS, ((low, doc), _pairs(low, first), (form, doc), _pairs(form, first))):
         at = d * n + (mix(h) % np.uint64(n)).astype(np.int64)
@@ -151,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, value=None, rows_per_grade: int =
     def one(batch):
         return {"y": batch.column(1), "x": [x.tobytes() for x in features(batch.column(0)).astype(np.float16)]}
 
-    rows = sorted(map(tuple, sample.mapInArrow(lambda it: grouped(it, "text", schema, one), "y double, x binary").collect()))
+    rows = sorted(map(tuple, sample.mapInArrow(lambda it: grouped(it, "text", schema, one, PIECE_ROWS), "y double, x binary").collect()))
     if not rows:
         return Model([0], np.zeros(N_FEATURES), np.zeros(0))
     x = np.stack([np.frombuffer(b, np.float16) for _, b in rows]).astype(np.float32)
@@ -178,7 +180,7 @@ def grade(docs: DataFrame, model: Model, select_grade: float = SELECT_GRADE, sel
         return {"doc_id": batch.column(0), "expected_grade": m.expected(tails), "tail_probability": p, "selected": p >= select_at}
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(lambda it: grouped(it, "text", schema, one), "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return docs.mapInArrow(lambda it: grouped(it, "text", schema, one, PIECE_ROWS), "doc_id long, expected_grade double, tail_probability double, selected boolean")
 
 
 def select_quality(docs: DataFrame, model: Model, select_grade: float = SELECT_GRADE, select_at: float = SELECT_AT) -> DataFrame:
@@ -187,7 +189,7 @@ def select_quality(docs: DataFrame, model: Model, select_grade: float = SELECT_G
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
+            for piece in pieces(batch, "text", rows=PIECE_ROWS):
                 m = shared.value
                 tails = m.tails(features(piece.column(piece.schema.get_field_index("text"))))
                 yield piece.filter(pa.array(tail(m, tails, select_grade) >= select_at))
