@@ -85,10 +85,10 @@ def clear_staged(spark: SparkSession) -> int:
 
 
 def fits(df: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the columns of df (all of them if none are named) take at most limit bytes: 12 a value and the length of what is written out."""
+    """Whether the columns of df (all of them if none are named) take at most limit bytes as a hash table: 64 a row, 8 a value and the length of strings and arrays."""
     columns = columns or tuple(df.columns)
     size = sum((F.octet_length(F.col(c)) if dict(df.dtypes)[c] == "string" else F.size(c) * 8 if dict(df.dtypes)[c].startswith("array") else F.lit(0) for c in columns), F.lit(0))
-    return (df.agg(F.sum(F.coalesce(size, F.lit(0)) + 12 * len(columns))).first()[0] or 0) <= limit
+    return (df.agg(F.sum(F.coalesce(size, F.lit(0)) + 64 + 8 * len(columns))).first()[0] or 0) <= limit
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:

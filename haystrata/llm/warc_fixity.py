@@ -1,4 +1,4 @@
-"""Merkle fixity audit of WARC replicas, in DataFrame operations only.
+"""Merkle fixity audit of WARC replicas, in DataFrame operations only (but for read_warc(), which unpacks files).
 
 A replica is a table of records (file, seq, record bytes or their digest, length). Records get ordered offset ranges inside
 their file and SHA-256 leaves; FAN_OUT consecutive leaves hash into a node, nodes into the next level, up to a root for
@@ -15,7 +15,13 @@ rows are repeated records. Empty replicas have no rows and no root. Only page_id
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import hashlib
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haystrata.llm.common import staged
@@ -39,6 +45,78 @@ def archive(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
     return rows.select("file", "id", F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("length"))
 
 
+def warc_bytes(records: list[tuple[str, bytes]], packed: bool = True) -> bytes:
+    """A WARC file of (target, payload) response records, each a gzip member of its own if packed."""
+    out = []
+    for target, payload in records:
+        raw = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: " + target.encode() + b"\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        out.append(gzip.compress(raw, mtime=0) if packed else raw)
+    return b"".join(out)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, content) of the gzip members of a file; a plain file is one member, and so is what no longer unpacks."""
+    at = 0
+    while at < len(data):
+        if data[at : at + 2] != b"\x1f\x8b":
+            yield at, len(data), data[at:]
+            return
+        unpack, body, end = zlib.decompressobj(31), [], at
+        try:
+            while not unpack.eof and end < len(data):
+                piece = data[end : end + 65536]
+                body.append(unpack.decompress(piece))
+                end += len(piece)
+        except zlib.error:
+            yield at, len(data), data[at:]
+            return
+        if not unpack.eof:
+            yield at, len(data), data[at:]
+            return
+        end -= len(unpack.unused_data)
+        yield at, end, b"".join(body)
+        at = end
+
+
+def records_in(data: bytes) -> Iterator[tuple[int, int, int, int, dict[str, str], bytes]]:
+    """(begin, end, inner begin, inner end, headers, payload) of each record of a WARC file: the range of its gzip member in the file (of the record itself in a plain
+    file), and its place in what that unpacks to. What is no record any more ends as one with empty headers."""
+    for a, b, body in members(data):
+        at = 0
+        while at < len(body):
+            head = body.find(b"\r\n\r\n", at)
+            lines = body[at:head].decode("utf-8", "replace").split("\r\n") if head >= 0 else []
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            size = headers.get("content-length", "")
+            good = bool(lines) and lines[0].startswith("WARC/") and size.isascii() and size.isdigit() and head + 4 + int(size) <= len(body)
+            end = head + 4 + int(size) if good else len(body)
+            payload = body[head + 4 : end] if good else body[at:]
+            end += 4 * (body[end : end + 4] == b"\r\n\r\n")
+            yield (a, b, at, end, headers if good else {}, payload) if data[:2] == b"\x1f\x8b" else (a + at, a + end, at, end, headers if good else {}, payload)
+            at = end
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq, begin, end, kind, target, payload, digest, length) of the records of the WARC files, gzip members or plain, under a path that Spark reads. digest covers
+    the record as it lies in the file's member. A task holds one file, which its writer's rotation bounds."""
+    schema = pa.schema([("name", pa.string()), ("seq", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("target", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("length", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = [(name, k, a, b, h.get("warc-type"), h.get("warc-target-uri"), payload, hashlib.sha256(repr(sorted(h.items())).encode() + payload).hexdigest(), b - a) for k, (a, b, _, _, h, payload) in enumerate(records_in(data.as_py() or b""))]
+                for i in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1000]), schema.types)], schema=schema)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), "content").mapInArrow(run, "name string, seq long, begin long, end long, kind string, target string, payload binary, digest string, length long")
+
+
+def archived(records: DataFrame) -> DataFrame:
+    """(file, id, digest, length) of read_warc()'s records, for compare(): a file is a number from its name, an id the record's place in it."""
+    return records.select(F.pmod(F.xxhash64("name"), F.lit(1 << 40)).alias("file"), F.col("seq").alias("id"), "digest", "length")
+
+
 def leaves(records: DataFrame) -> DataFrame:
     """records (file, id, digest, length) with seq and the offset range [begin, end) in their file. The leaf digest covers range and record."""
     w = Window.partitionBy("file").orderBy("id", "digest", "length")

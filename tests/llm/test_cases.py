@@ -124,7 +124,7 @@ def test_scratch_folder(spark, tmp_path, monkeypatch):
     Session.conf.get = staticmethod(lambda *a: "file:///shared/")
     assert common.scratch(Session()) == "file:///shared"
     wide = spark.range(10).withColumn("s", F.lit("x" * 100)).withColumn("a", F.array(F.lit(1)))
-    assert common.fits(wide, limit=10 * (36 + 100 + 8)) and not common.fits(wide, limit=10 * (36 + 100 + 8) - 1) and common.fits(wide.where("false"), limit=0)
+    assert common.fits(wide, limit=10 * (64 + 24 + 100 + 8)) and not common.fits(wide, limit=10 * (64 + 24 + 100 + 8) - 1) and common.fits(wide.where("false"), limit=0)
 
 
 def test_packed_texts_equal_fresh_ones():
