@@ -107,7 +107,7 @@ def rust_edges(files: DataFrame, uses: DataFrame | None = None) -> DataFrame:
     base = F.when(parts[0] == "crate", F.col("root")).when(parts[0] == "self", F.col("dir")).when(parts[0] == "super", _dir(F.col("dir")))
     use = use.select("repo", "src", "root", base.alias("base"), own.alias("p")).where("base is not null")
     mod = text.select("repo", "src", root.alias("root"), F.when(F.col("src").rlike(r"(^|/)(mod|lib|main)\.rs$"), _dir(F.col("src"))).otherwise(F.regexp_replace("src", r"\.rs$", "")).alias("base"), F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*;"), F.lit(1))).alias("m")).select("repo", "src", "root", "base", F.array("m").alias("p"))
-    every = use.union(mod).distinct().withColumn("u", F.xxhash64("src", "base", "p"))
+    every = use.union(mod).distinct().withColumn("u", F.to_json(F.struct("src", "base", "p")))
     cand = every.select("repo", "src", "root", "u", "base", "p", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("n"))
     stem = _join_path(F.col("base"), F.array_join(F.slice("p", 1, F.col("n")), "/"))
     cand = cand.select("repo", "src", "u", "n", F.explode(F.when(F.col("n") > 0, F.array(F.concat(stem, F.lit(".rs")), F.concat(stem, F.lit("/mod.rs")))).otherwise(F.array(F.concat("root", F.lit("/lib.rs")), F.concat("root", F.lit("/main.rs"))))).alias("dst"))

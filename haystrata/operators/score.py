@@ -59,9 +59,9 @@ def score_outputs(outputs: DataFrame, needles: DataFrame, first_function=None) -
 
     Only the first reply counts. is_best_similar: the most similar of the repository's needles is the one that was asked for.
     """
-    rows = outputs.withColumn("rid", F.xxhash64("language", "repo", "name")).withColumn("reply", F.get("output", F.lit(0)))
+    rows = outputs.withColumn("rid", F.to_json(F.struct("language", "repo", "name"))).withColumn("reply", F.get("output", F.lit(0)))
     rows = sanitize(rows, first_function)
-    key = F.concat_ws("\x1f", "language", "repo")
+    key = F.to_json(F.struct("language", "repo"))
     pairs = similarity(rows.select("rid", key.alias("key"), F.col("code").alias("text")), needles.select(F.col("needle_ord").alias("nid"), key.alias("key"), F.col("code").alias("text")))
     best = best_match(rows, pairs)
     names = needles.select("language", "repo", F.col("needle_ord").alias("best_nid"), F.col("name").alias("best_target"))

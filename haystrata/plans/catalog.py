@@ -7,9 +7,6 @@ a repository are those whose item_id mod 20 is the number of its source.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -489,16 +486,10 @@ def q40_provider_echo(spark, d):
     return run_provider(rows, Echo).select("conv_id", "turn", F.md5(F.get("output", F.lit(0))).alias("reply_md5"))
 
 
-def _folder(spark):
-    """A new folder for files that a query writes: in spark.checkpoint.dir, a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/haystrata-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="haystrata-")
-
-
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def q41_stream_resume(spark, d):
     """The resume stream over JSON lines that come in two deliveries, the second with all rows of the first again."""
-    rows, folder = t(spark, d, "events").select("user_id", "event_type"), _folder(spark)
+    rows, folder = t(spark, d, "events").select("user_id", "event_type"), sinks.work_folder(spark)
     for part in (rows.where("user_id % 2 = 0"), rows):
         part.write.mode("append").json(f"{folder}/in")
         resume.append_results(spark, f"{folder}/in", "user_id long, event_type string", f"{folder}/out", f"{folder}/at", ["user_id", "event_type"])
@@ -508,7 +499,7 @@ def q41_stream_resume(spark, d):
 @query("SELECT doc_id, md5(text) AS text_md5, n_chars FROM documents")
 def q42_json_roundtrip(spark, d):
     """All documents appended as JSON lines in slices, and read again with a schema."""
-    folder = _folder(spark)
+    folder = sinks.work_folder(spark)
     sinks.append_slices(t(spark, d, "documents").select("doc_id", "text", "n_chars"), f"{folder}/out.jsonl", ["doc_id"], 3)
     rows = readers.read_jsonl(spark, f"{folder}/out.jsonl", "doc_id long, text string, n_chars long")
     return rows.select("doc_id", F.md5("text").alias("text_md5"), "n_chars")

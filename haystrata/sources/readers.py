@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import subprocess
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +83,32 @@ def ingest_checkout(spark: SparkSession, root: str, entrypoint: str, suffixes: l
     return raw.select(path.alias("path"), "content").where(F.col("path").startswith(entrypoint.removeprefix("/")) & keep).select("path", F.decode("content", "UTF-8").alias("content"))
 
 
+def read_git_tree(spark: SparkSession, checkout: str, sha: str, entrypoint: str = "", suffixes: list[str] | None = None) -> DataFrame:
+    """path, content of the files of a commit under the entry point with one of the suffixes (all without any), read from git's objects whatever is checked out.
+
+    The driver lists names and object ids only; tasks read the objects, so checkout must be a folder that the executors share. Content that is
+    not UTF-8 has replacement characters. Links and submodules are left out.
+    """
+    listed = subprocess.run(["git", "-C", checkout, "ls-tree", "-r", "-z", "--full-tree", sha], check=True, capture_output=True).stdout
+    rows = []
+    for entry in listed.decode("utf-8", "replace").split("\0"):
+        meta, _, path = entry.partition("\t")
+        if meta.startswith("100") and path.startswith(entrypoint.removeprefix("/")) and (not suffixes or path.endswith(tuple(suffixes))):
+            rows.append((path, meta.split(" ")[2]))
+    blobs = spark.createDataFrame(rows, "path string, blob string")
+    blobs = blobs.repartition(max(1, min(len(rows) // 100, 10 * spark.sparkContext.defaultParallelism)), "blob")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = []
+            for blob in frame["blob"]:
+                raw = subprocess.run(["git", "-C", checkout, "cat-file", "blob", blob], check=True, capture_output=True).stdout
+                texts.append(raw.decode("utf-8", "replace"))
+            yield pd.DataFrame({"path": frame["path"], "content": texts})
+
+    return blobs.mapInPandas(run, "path string, content string")
+
+
 def read_results(spark: SparkSession, folder: str, min_bytes: int = 10 << 20, ddl: str = schema.OUTPUT) -> DataFrame:
     """Model outputs under a folder in files of at least min_bytes, with their file name."""
     rows = spark.read.schema(ddl).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)

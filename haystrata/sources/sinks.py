@@ -4,11 +4,23 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for files that all executors read: in spark.checkpoint.dir. A temporary one only where that is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/haystrata-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="haystrata-")
+
+
 def output_name(folder: str, context_size: int, model: str) -> str:
     return f"{folder}/ntoken_{context_size}/{model.replace('/', '_slash_')}.jsonl"
 

@@ -212,3 +212,36 @@ def test_no_text_crosses_an_exchange_for_offsets(spark):
     at = [x for x in plan.split("\n") if "hashpartitioning(language" in x]
     below = plan[plan.index(at[0]) :].split("\n")[1]
     assert "__chars" in below and "content AS" not in below
+
+
+def test_git_tree_of_an_older_commit(spark, tmp_path):
+    import subprocess
+
+    from haystrata.sources import readers
+
+    def git(*args):
+        return subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *args], check=True, capture_output=True).stdout.decode().strip()
+
+    git("init", "-q")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a é.py").write_text("old = 'é'\n")
+    (tmp_path / "p" / "b.txt").write_text("t")
+    (tmp_path / "q.py").write_text("q")
+    git("add", "-A")
+    git("commit", "-qm", "one")
+    sha = git("rev-parse", "HEAD")
+    (tmp_path / "p" / "a é.py").write_text("new")
+    git("commit", "-qam", "two")
+    got = lambda **o: {r["path"]: r["content"] for r in readers.read_git_tree(spark, str(tmp_path), sha, **o).collect()}
+    assert got(entrypoint="p", suffixes=[".py"]) == {"p/a é.py": "old = 'é'\n"}
+    assert set(got()) == {"p/a é.py", "p/b.txt", "q.py"} and got(entrypoint="none") == {}
+
+
+def test_tasks_with_separators_in_their_names_stay_apart(spark):
+    from haystrata.operators import score
+
+    rows = [("l", "r", "a", ["x y"]), ("l", "r\x1fa", "", ["x y"]), ("l\x1fr", "a", "", ["x y"])]
+    outs = spark.createDataFrame(rows, "language string, repo string, name string, output array<string>")
+    needles = outs.select("language", "repo", "name", F.lit(0).alias("needle_ord"), F.lit("x y").alias("code"))
+    got = score.score_outputs(outs, needles).collect()
+    assert len(got) == 3 and all(r["is_best_similar"] for r in got)
