@@ -99,7 +99,7 @@ def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """rows with the columns of their key's row in table, which has one row a key and n, the key's rows, and is staged.
+    """rows with the columns of their key's row in table, which has one row a key and n, the key's rows, and is staged or cheap to make twice.
 
     All rows of one key would be one task's: keys of hot_rows rows or more, of which there are few, meet theirs by a broadcast.
     """
@@ -260,21 +260,21 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return part.join(shift, "__hs_p").withColumn("__hs_n", F.col("__hs_m") + F.col("__hs_s")).drop("__hs_m", "__hs_p", "__hs_s")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(v, root) of every vertex of the undirected edges (a long, b long): root is the smallest vertex it can reach.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) until the edges stay as they are: a logarithmic
-    number of rounds, each a few shuffles of edge rows, with a star's minimum pre-aggregated before its shuffle.
+    number of rounds, each a few shuffles of edge rows, with a star's minimum pre-aggregated before its shuffle. The edges of a hub
+    (hot_rows or more, as the root of a large component has) meet that minimum where they are.
     """
     cur = staged(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
     seen = None
     while True:
         both = cur.union(cur.selectExpr("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").selectExpr("v a", "m b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        cur = large.join(least, "a").selectExpr("inline(array(struct(a, m b), struct(b a, m b)))").where("a <> b").distinct()
-        cur = staged(cur)
+        low = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.least(F.min("v"), F.col("u")).alias("m"))
+        large = staged(join_counted(both.where("v > u"), low, "u", hot_rows).selectExpr("v a", "m b").distinct())
+        least = large.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("m"))
+        cur = staged(join_counted(large, least, "a", hot_rows).selectExpr("inline(array(struct(a, m b), struct(b a, m b)))").where("a <> b").distinct())
         now = cur.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if tuple(now) == seen:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import LOWER, components, flat, grouped, join_counted, keep_ids, staged, words
+from haystrata.llm.common import LOWER, components, fits, flat, grouped, join_counted, keep_ids, staged, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 SEED = 42
@@ -253,6 +253,7 @@ def split_large(rows: DataFrame, radius: int, limit: int, levels: int = 6) -> Da
         large = staged(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.min("fp") if level % 2 == 0 else F.max("fp")).alias("v")).where(F.col("n") > limit).select("k", "v"))
         if large.isEmpty():
             break
+        large = F.broadcast(large) if fits(large) else large  # a branch of one key is never one task's
         rest = rows.join(large.select("k"), "k", "left_anti")
         done = rest if done is None else done.union(rest)
         d, w = F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))), radius + 1

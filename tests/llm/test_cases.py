@@ -101,6 +101,26 @@ def test_hot_keys_join_the_same(spark):
         assert Counter(map(tuple, got.collect())) == Counter((1 if i < 700 else i, i, "x", 699 if i < 700 else i) for i in range(1000))
 
 
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(1)
+    edges = [(999, i) for i in range(60)] + [(1000 + i, 999) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(12)] + [(rng.randint(3000, 3200), rng.randint(3000, 3200)) for _ in range(150)] + [(7, 7), (5000, 5000)]
+    above = {}
+
+    def root(x):
+        while above.setdefault(x, x) != x:
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            above[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "a long, b long")
+    rows = common.components(df, hot_rows=3).collect()  # most keys are hot; test_llm's are not
+    assert Counter(map(tuple, rows)) == Counter((v, root(v)) for v in list(above))
+    assert common.components(df.where("a < 0")).isEmpty()
+
+
 def test_scratch_folder(spark, tmp_path, monkeypatch):
     staged = common.staged(spark.range(3))
     assert staged.count() == 3 and common.clear_staged(spark) >= 1
