@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, html_extract, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, toxicity, warc_fixity
+from haystrata.llm import decontaminate, html_extract, merkle_manifest, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, toxicity, warc_fixity
 from haystrata.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.verify(table(spark, sf_dir, "documents"), found=merkle_manifest.tampered())
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -147,5 +151,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, pipeline)}
-SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL}
+#: CRC-32 of an ASCII text by its table of 256 remainders.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS t)"
+_CRC = "xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+def _tree(name, rows):
+    """Every node of the binary trees k over rows (k, pos, n, h), and (k, pos, p): what each row's path is spliced from, the own slot and the sibling of each level."""
+    return f"""{name} AS (SELECT k, 0 AS lvl, pos, n, h FROM {rows} UNION ALL SELECT k, any_value(lvl) + 1, pos // 2, any_value(n), sha256(string_agg(h, '' ORDER BY pos)) FROM {name} WHERE n > (1::BIGINT << lvl) GROUP BY k, pos // 2),
+{name}_path AS (SELECT r.k, r.pos, list((r.pos >> l) & 1 || coalesce(s.h, '') ORDER BY l) FILTER (l IS NOT NULL) AS p FROM {rows} r
+ LEFT JOIN (SELECT k, lvl AS l FROM {name} x WHERE n > (1::BIGINT << lvl) GROUP BY k, lvl) v ON r.k = v.k LEFT JOIN {name} s ON s.k = r.k AND s.lvl = l AND s.pos = xor(r.pos >> l, 1) GROUP BY r.k, r.pos)"""
+
+
+_MARKED = lambda parts: "sha256(" + " || ".join(f"coalesce(strlen({p}::VARCHAR) || ':' || {p}::VARCHAR, '-')" for p in parts) + ")"
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, {_MARKED(["doc_id", "source", "lang", "n_chars", "text"])} AS h,
+ {_MARKED(["doc_id", "source", "lang", f"(n_chars + CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END)", "text"])} AS now FROM documents, crc),
+r AS (SELECT *, dense_rank() OVER (ORDER BY encode(g)) - 1 AS k, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+{_tree("low", "r")},
+top AS (SELECT 0 AS k, k AS pos, h, count(*) OVER () AS n FROM (SELECT k, h, lvl, max(lvl) OVER (PARTITION BY k) AS last FROM low) WHERE lvl = last),
+{_tree("high", "top")},
+root AS (SELECT h AS root FROM high WHERE n <= (1::BIGINT << lvl)),
+j AS (SELECT r.doc_id, r.h AS leaf, top.h AS subroot, root, coalesce(low_path.p, []) || coalesce(high_path.p, []) AS p, coalesce(now, r.h) AS now
+ FROM r JOIN low_path ON low_path.k = r.k AND low_path.pos = r.pos JOIN top ON top.pos = r.k JOIN high_path ON high_path.pos = r.k, root),
+f AS (SELECT doc_id, leaf, subroot, root, sha256(list_aggregate([''] || list_transform(p, lambda x: substr(x, 2)), 'string_agg', '')) AS proof_sha256,
+ list_reduce(p, lambda a, x: sha256(CASE WHEN x[1] = '1' THEN substr(x, 2) || a ELSE a || substr(x, 2) END), now) AS folded_root FROM j)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, op11_merkle_manifest, pipeline)}
+SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
