@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haystrata.llm import decontaminate, html_extract, merkle_manifest, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, toxicity, warc_fixity
+from haystrata.llm import conversation_repair, decontaminate, html_extract, merkle_manifest, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, toxicity, warc_fixity
 from haystrata.llm.common import table
 
 
@@ -57,6 +57,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), found=merkle_manifest.tampered())
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -180,5 +184,28 @@ f AS (SELECT doc_id, leaf, subroot, root, sha256(list_aggregate([''] || list_tra
 SELECT *, folded_root = root AS verified FROM f
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, op11_merkle_manifest, pipeline)}
-SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle_manifest": OP11_SQL}
+#: Rows of the same turn go by role and text here, by role and digest in the operator; the table has none but repeated ones.
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT coalesce(conv_id, -1) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS m FROM conversations, crc),
+d AS (SELECT c, turn, CASE WHEN m = 4 THEN 'user' ELSE role END AS role, CASE m WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN m = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE m <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, role[1] AS ini, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS e FROM d),
+f AS (SELECT *, CASE WHEN e = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(e, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+ i > 1 AND lag(ini) OVER (PARTITION BY c ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS bad FROM o),
+ids AS (SELECT c, any_value(conv_id) AS conv_id FROM k GROUP BY c),
+s(c, i, s, best) AS (SELECT c, 0, unnest([0, 2, 3]), unnest(['000000000', '000000005I', '000000010II']) FROM ids
+ UNION ALL SELECT c, i, t, min(printf('%09d', cost) || audit) FROM (SELECT c, i, unnest([s, CASE WHEN s = 2 THEN 3 ELSE 2 END, CASE WHEN s = 2 THEN 2 ELSE 3 END]) AS t, cost + unnest([0, 5, 10]) AS cost, audit || unnest(['', 'I', 'II']) AS audit
+  FROM (SELECT s.c, f.i, s.best[1:9]::BIGINT + unnest([2, 5 * (fault = 'truncated')::INT, 1 + 5 * (fault = 'truncated')::INT]) AS cost, s.best[10:] || unnest(['D', 'K', 'R']) AS audit,
+   unnest([s.s, CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN ini = 's' AND s.s = 0 THEN 1 WHEN ini = 'u' AND s.s <> 2 THEN 2 WHEN ini = 'a' AND s.s = 2 THEN 3 END, CASE WHEN fault IN ('blank', 'duplicate') THEN NULL WHEN s.s = 2 THEN 3 ELSE 2 END]) AS s FROM s JOIN f ON f.c = s.c AND f.i = s.i + 1) x
+  WHERE s IS NOT NULL) y GROUP BY c, i, t),
+n AS (SELECT ids.c, conv_id, count(f.i) AS n, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal,
+ coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM ids LEFT JOIN f ON ids.c = f.c GROUP BY ids.c, conv_id),
+b AS (SELECT n.*, best FROM n JOIN (SELECT s.c, s.i, min(best) AS best FROM s WHERE s.s IN (0, 3) GROUP BY s.c, s.i) z ON z.c = n.c AND z.i = n.n),
+a AS (SELECT c, p, best[9 + p] AS op, sum((best[9 + p] <> 'I')::INT) OVER w AS i, sum((best[9 + p] <> 'D')::INT) OVER w AS o FROM (SELECT c, best, unnest(range(1, length(best) - 8)) AS p FROM b) WINDOW w AS (PARTITION BY c ORDER BY p)),
+h AS (SELECT a.*, role, text, max((o = 1 AND op = 'K' AND ini = 's')::INT) OVER (PARTITION BY a.c) AS head FROM a LEFT JOIN f ON f.c = a.c AND f.i = a.i AND op <> 'I'),
+z AS (SELECT c, string_agg(CASE WHEN op = 'K' THEN role WHEN (o - head) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY p) AS fixed FROM h WHERE op <> 'D' GROUP BY c)
+SELECT conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best[1:9]::BIGINT AS cost, best[10:] AS audit, sha256(coalesce(fixed, '')) AS repaired_sha256 FROM b LEFT JOIN z ON z.c = b.c
+"""
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, op11_merkle_manifest, op13_conversation_repair, pipeline)}
+SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_repair": OP13_SQL}
