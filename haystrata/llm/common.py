@@ -63,15 +63,20 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors, gives exact sizes to AQE."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/haystrata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
+    remember(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remember(spark: SparkSession, path: str) -> None:
+    """A scratch folder that clear_staged() removes, and the end of a local session's process."""
     spark.__dict__.setdefault("_haystrata_staged", []).append(path)
     if _local(spark):  # one machine's folder: nothing is left when the process ends
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def clear_staged(spark: SparkSession) -> int:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from haystrata.llm import conversation_repair, decontaminate, html_extract, merkle_manifest, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, toxicity, warc_fixity
+from haystrata.llm import conversation_repair, decontaminate, html_extract, merkle_manifest, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash_vptree, token_output, toxicity, warc_fixity
 from haystrata.llm.common import table
 
 
@@ -57,6 +57,13 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle_manifest.verify(table(spark, sf_dir, "documents"), found=merkle_manifest.tampered())
 
 
+def op12_token_output(spark, sf_dir):
+    """The tokenizer drops white space and splits its text there, so words can go to the library one by one."""
+    import public_tokenizers
+
+    return token_output.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_words=True)
+
+
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_conversations(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -207,5 +214,5 @@ z AS (SELECT c, string_agg(CASE WHEN op = 'K' THEN role WHEN (o - head) % 2 = 1
 SELECT conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best[1:9]::BIGINT AS cost, best[10:] AS audit, sha256(coalesce(fixed, '')) AS repaired_sha256 FROM b LEFT JOIN z ON z.c = b.c
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, op11_merkle_manifest, op13_conversation_repair, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_decontamination, op3_source_mixing, op4_toxicity, op5_warc_fixity, op6_html_extraction, op7_quality_rules, op8_pii, op9_quality_classifier, op10_simhash_near_dedup, op11_merkle_manifest, op12_token_output, op13_conversation_repair, pipeline)}
 SQL = {"op1_secret_scan": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_warc_fixity": OP5_SQL, "op7_quality_rules": OP7_SQL, "op11_merkle_manifest": OP11_SQL, "op13_conversation_repair": OP13_SQL}
