@@ -17,7 +17,8 @@ import numpy as np
 BITS, LANES, STEPS, CELLS = 20, 64, 256, 1 << 21
 LOW = np.uint64(1 << 31)
 MAGIC = b"HSRANS1\0"
-_HEAD = struct.Struct("<8sQIIIIII")
+_HEAD = struct.Struct("<8sQIIIII")
+_SUM = struct.Struct("<I")
 
 
 class Corrupt(ValueError):
@@ -96,6 +97,8 @@ def encode(blocks: list[np.ndarray], table: Table) -> list[tuple[np.ndarray, np.
         ids = np.zeros((len(own), steps * LANES), np.uint32)
         for k, i in enumerate(own):
             ids[k, : len(blocks[i])] = blocks[i]
+        if steps and int(ids.max()) >= len(table.frequencies):
+            raise ValueError("an id that the frequency table does not know")
         ids = ids.reshape(len(own), steps, LANES)
         live = (np.arange(steps * LANES) < sizes[:, None]).reshape(ids.shape)
         state = np.full((len(own), LANES), LOW, np.uint64)
@@ -160,25 +163,27 @@ def decode(segments: list[tuple[int, np.ndarray, np.ndarray, int]], table: Table
 
 
 def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, coded) -> bytes:
-    """A block as bytes: head, document ids (64 bits) and whether they are there, lengths, checkpoints, words. Two checksums: of the ids, and of all that follows the head."""
+    """A block as bytes: head, document ids (64 bits) and whether they are there, lengths, checkpoints, words. Two checksums: of the ids, and of all bytes but its own."""
     words, states, places = coded
     body = b"".join([
         np.array([0 if x is None else x for x in doc_ids], "<i8").tobytes(), np.array([x is not None for x in doc_ids], np.uint8).tobytes(), lengths.astype("<u4").tobytes(),
         states.astype("<u8").tobytes(), places.astype("<u4").tobytes(), words.astype("<u4").tobytes(),
     ])
-    return _HEAD.pack(MAGIC, len(ids), len(doc_ids), len(words), len(states), LANES, zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+    head = _HEAD.pack(MAGIC, len(ids), len(doc_ids), len(words), len(states), LANES, zlib.crc32(ids.astype("<u4").tobytes()))
+    return head + _SUM.pack(zlib.crc32(body, zlib.crc32(head))) + body
 
 
 def unpack(blocks: list[bytes], table: Table) -> list[tuple[list, np.ndarray, np.ndarray]]:
     """(document ids, lengths, ids) of blocks, decoded together from all their checkpoints."""
     heads, segments, spans = [], [], []
     for raw in blocks:
-        if len(raw) < _HEAD.size:
+        at, parts = _HEAD.size + _SUM.size, []
+        if len(raw) < at:
             raise Corrupt("a block is cut")
-        magic, n, docs, n_words, checks, lanes, crc, body_crc = _HEAD.unpack_from(raw)
-        if magic != MAGIC or lanes != LANES or zlib.crc32(memoryview(raw)[_HEAD.size :]) != body_crc:
+        magic, n, docs, n_words, checks, lanes, crc = _HEAD.unpack_from(raw)
+        view = memoryview(raw)
+        if magic != MAGIC or lanes != LANES or (zlib.crc32(view[at:], zlib.crc32(view[: _HEAD.size])),) != _SUM.unpack_from(raw, _HEAD.size):
             raise Corrupt("a block is damaged")
-        at, parts = _HEAD.size, []
         for kind, count in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u8", checks * LANES), ("<u4", checks), ("<u4", n_words)):
             parts.append(np.frombuffer(raw, kind, count, at))
             at += parts[-1].nbytes
