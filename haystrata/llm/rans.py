@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bits of the frequencies' sum, lanes of a block, steps between checkpoints, cells of one array.
-BITS, LANES, STEPS, CELLS = 20, 64, 256, 1 << 21
+BITS, LANES, STEPS, CELLS = 20, 64, 256, 1 << 22
 LOW = np.uint64(1 << 31)
 MAGIC = b"HSRANS1\0"
 _HEAD = struct.Struct("<8sQIIIII")

@@ -16,6 +16,8 @@ other columns are not read.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import os
 import uuid
 import zlib
@@ -31,85 +33,159 @@ from haystrata.llm import rans
 from haystrata.llm.common import flat, pieces, remember, scratch, staged, words
 
 #: Ids of a block (it ends with the document that reaches so many), blocks in memory at once, words that a worker remembers, bytes of text encoded at once.
-BLOCK_IDS, READ_BLOCKS, CACHE_WORDS, TEXT_BYTES = 1 << 15, 32, 1 << 19, 1 << 20
+BLOCK_IDS, READ_BLOCKS, CACHE_WORDS, TEXT_BYTES = 1 << 15, 64, 3 << 18, 1 << 21
 BLOCK_DDL = "part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, ids binary, seen array<int>, times array<long>"
 MANIFEST_DDL = "part int, block int, file string, offset long, bytes long, n_docs int, n_ids long, first long"
 
 
 class WordEncoder:
     """Ids of texts by the tokenizers library. by_words: a tokenizer that drops white space and never looks across it, as one that splits at white space before all else; each
-    word then goes to the library once, as long as it is remembered, and a text's ids are its words' ids in order."""
+    word then goes to the library once, as long as it is remembered, and a text's ids are its words' ids in order.
+
+    Where the tokenizer lower-cases, keeps what one pattern finds and spells bytes as letters, a new word of common letters is cut by that pattern here and only its new parts
+    go to the library's model; a letter is common if the whole tokenizer agrees on it in all of SEEN_IN."""
+
+    SEEN_IN = ("{}", "a{}", "{}a", "9{}", "{}9", "!{}", "{}!", "{}{}", "'{}", "é{}a")
 
     def __init__(self, path: str, by_words: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(path), by_words
+        self.pattern, self.spelled = None, {}
         self.forget()
+        if by_words:
+            self._learn_letters()
+
+    def _learn_letters(self) -> None:
+        import regex
+
+        made = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        split, *rest = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        marks = {x["content"][:1] for x in made.get("added_tokens", [])}  # such tokens are found in any text
+        if "Lowercase" not in steps or not {"NFC", "Replace", "Lowercase"}.issuperset(steps) or "Regex" not in split.get("pattern", {}) or (split.get("behavior"), split.get("invert")) != ("Removed", True) or [x["type"] for x in rest] != ["ByteLevel"] or rest[0].get("add_prefix_space"):
+            return
+        self.pattern = regex.compile(split["pattern"]["Regex"] + "|\n")
+        # bytes that are visible Latin-1 characters are spelled as themselves, the others as U+0100 and on
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        letter = dict(zip(own, map(chr, own))) | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
+        letters = [chr(c) for c in range(33, 0x250)]
+        self.spelled = {ord(c): "".join(letter[b] for b in c.encode()) for c in letters}
+        tests = [form.format(c, c) for c in letters for form in self.SEEN_IN]
+        want = [x.ids for x in self.tokenizer.encode_batch_fast(tests, add_special_tokens=False)]
+        agree = np.array([self._parts(x)[0] == w for x, w in zip(tests, want)]).reshape(len(letters), -1).all(1)
+        self.common = np.zeros(0x251, bool)  # the last one is any other character
+        self.common[[ord(c) for c, ok in zip(letters, agree) if ok and c not in marks]] = True
+
+    def _parts(self, lines: str) -> list[list[int]]:
+        """The ids of each line by its parts."""
+        out, own, known = [], [], self.parts
+        for part in self.pattern.findall(lines.lower()):
+            if part == "\n":
+                out.append(own)
+                own = []
+                continue
+            ids = known.get(part)
+            if ids is None:
+                ids = known[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled))]
+            own += ids
+        return [*out, own]
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.parts: dict[str, list[int]] = {}
+        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _shrink(self) -> None:
+        """Forgets words that came once; all of them if that is not enough."""
+        often = self.uses[: len(self.known)] > 1
+        if often.sum() > CACHE_WORDS // 2:
+            return self.forget()
+        kept = [w for w, x in zip(self.known, often.tolist()) if x]
+        at = np.flatnonzero(often)
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        lists = np.split(self.ids[_ranges(begin, self.ends[at] - begin)], np.cumsum(self.ends[at] - begin)[:-1])
+        self.forget()
+        self._add(kept, lists)
 
-    def learn(self, new: list[bytes]) -> None:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        lists = [x.ids for x in got]
+    def _add(self, new: list[bytes], lists: list) -> None:
         n = len(self.known)
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         ends = (self.ends[n - 1] if n else 0) + np.cumsum(sizes)
         while len(self.ends) < n + len(new):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        while len(self.ids) < ends[-1]:
+            self.ends, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.uses))
+        while len(new) and len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[ends[-1] - sizes.sum() : ends[-1]] = np.fromiter((i for x in lists for i in x), np.uint32, int(sizes.sum()))
+        if len(new):
+            self.ids[ends[-1] - sizes.sum() : ends[-1]] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
         self.ends[n : n + len(new)] = ends
         self.known.update(zip(new, range(n, n + len(new))))
 
+    def learn(self, new: list[bytes]) -> None:
+        lines = b"\n".join(new).decode("utf-8", "replace")
+        odd = range(len(new))
+        if self.pattern is not None:
+            codes = np.frombuffer(lines.encode("utf-32-le", "replace"), np.uint32)
+            line = np.cumsum(codes == 10)
+            odd = np.unique(line[~self.common[np.minimum(codes, 0x250)] & (codes != 10)]).tolist()
+        lists = self._parts(lines) if len(odd) < len(new) else [[]] * len(new)
+        for i, x in zip(odd, self.tokenizer.encode_batch_fast([new[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False)):
+            lists[i] = x.ids
+        self._add(new, lists)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""
         if not self.by_words:
             got = [x.ids for x in self.tokenizer.encode_batch_fast(["" if x is None else x for x in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
-        if len(self.known) > CACHE_WORDS:
-            self.forget()
+        if max(len(self.known), len(self.parts)) > CACHE_WORDS:
+            self._shrink()
         data, offs = flat(texts)
         starts, ends, first = words(data, offs)
-        which, distinct = self._numbered(data, starts, ends)
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(list(dict.fromkeys(new)))
-        own = np.array([self.known[w] for w in distinct], np.int64)[which] if len(which) else np.zeros(0, np.int64)
-        begin = np.where(own > 0, self.ends[own - 1], 0)
-        size = self.ends[own] - begin
+        which, distinct = _numbered(data, starts, ends)
+        at = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        if (at < 0).any():
+            new = np.flatnonzero(at < 0).tolist()
+            self.learn(list(dict.fromkeys(distinct[i] for i in new)))
+            at[new] = [self.known[distinct[i]] for i in new]
+        self.uses[at] += 1
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        begin, size = begin[which], (self.ends[at] - begin)[which]
         before = np.concatenate([[0], np.cumsum(size)])
-        ids = self.ids[np.repeat(begin - before[:-1], size) + np.arange(before[-1])]
-        return ids, np.diff(before[first])
-
-    def _numbered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-        """Each word's number among the distinct ones and their bytes: short words as two integers that hold all of their bytes and length, longer ones one by one."""
-        size = ends - starts
-        padded = np.concatenate([data, np.zeros(16, np.uint8)])
-        pairs = np.zeros((len(starts), 2), np.uint64)
-        for half in (0, 1):
-            at = starts + 8 * half
-            for k in range(8):
-                inside = np.uint64(255) * (size > 8 * half + k)
-                pairs[:, half] |= (padded[at + k].astype(np.uint64) & inside) << np.uint64(8 * k)
-        short = size <= 16
-        short[np.searchsorted(starts, np.flatnonzero(data == 0), "right") - 1] = False  # a zero byte looks like a shorter word
-        raw = data.tobytes()
-        which = np.zeros(len(starts), np.int64)
-        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-        order = order[short[order]]
-        sorted_pairs = pairs[order]
-        edge = np.concatenate([[True], (sorted_pairs[1:] != sorted_pairs[:-1]).any(1)])[: len(order)]
-        which[order] = np.cumsum(edge) - 1
-        distinct = [raw[a:b] for a, b in zip(starts[order[edge]].tolist(), ends[order[edge]].tolist())]
-        far = np.flatnonzero(~short)
-        names: dict[bytes, int] = {}
-        for i, a, b in zip(far.tolist(), starts[far].tolist(), ends[far].tolist()):
-            which[i] = len(distinct) + names.setdefault(raw[a:b], len(names))
-        return which, distinct + list(names)
+        return self.ids[_ranges(begin, size)], np.diff(before[first])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices begin, begin + 1 … of so many each, end to end."""
+    before = np.cumsum(size) - size
+    return np.repeat(begin - before, size) + np.arange(int(size.sum()))
+
+
+def _numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each word's number among the distinct ones (some may come twice) and their bytes: words of up to 16 bytes as two integers, longer ones one by one."""
+    if not len(starts):
+        return np.zeros(0, np.int64), []
+    size = ends - starts
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 16)[starts]
+    low, high = (np.ascontiguousarray(rows[:, 8 * k : 8 * k + 8]).view("<u8")[:, 0] & _MASKS[np.clip(size - 8 * k, 0, 8)] for k in (0, 1))
+    short = size <= 16
+    short[np.searchsorted(starts, np.flatnonzero(data == 0), "right") - 1] = False  # a zero byte looks like a shorter word
+    raw = data.tobytes()
+    which = np.zeros(len(starts), np.int64)
+    near = np.flatnonzero(short)
+    order = near[np.argsort((low[near] * np.uint64(0x9E3779B97F4A7C15)) ^ (high[near] * np.uint64(0xC2B2AE3D27D4EB4F)))]
+    edge = np.concatenate([[True], (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])])[: len(order)]
+    which[order] = np.cumsum(edge) - 1
+    distinct = [raw[a:b] for a, b in zip(starts[order[edge]].tolist(), ends[order[edge]].tolist())]
+    far = np.flatnonzero(~short)
+    names: dict[bytes, int] = {}
+    for i, a, b in zip(far.tolist(), starts[far].tolist(), ends[far].tolist()):
+        which[i] = len(distinct) + names.setdefault(raw[a:b], len(names))
+    return which, distinct + list(names)
 
 
 @functools.lru_cache(2)
