@@ -7,6 +7,8 @@ a repository are those whose item_id mod 20 is the number of its source.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from haystrata.functions.provider import Echo, run_provider
 from haystrata.operators import context, curate, deps, graph, score
 from haystrata.plans import evaluate
 from haystrata.sources import readers, sinks
-from haystrata.streaming import resume
+from haystrata.streaming import replies, resume
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -498,13 +500,35 @@ def q41_stream_resume(spark, d):
 
 @query("SELECT doc_id, md5(text) AS text_md5, n_chars FROM documents")
 def q42_json_roundtrip(spark, d):
-    """All documents appended as JSON lines in slices, and read again with a schema."""
+    """All documents as JSON lines, and read again with a schema."""
     folder = sinks.work_folder(spark)
-    sinks.append_slices(t(spark, d, "documents").select("doc_id", "text", "n_chars"), f"{folder}/out.jsonl", ["doc_id"], 3)
+    sinks.append_jsonl(t(spark, d, "documents").select("doc_id", "text", "n_chars"), f"{folder}/out.jsonl")
     rows = readers.read_jsonl(spark, f"{folder}/out.jsonl", "doc_id long, text string, n_chars long")
     return rows.select("doc_id", F.md5("text").alias("text_md5"), "n_chars")
 
 
+class _Numbered:
+    """Answers with the number of its run and the question."""
+
+    def __init__(self, run: int):
+        self.run = run
+
+    def generate_reply(self, question, **_):
+        return [f"{self.run}:{question}"]
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AS run, md5(text) AS reply_md5 FROM documents")
+def q52_reply_batches(spark, d):
+    """Every document asked as a task by two runs over the same folders: the first has the even ones, the second all of them and so asks only the others."""
+    rows = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("name"), F.col("text").alias("prompt"))
+    folder = sinks.work_folder(spark)
+    for run, part in ((1, rows.where("cast(name as long) % 2 = 0")), (2, rows)):
+        replies.ask_all(part, f"{folder}/run", f"{folder}/out", functools.partial(_Numbered, run), flush_tasks=4096, keep=["language", "repo", "name", "output"])
+    reply = F.get("output", F.lit(0))
+    got = readers.read_jsonl(spark, f"{folder}/out", "language string, repo string, name string, output array<string>")
+    return got.select(F.col("name").cast("long").alias("doc_id"), F.substring_index(reply, ":", 1).cast("int").alias("run"), F.md5(F.substr(reply, F.lit(3))).alias("reply_md5"))
+
+
 _ASK = "'Can you **briefly** describe the purpose, input, output, and procedure of \"' || role || '\"?'"
 
 

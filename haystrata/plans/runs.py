@@ -16,6 +16,7 @@ from haystrata.functions.provider import Provider, backend
 from haystrata.operators import context, score
 from haystrata.plans import evaluate
 from haystrata.sources import readers, sinks
+from haystrata.streaming import replies
 from haystrata.streaming.resume import TASK_KEY, unfinished
 
 
@@ -58,17 +59,15 @@ def evaluate_model(
     result_dir: str = "results", languages: list[str] | None = None, caching: bool = True, system_message: str | None = None, dataset: str | None = None, clean_mode: str = "none",
     make: Callable[[], Provider] | None = None, count=context.space_tokens, eval_ignore_comments: bool = False, trust_remote_code: bool = False, attn_implementation: str | None = None, flush_tasks: int = 256,
 ) -> str:
-    """Asks the model for every task that the result folder has no output of, appends the outputs as JSON lines, about flush_tasks at a time, scores all of
-    them and returns the printed table. make: another provider than the backend's. Cleaned contexts are scored without comments."""
+    """Asks the model for every task that the result folder has no output of, once, in batches of about flush_tasks (streaming/replies.py), scores all
+    outputs and returns the printed table. make: another provider than the backend's. Cleaned contexts are scored without comments."""
     repos = readers.read_dataset(spark, readers.dataset_path(dataset))
     make = make or provider_maker(model, backend_name, base_url, code_context_size, tensor_parallel_size, trust_remote_code, attn_implementation)
     out = sinks.output_name(result_dir, code_context_size, model)
     tasks = build_or_read_tasks(repos, f"{result_dir}/tasks" if caching else None, code_context_size, languages, clean_mode, count)
     done = _held(lambda: readers.read_jsonl(spark, out, schema.OUTPUT))
-    todo = tasks if done is None else unfinished(tasks, done)
-    new = evaluate.evaluate(todo, make, None, max_new_tokens, system_message)
     kept = [f.name for f in spark.createDataFrame([], schema.OUTPUT).schema]
-    sinks.append_slices(new.select(*kept), out, TASK_KEY, max(1, -(-todo.count() // flush_tasks)))
+    replies.ask_all(evaluate.with_prompt(tasks), f"{out}.run", out, make, TASK_KEY, done, flush_tasks, max_new_tokens, system_message, keep=kept)
     return score_file(spark, out, eval_ignore_comments or clean_mode != "none", dataset)
 
 

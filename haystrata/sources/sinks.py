@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -12,13 +14,18 @@ from pyspark.sql import functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder for files that all executors read: in spark.checkpoint.dir. A temporary one only where that is unset and the master is local."""
+    """A new folder for files that all executors read: in spark.checkpoint.dir, else in the SparkContext's checkpoint folder. A temporary one, removed at exit, only where both are unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = held.get() if held.isDefined() else None
     if base:
         return f"{base.rstrip('/')}/haystrata-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="haystrata-")
+    folder = tempfile.mkdtemp(prefix="haystrata-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def output_name(folder: str, context_size: int, model: str) -> str:
@@ -40,13 +47,6 @@ def append_jsonl(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
-def append_slices(df: DataFrame, folder: str, key: list[str], slices: int) -> None:
-    """df appended as JSON lines in so many jobs, each with the rows of some hashes of key: a run that is stopped keeps the slices that were done."""
-    part = F.pmod(F.xxhash64(*key), F.lit(slices))
-    for k in range(slices):
-        append_jsonl(df.where(part == k), folder)
-
-
 def obfuscate_dataset(repos: DataFrame, path: str, obfuscate) -> str:
     """The dataset with obfuscate(content, language) in place of every file's content, as JSON rows by the side of path; returns where."""
     files = repos.select("language", "repo_ord", F.explode("content").alias("path", "content")).withColumn("content", obfuscate("content", "language"))

@@ -183,16 +183,8 @@ def test_crate_targets_and_stage_flags(spark):
     assert [curate.pending(rows, d, ["k"], o).count() for d, o in ((None, False), (done, False), (done, True))] == [2, 1, 2]
 
 
-def test_stopped_runs_keep_their_slices_and_orphans_are_errors(spark, tmp_path):
+def test_orphans_are_errors(spark):
     rows = spark.range(40).selectExpr("'l' language", "'r' repo", "cast(id as string) name")
-    stop = F.udf(lambda n: 1 // 0 if n == "7" else n)
-    with pytest.raises(Exception):
-        sinks.append_slices(rows.withColumn("output", stop("name")), str(tmp_path / "out"), ["name"], 8)
-    kept = spark.read.schema("language string, repo string, name string, output string").json(str(tmp_path / "out"))
-    left = resume.unfinished(rows, kept)
-    assert "7" in {r["name"] for r in left.collect()}
-    sinks.append_slices(left.withColumn("output", F.col("name")), str(tmp_path / "out"), ["name"], 8)
-    assert sorted(int(r["name"]) for r in spark.read.schema("name string").json(str(tmp_path / "out")).collect()) == list(range(40))
     with pytest.raises(ValueError, match="not in the dataset"):
         evaluate.score_all(rows.withColumn("output", F.array(F.lit("x"))), rows.where("false").selectExpr("language", "repo", "name", "name path", "0 needle_ord", "0 start_line", "1 end_line"), rows.selectExpr("language", "repo", "name path", "name content"))
 
