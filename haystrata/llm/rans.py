@@ -62,7 +62,8 @@ class Table:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.frequencies), dtype=np.uint32), self.frequencies.astype(np.int64))
+            kind = np.uint16 if len(self.frequencies) <= 1 << 16 else np.uint32
+            self._slots = np.repeat(np.arange(len(self.frequencies), dtype=kind), self.frequencies.astype(np.int64))
         return self._slots
 
     def to_bytes(self) -> bytes:

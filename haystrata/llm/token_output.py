@@ -74,86 +74,101 @@ class WordEncoder:
         self.spelled = {ord(c): "".join(letter[b] for b in c.encode()) for c in letters}
         tests = [form.format(c, c) for c in letters for form in self.SEEN_IN]
         want = [x.ids for x in self.tokenizer.encode_batch_fast(tests, add_special_tokens=False)]
-        agree = np.array([self._parts(x)[0] == w for x, w in zip(tests, want)]).reshape(len(letters), -1).all(1)
+        agree = np.array([self._parts(x)[0].tolist() == w for x, w in zip(tests, want)]).reshape(len(letters), -1).all(1)
         self.common = np.zeros(0x251, bool)  # the last one is any other character
         self.common[[ord(c) for c, ok in zip(letters, agree) if ok and c not in marks]] = True
 
-    def _parts(self, lines: str) -> list[list[int]]:
-        """The ids of each line by its parts."""
-        out, own, known = [], [], self.parts
-        for part in self.pattern.findall(lines.lower()):
-            if part == "\n":
-                out.append(own)
-                own = []
-                continue
-            ids = known.get(part)
-            if ids is None:
-                ids = known[part] = [t.id for t in self.tokenizer.model.tokenize(part.translate(self.spelled))]
-            own += ids
-        return [*out, own]
+    def _parts(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each line has) of lines by their parts."""
+        found = self.pattern.findall(lines.lower())
+        at = self.parts.places(found)
+        new = list(dict.fromkeys(found[i] for i in np.flatnonzero(at < 0).tolist()))
+        if new:
+            lists = [[] if x == "\n" else [t.id for t in self.tokenizer.model.tokenize(x.translate(self.spelled))] for x in new]
+            self.parts.add(new, *_flattened(lists))
+            at = self.parts.places(found)
+        begin, size = self.parts.spans(at)
+        line = np.cumsum(at == self.parts.known.get("\n", -2))
+        return self.parts.ids[_ranges(begin, size)], np.bincount(line, size, minlength=lines.count("\n") + 1).astype(np.int64)
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-
-    def _shrink(self) -> None:
-        """Forgets words that came once; all of them if that is not enough."""
-        often = self.uses[: len(self.known)] > 1
-        if often.sum() > CACHE_WORDS // 2:
-            return self.forget()
-        kept = [w for w, x in zip(self.known, often.tolist()) if x]
-        at = np.flatnonzero(often)
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        lists = np.split(self.ids[_ranges(begin, self.ends[at] - begin)], np.cumsum(self.ends[at] - begin)[:-1])
-        self.forget()
-        self._add(kept, lists)
-
-    def _add(self, new: list[bytes], lists: list) -> None:
-        n = len(self.known)
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ends = (self.ends[n - 1] if n else 0) + np.cumsum(sizes)
-        while len(self.ends) < n + len(new):
-            self.ends, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.uses))
-        while len(new) and len(self.ids) < ends[-1]:
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        if len(new):
-            self.ids[ends[-1] - sizes.sum() : ends[-1]] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum()))
-        self.ends[n : n + len(new)] = ends
-        self.known.update(zip(new, range(n, n + len(new))))
+        self.words, self.parts = _Remembered(), _Remembered()
 
     def learn(self, new: list[bytes]) -> None:
-        lines = b"\n".join(new).decode("utf-8", "replace")
-        odd = range(len(new))
+        odd = new
         if self.pattern is not None:
+            lines = b"\n".join(new).decode("utf-8", "replace")
             codes = np.frombuffer(lines.encode("utf-32-le", "replace"), np.uint32)
-            line = np.cumsum(codes == 10)
-            odd = np.unique(line[~self.common[np.minimum(codes, 0x250)] & (codes != 10)]).tolist()
-        lists = self._parts(lines) if len(odd) < len(new) else [[]] * len(new)
-        for i, x in zip(odd, self.tokenizer.encode_batch_fast([new[i].decode("utf-8", "replace") for i in odd], add_special_tokens=False)):
-            lists[i] = x.ids
-        self._add(new, lists)
+            unusual = np.bincount(np.cumsum(codes == 10), ~self.common[np.minimum(codes, 0x250)] & (codes != 10), minlength=len(new)) > 0
+            odd, plain = ([w for w, x in zip(new, unusual.tolist()) if x == y] for y in (True, False))
+            if plain:
+                self.words.add(plain, *self._parts(b"\n".join(plain).decode()))
+        if odd:
+            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+            self.words.add(odd, *_flattened([x.ids for x in got]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, how many each has)."""
         if not self.by_words:
             got = [x.ids for x in self.tokenizer.encode_batch_fast(["" if x is None else x for x in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.uint32), np.array([len(x) for x in got], np.int64)
-        if max(len(self.known), len(self.parts)) > CACHE_WORDS:
-            self._shrink()
+        self.words.shrink()
+        self.parts.shrink()
         data, offs = flat(texts)
         starts, ends, first = words(data, offs)
         which, distinct = _numbered(data, starts, ends)
-        at = np.fromiter((self.known.get(w, -1) for w in distinct), np.int64, len(distinct))
+        at = self.words.places(distinct)
         if (at < 0).any():
-            new = np.flatnonzero(at < 0).tolist()
-            self.learn(list(dict.fromkeys(distinct[i] for i in new)))
-            at[new] = [self.known[distinct[i]] for i in new]
+            self.learn(list(dict.fromkeys(distinct[i] for i in np.flatnonzero(at < 0).tolist())))
+            at = self.words.places(distinct)
+        begin, size = (x[which] for x in self.words.spans(at))
+        before = np.concatenate([[0], np.cumsum(size)])
+        return self.words.ids[_ranges(begin, size)], np.diff(before[first])
+
+
+class _Remembered:
+    """Keys and the ids of each."""
+
+    def __init__(self):
+        self.known: dict = {}
+        self.ids, self.ends, self.uses = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+
+    def places(self, keys: list) -> np.ndarray:
+        """Each key's number, -1 for those that are not known."""
+        return np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the numbers begin, and how many there are."""
         self.uses[at] += 1
         begin = np.where(at > 0, self.ends[at - 1], 0)
-        begin, size = begin[which], (self.ends[at] - begin)[which]
-        before = np.concatenate([[0], np.cumsum(size)])
-        return self.ids[_ranges(begin, size)], np.diff(before[first])
+        return begin, self.ends[at] - begin
+
+    def add(self, new: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.known)
+        ends = (self.ends[n - 1] if n else 0) + np.cumsum(sizes)
+        while len(self.ends) < n + len(new):
+            self.ends, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.ends, self.uses))
+        while len(self.ids) < ends[-1]:
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[ends[-1] - len(ids) : ends[-1]] = ids
+        self.ends[n : n + len(new)] = ends
+        self.known.update(zip(new, range(n, n + len(new))))
+
+    def shrink(self) -> None:
+        """Over CACHE_WORDS keys: forgets those that were used once, or all of them if that leaves more than half."""
+        if len(self.known) <= CACHE_WORDS:
+            return
+        often = np.flatnonzero(self.uses[: len(self.known)] > 1)
+        keys, kept, ids = list(self.known), len(often) <= CACHE_WORDS // 2, self.ids
+        begin, size = self.spans(often)
+        self.__init__()
+        if kept and len(often):
+            self.add([keys[i] for i in often.tolist()], ids[_ranges(begin, size)], size)
+
+
+def _flattened(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
 
 
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
