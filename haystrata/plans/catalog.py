@@ -380,30 +380,39 @@ def q32_comment_ratio(spark, d):
     return _code(spark, d).select("doc_id", F.round(syntax.comment_ratio("code", "language"), 9).alias("comment_ratio"))
 
 
-#: A language's path of a document, and what in its code names the document that follows it by id; {} is the id.
+#: A language's path of a document by turns, the ways in which its code names the document that follows it by turns, and what names others without being code. {} is an id, in the last ones two later.
 _IMPORTS = {
-    "python": ("p/m{}.py", "import p.m{}\n", "# "),
-    "cpp": ("src/d{}.h", '#include "d{}.h"\n', "// "),
-    "java": ("src/a/C{}.java", "import a.C{};\n", "// "),
-    "go": ("x/g{}.go", "func f() {{ g{}.Run() }}\n", "// "),
-    "rust": ("src/r{}.rs", "use crate::r{}::f;\n", "// "),
-    "typescript": ("s/t{}.ts", 'import {{x}} from "./t{}";\n', "// "),
+    "python": (["p/m{}.py"], ["import p.m{}\n", "import os, p.m{} as x\n", "from p import m{}\n", "from . import m{}\n", "from .m{} import f\n", "from p.m{} import (a,  # one\n  b)\n", "import os; from p import q, \\\n  m{}\n"],
+        '"""\nimport p.m{}\n"""\nx = "from p import m{}" # import p.m{}\n', "# "),
+    "cpp": (["src/d{}.h"], ['#include "d{}.h"\n', "#include <src/d{}.h>\n", '# include "../src/d{}.h"\n', '  #include "./d{}.h" // own\n'], 'int x; /*\n#include "d{}.h"\n*/ // #include "d{}.h"\n', "// "),
+    "java": (["src/a/C{}.java", "src/a/C{}.java", "src/a/C{}.java", "src/k{}/C{}.java"], ["import a.C{};\n", "class X {{ C{} y; }}\n", "import java.util.List; import k{}.*;\n", "import static a.C{}.run;\n"],
+        '/* C{} */ String s = "a C{} b"; char c = \'"\'; // import a.C{};\n', "// "),
+    "go": (["x/g{}.go"], ["func f() {{ g{}.Run() }}\n", "var v = g{} . T{{}}\n"], "var s = `g{}.Run()` + \"g{}.Run\" // g{}.Run()\n/* g{}.Run() */\n", "// "),
+    "rust": (["src/r{}.rs"], ["use crate::r{}::f;\n", "use std::io; pub(crate) use crate::{{a, q::{{c, d as e}}, r{}::{{self, g as h, *}}, self}};\n", "use super::r{}::f;\n", "use self::super::r{}::{{x::y}};\n", "pub use crate::{{\n  r{} as z,\n}};\n"],
+        'const S: &str = "use crate::r{}::f;"; /*\nuse crate::r{}::f;\n*/ // use crate::r{};\n', "// "),
+    "typescript": (["s/t{}.ts"], ['import {{x}} from "./t{}";\n', 'const y = require("../s/t{}.js")\n', 'import z from "@/t{}"\n', 'export * from "s/t{}";\n', 'import "@only/{}.end"\n', 'const m = await import( "./t{}.ts" )\n'],
+        '/* import {{x}} from "./t{}"; */ // require("./t{}")\n', "// "),
 }
+_TSCONFIG = '{ // aliases\n"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["none/*", "./s/*"], "@only/*.end": ["s/t*"], "@*": ["wrong/*"],}}}'
 
 
 def _import_edges(spark, d, language):
-    """Documents as source files of their language's repository: an import of the next id, then all lines of the whole text as comments."""
-    path, use, sign = _IMPORTS[language]
-    fill = lambda form, c: F.concat(*[F.lit(x) for x in form.format("\0").split("\0")][:1], c, F.lit(form.format("\0").split("\0")[1]))
+    """Documents as source files of their language's repository: an import of the next id in one of the language's ways, names of others that are no code, and all lines of the whole text as comments."""
+    paths, uses, decoy, sign = _IMPORTS[language]
+    fill = lambda form, c: F.concat(*[x for i, part in enumerate(form.format(*["\0"] * form.count("{}")).split("\0")) for x in ([c] * (i > 0) + [F.lit(part)])])
+    by_turns = lambda forms, c: F.get(F.array(*[fill(f, c.cast("string")) for f in forms]), F.pmod(F.col("doc_id"), F.lit(len(forms))).cast("int"))
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.concat(F.lit(sign), x, F.lit("\n")))
-    code = F.concat(fill(use, (F.col("doc_id") + 1).cast("string")), F.array_join(lines, ""))
-    files = t(spark, d, "documents").select(F.col("lang").alias("repo"), fill(path, F.col("doc_id").cast("string")).alias("path"), code.alias("content"))
+    code = F.concat(by_turns(uses, F.col("doc_id") + 1), fill(decoy, (F.col("doc_id") + 2).cast("string")), F.array_join(lines, ""))
+    files = t(spark, d, "documents").select(F.col("lang").alias("repo"), by_turns(paths, F.col("doc_id")).alias("path"), code.alias("content"))
+    if language == "typescript":
+        files = files.unionByName(t(spark, d, "documents").select(F.col("lang").alias("repo")).distinct().select("repo", F.lit("tsconfig.json").alias("path"), F.lit(_TSCONFIG).alias("content")))
     return deps.EDGES[language](files)
 
 
 def _edge_sql(language):
-    head, tail = _IMPORTS[language][0].split("{}")
-    return f"SELECT DISTINCT a.lang AS repo, '{head}' || a.doc_id || '{tail}' AS src, '{head}' || b.doc_id || '{tail}' AS dst FROM documents a JOIN documents b ON a.lang = b.lang AND b.doc_id = a.doc_id + 1"
+    paths = _IMPORTS[language][0]
+    path = lambda x: "CASE " + " ".join(f"WHEN {x}.doc_id % {len(paths)} = {k} THEN '{p.replace('{}', f"' || {x}.doc_id || '")}'" for k, p in enumerate(paths)) + " END"
+    return f"SELECT DISTINCT a.lang AS repo, {path('a')} AS src, {path('b')} AS dst FROM documents a JOIN documents b ON a.lang = b.lang AND b.doc_id = a.doc_id + 1"
 
 
 @query(_edge_sql("python"))

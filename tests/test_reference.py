@@ -246,3 +246,100 @@ def test_runs_on_files(spark, tmp_path):
     assert runs.score_file(spark, out, ignore_comments=True, dataset=str(tmp_path / "d.json"), mode="ignore") == table
     with pytest.raises(ValueError):
         runs.provider_maker("m", "no such")
+
+
+def edges_of(spark, lang, files):
+    df = spark.createDataFrame([("r", p, c) for p, c in files.items()], "repo string, path string, content string")
+    return {(e["src"], e["dst"]) for e in deps.EDGES[lang](df).collect()}
+
+
+def test_use_trees(spark):
+    cases = [
+        ("crate::{a, b::{c, d as e}, self}", ["crate::a", "crate::b::c", "crate::b::d", "crate"]),
+        ("a::b", ["a::b"]), ("{a, b}", ["a", "b"]), ("crate::*", ["crate"]), ("x::{self}", ["x"]), ("a::{b::{c::{d}}, e::*,}", ["a::b::c::d", "a::e"]),
+        ("super::super::x as y", ["super::super::x"]), ("a::{\n  b ,\n\tc as _\n}", ["a::b", "a::c"]), ("", []), ("a::{}", []), ("{{}}}", []), ("a::{b", ["a::b"]),
+    ]
+    for tree, want in cases:
+        assert one(spark, deps.use_paths(F.lit(tree))) == want, tree
+
+
+def test_rust_modules(spark):
+    files = {
+        "src/lib.rs": "mod a;\nuse crate::{a, b::{c, d as e}, self};\nuse std::{io, fmt};", "src/a/mod.rs": "use self::x::Y; use super::b; mod x; use x::deep::Z;", "src/a/x.rs": "use super::super::b::c; use super::Q; use serde::Deserialize;",
+        "src/b.rs": "use self::c::f; use super::a::x; // use crate::d;\nconst S: &str = r#\"use crate::d;\"#;", "src/b/c.rs": "", "src/b/d.rs": "use crate::nowhere::N;", "src/d.rs": "",
+    }
+    want = {("src/lib.rs", "src/a/mod.rs"), ("src/lib.rs", "src/b/c.rs"), ("src/lib.rs", "src/b/d.rs"), ("src/a/mod.rs", "src/a/x.rs"), ("src/a/mod.rs", "src/b.rs"), ("src/a/x.rs", "src/b/c.rs"), ("src/a/x.rs", "src/a/mod.rs"),
+            ("src/b.rs", "src/b/c.rs"), ("src/b.rs", "src/a/x.rs"), ("src/b/d.rs", "src/lib.rs")}
+    assert edges_of(spark, "rust", files) == want
+
+
+def test_names_in_comments_and_literals_make_no_edges(spark):
+    assert edges_of(spark, "java", {"a/A.java": '// see B\nString s = "C"; /* D */ char q = \'"\'; String t = """\nE "F" """; G g;', **{f"a/{x}.java": "" for x in "BCDEFG"}}) == {("a/A.java", "a/G.java")}
+    assert edges_of(spark, "go", {"m.go": 'x := "util.Do" // see util.Do\ny := `io.Read`\n/* net.Dial */ z := a.b.c; log . Print()', **{f"p/{x}.go": "" for x in ("util", "io", "net", "a", "b", "log")}}) == {("m.go", "p/a.go"), ("m.go", "p/log.go")}
+    assert edges_of(spark, "cpp", {"a.cc": '/*\n#include "b.h"\n*/\nauto s = R"x(\n#include "c.h"\n)x";\n#include "d.h" // "e.h"', **{f"{x}.h": "" for x in "bcde"}}) == {("a.cc", "d.h")}
+    assert edges_of(spark, "python", {"p/__init__.py": "from . import a\nfrom .b import x as y", "p/a.py": 's = """\nimport p.b\n"""\nimport os, p.c as k, \\\n  p.d\nfrom fromage import b # import p.b', **{f"p/{x}.py": "" for x in "bcd"}}) == {("p/__init__.py", "p/a.py"), ("p/__init__.py", "p/b.py"), ("p/a.py", "p/c.py"), ("p/a.py", "p/d.py")}
+
+
+def brute_resolve(files, src, m, configs):
+    """A TypeScript path by search over all configurations, patterns and names."""
+    import posixpath
+
+    norm = lambda p: posixpath.normpath("/" + p).lstrip("/")
+    ends = lambda s: next((x for x in (s, s + ".ts", s + ".js", s + "/index.ts", s + "/index.js", s[:-3] + ".ts" if s.endswith(".js") else s) if x in files and x.endswith((".ts", ".js"))), None)
+    here = posixpath.dirname(src)
+    if m.startswith(("./", "../")) or m in (".", ".."):
+        return ends(norm(f"{here}/{m}"))
+    above = [d for d in configs if d == "" or here == d or here.startswith(d + "/")]
+    if not above:
+        return None
+    d = max(above, key=len)
+    base, paths = configs[d]
+    at = norm(f"{d}/{base}") if base is not None else d
+    fits = []
+    for p, targets in paths.items():
+        head, star, tail = p.partition("*")
+        if star and m.startswith(head) and m.endswith(tail) and len(m) >= len(head) + len(tail):
+            fits.append(((0, len(head), len(tail)), m[len(head) : len(m) - len(tail)], targets))
+        elif not star and p == m:
+            fits.append(((1, 0, 0), "", targets))
+    if fits:
+        _, mid, targets = max(fits, key=lambda x: x[0])
+        return next((x for t in targets if (x := ends(norm(f"{at}/{t.replace('*', mid)}")))), None)
+    return ends(norm(f"{at}/{m}")) if base is not None else None
+
+
+def test_path_aliases_equal_a_search(spark):
+    rng = random.Random(12)
+    dirs = ["", "app", "app/src", "lib", "lib/core"]
+    names = [f"{d}/{n}".lstrip("/") for d in dirs for n in ("a.ts", "b.ts", "c.js", "x/index.ts", "y.css")]
+    patterns = ["@/*", "@lib/*", "@lib/core/*", "@*", "a", "*", "x*", "@/*.gen", "b/*"]
+    specs = ["./a", "../b", "@/a", "@lib/b", "@lib/core/c", "@lib/core/x", "a", "x", "b/a", "@/a.gen", "src/a", "core/b", "react", ".", "@zz", "xx", "c.js", "./a.js"]
+    rows, want = [], set()
+    for r in range(40):
+        files = {n: "" for n in names if rng.random() < 0.8}
+        configs = {}
+        for d in rng.sample(dirs, rng.randint(0, 3)):
+            paths = {p: rng.sample(["src/*", "*", "core/*", "../lib/*", "./x", "a", "app/src/*"], rng.randint(1, 3)) for p in rng.sample(patterns, rng.randint(0, 4))}
+            base = rng.choice([None, ".", "src", "..", "./"])
+            configs[d] = (base, paths)
+            options = {"paths": paths} | ({"baseUrl": base} if base is not None else {})
+            rows.append((f"r{r}", f"{d}/tsconfig.json".lstrip("/"), "// own\n" + json.dumps({"compilerOptions": options})[:-2] + ",}}"))
+        for n in list(files):
+            if n.endswith((".ts", ".js")):
+                mine = rng.sample(specs, 6)
+                files[n] = "\n".join(rng.choice(['import {{q}} from "{}"', "require('{}')", 'export * from "{}"', 'import("{}")']).format(m) for m in mine)
+                want |= {(f"r{r}", n, dst) for m in mine if (dst := brute_resolve(files, n, m, configs)) and dst != n}
+        rows += [(f"r{r}", n, c) for n, c in files.items()]
+    df = spark.createDataFrame(rows, "repo string, path string, content string")
+    got = {(e["repo"], e["src"], e["dst"]) for e in deps.typescript_edges(df).collect()}
+    assert got == want and len(want) > 300
+
+
+def test_masking_is_linear(spark):
+    import time
+
+    for lang, text_ in (("java", '"' * 400_000), ("java", "/*" * 300_000), ("rust", 'r#"' * 200_000), ("python", "'" * 400_000), ("cpp", 'R"(' * 200_000), ("go", "`a" * 300_000), ("typescript", "\\`" * 300_000), ("java", '"' + "\\n" * 300_000)):
+        began = time.time()
+        df = spark.createDataFrame([(text_,)], "t string")
+        df.select(F.length(deps.code_only("t", lang)), F.length(deps.code_only("t", lang, True))).collect()
+        assert time.time() - began < 20, (lang, text_[:4])
