@@ -11,6 +11,7 @@ import io
 import re
 import tokenize
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,12 +22,21 @@ FUNCTION_TYPE = "array<struct<name:string,start_line:int,end_line:int,start_byte
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 _C_COMMENT = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`?""", re.S)
 _HEADS = {
-    "java": re.compile(r"(?:[\w<>\[\],.?@]+\s+)+?(\w+)\s*\([^;{}]*\)\s*(?:throws\s+[\w.,\s]+)?$", re.S),
-    "typescript": re.compile(r"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*(?:<[^>]*>)?\s*\(.*\)\s*(?::\s*[^{}]+)?$", re.S),
-    "rust": re.compile(r"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\S+\s+)*fn\s+(\w+)\s*(?:<.*?>)?\s*\(.*$", re.S),
-    "cpp": re.compile(r"(?:[\w:<>,*&]+\s+)+(?<![*&:])(\w+)\s*\([^;{}]*\)\s*(?:const|noexcept)?\s*$", re.S),
-    "go": re.compile(r"func\s+(\w+)\s*(?:\[[^\]]*\])?\s*\(.*$", re.S),
+    "java": re.compile(r"((?:[\w<>\[\],.?&]+\s+)+?)(\w+)\s*\(.*\)\s*(?:\[\]\s*)*(?:throws\s+[\w.,\s]+)?$", re.S),
+    "typescript": re.compile(r"((?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?)function\s*\*?\s*(\w+)\s*(?:<.*?>)?\s*\(.*\)\s*(?::.*)?$", re.S),
+    "rust": re.compile(r"((?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default|extern(?:\s+\S+)?)\s+)*)fn\s+(\w+)\s*(?:<.*?>)?\s*\(.*$", re.S),
+    "cpp": re.compile(r"((?:[\w:<>,*&\[\]]+\s+)+)(\w+)\s*\(.*\)\s*(?:(?:const|noexcept|override|final)\s*)*(?:->.*)?$", re.S),
+    "go": re.compile(r"()func\s+(\w+)\s*(?:\[.*?\])?\s*\(.*$", re.S),
 }
+#: Heads whose next brace is a type's and not the body's.
+_TYPE_HEADS = {
+    "typescript": re.compile(r"(?:export\s+|default\s+|declare\s+|async\s+)*function\b(?:(?:[^()]*<[^()]*)|.*\)\s*:\s*(?:.*(?:[|&<,:\[(]|=>)\s*)?)$", re.S),
+    "go": re.compile(r".*\b(?:interface|struct)\s*$", re.S),
+}
+_CLASS = re.compile(r"\b(?:class|struct|union)\b[^()=]*$")
+_ANNOTATION = re.compile(r"@(?!interface\b)[\w.]+\s*(?:\([^()]*\))?")
+_MODIFIERS = frozenset("public private protected static final abstract synchronized native default strictfp".split())
+_NO_TYPE = frozenset("new record class interface enum return throw else case".split())
 _NO_NAME = frozenset("if for while switch catch synchronized else do try return new match loop".split())
 
 
@@ -36,12 +46,18 @@ class _Places:
     def __init__(self, text: str):
         self.text = text
         self.ascii = text.isascii()
+        self.bytes: np.ndarray | None = None
         self.lines = [0]
         for m in re.finditer("\n", text):
             self.lines.append(m.end())
 
     def byte(self, i: int) -> int:
-        return i if self.ascii else len(self.text[:i].encode())
+        if self.ascii:
+            return i
+        if self.bytes is None:
+            codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            self.bytes = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        return int(self.bytes[i])
 
     def line(self, i: int) -> int:
         from bisect import bisect_right
@@ -96,24 +112,50 @@ def _c_comments(text: str):
     return [(p.byte(m.start()), p.byte(m.end())) for m in _C_COMMENT.finditer(text) if m[0][:2] in ("//", "/*")]
 
 
+def _head_name(lead: str, language: str, in_class: bool) -> str | None:
+    """The name of the function whose body follows a head, None if it is none."""
+    got = _HEADS[language].match(_ANNOTATION.sub(" ", lead).strip() if language == "java" else lead.rstrip())
+    if not got or got[2] in _NO_NAME:
+        return None
+    before = got[1].split()
+    if language == "java":
+        types = [x for x in before if x not in _MODIFIERS]
+        return got[2] if types and not _NO_TYPE.intersection(types) and any(x[:1] != "<" for x in types) else None
+    if language == "cpp":
+        return None if in_class or before[-1].endswith(("*", "&", ":")) or _NO_TYPE.intersection(before) else got[2]
+    return got[2]
+
+
 def _c_functions(text: str, language: str):
-    """Brace blocks whose head, since the last ; { or }, reads like a function."""
+    """Brace blocks whose head, since the last ; { or } that is not in brackets of its own, reads like a function. A brace in brackets, or of a type in the head, leaves the head as it is."""
     blank = _C_COMMENT.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    p, found, stack, head = _Places(text), [], [], 0
-    for m in re.finditer(r"[{};]", blank):
+    p, found, head = _Places(text), [], 0
+    stack: list[tuple] = []  # of open brackets: the bracket, (name, begin) of a function, the head that goes on after it, whether it is a class
+    for m in re.finditer(r"[(){}\[\];]", blank):
         c, i = m[0], m.start()
-        if c == "{":
-            lead = blank[head:i]
+        within = bool(stack) and stack[-1][0] != "{"
+        if c in "([":
+            stack.append((c, None, None, False))
+        elif c in ")]":
+            if within and stack[-1][0] == "(["[c == "]"]:
+                stack.pop()
+        elif c == ";":
+            head = head if within else i + 1
+        elif c == "{":
+            lead = "" if within or language not in _HEADS else blank[head:i]
             a = head + len(lead) - len(lead.lstrip())
-            got = _HEADS[language].match(blank[a:i].rstrip()) if language in _HEADS else None
-            if got and (got[1] in _NO_NAME or language == "cpp" and stack and any(s is None for s in stack) and "class" in blank[: stack and head or 0][-200:]):
-                got = None
-            stack.append((got[1], a) if got else None)
-        elif c == "}" and stack:
-            top = stack.pop()
+            lead = lead.lstrip()
+            kind = language in _TYPE_HEADS and _TYPE_HEADS[language].match(lead)
+            name = None if kind or not lead else _head_name(lead, language, bool(stack) and stack[-1][3])
+            stack.append((c, (name, a) if name else None, head if within or kind else None, language == "cpp" and bool(_CLASS.search(lead))))
+            head = i + 1
+        else:
+            while stack and stack[-1][0] != "{":
+                stack.pop()
+            _, top, before, _ = stack.pop() if stack else ("", None, None, False)
             if top:
                 found.append((top[0], p.line(top[1]), p.line(i) + 1, p.byte(top[1]), p.byte(i + 1)))
-        head = i + 1
+            head = i + 1 if before is None else before
     return sorted(found, key=lambda x: x[3])
 
 

@@ -482,13 +482,29 @@ def q38_topo_order(spark, d):
     return graph.topo_order(edges).select(F.col("repo").cast("int").alias("nation"), "path", "topo_idx")
 
 
-@query("SELECT doc_id, 1 AS n_functions, ('f' || doc_id) AS name, 2 AS n_lines FROM documents")
+#: By turns: a language, code with one function of a document's name and others that are nested or none of the language's function forms, how many functions it has, and how many lines the named one.
+_FORMS = [
+    ("python", "def f{}(x):\n    def g(y): return y\n    return g\n", 2, 3),
+    ("java", "class A {\n  A() { x(); }\n  @B({1, 2}) Object f{}(int x) { return new C() { int g(int y) { return y; } }; }\n}\n", 2, 1),
+    ("typescript", "const v = () => { x() }\nexport function f{}(a: {b: number}): {c: T} | {d: T} {\n  return a\n}\n", 1, 3),
+    ("rust", "pub fn f{}<T: Into<u8>>(x: [u8; { 1 + 1 }]) -> u8 where T: Copy {\n  x\n}\n", 1, 3),
+    ("cpp", "int* p() { return 0; }\nstruct S { int m() { return 1; } };\nvoid S::n() { x(); }\nint f{}(int x = g(1)) {\n  return x;\n}\n", 1, 3),
+    ("go", "func (r R) m() { x() }\nfunc f{}(x interface{}) interface{} {\n  return x\n}\n", 1, 3),
+]
+
+
+@query(f"SELECT doc_id, {[x[2] for x in _FORMS]}[doc_id % 6 + 1] AS n_functions, 'f' || doc_id AS name, {[x[3] for x in _FORMS]}[doc_id % 6 + 1] AS n_lines FROM documents")
 def q39_function_extract(spark, d):
-    """Each document's id as a function's name, all lines of its text as comments before it, in six languages by turns."""
-    rows = t(spark, d, "documents").select("doc_id", *_commented_code("doc_id", "text"))
-    rows = rows.select("doc_id", syntax.extract_functions("code", "language").alias("f"))
-    first = F.get("f", F.lit(0))
-    return rows.select("doc_id", F.size("f").alias("n_functions"), first["name"].alias("name"), (first["end_line"] - first["start_line"]).alias("n_lines"))
+    """All lines of each document's text as comments, then code in six languages by turns: the function that has the document's id as name, and how many there are."""
+    turn = F.pmod(F.col("doc_id"), F.lit(len(_FORMS))).cast("int")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), turn)
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
+    sign = pick(["# " if x[0] == "python" else "// " for x in _FORMS])
+    name = F.concat(F.lit("f"), F.col("doc_id").cast("string"))
+    code = F.concat(F.array_join(F.transform(lines, lambda x: F.concat(sign, x, F.lit("\n"))), ""), F.replace(pick([x[1] for x in _FORMS]), F.lit("f{}"), name))
+    rows = t(spark, d, "documents").select("doc_id", name.alias("wanted"), syntax.extract_functions(code, pick([x[0] for x in _FORMS])).alias("f"))
+    one = F.get(F.filter("f", lambda x: x["name"] == F.col("wanted")), F.lit(0))
+    return rows.select("doc_id", F.size("f").alias("n_functions"), one["name"].alias("name"), (one["end_line"] - one["start_line"]).alias("n_lines"))
 
 
 @query("SELECT conv_id, turn, md5(text) AS reply_md5 FROM conversations")

@@ -343,3 +343,50 @@ def test_masking_is_linear(spark):
         df = spark.createDataFrame([(text_,)], "t string")
         df.select(F.length(deps.code_only("t", lang)), F.length(deps.code_only("t", lang, True))).collect()
         assert time.time() - began < 20, (lang, text_[:4])
+
+
+FORMS = {
+    "typescript": [
+        ("function g(a: {b: number}): void { x }", ["g"]), ("function h(): {a: number} { x }", ["h"]), ("export default async function k<T extends {a: {b: T}}>(x: T = {a: 1}): Promise<{c: T} | {d: T}> { if (x) { y } }", ["k"]),
+        ("const f = function (a) { x }; const g = (b) => { y }", []), ("class A { m(a: number) { function inner() { return {a: 1} } } }", ["inner"]), ("function a() {} function b() {}", ["a", "b"]), ("export function* gen(): Iterable<number> { yield 1 }", ["gen"]),
+        ("foo(function named(x) { y })", []), ("function d(cb = () => { return {} }) { z }", ["d"]), ("interface I { f(): {a: number} }\nfunction after() { x }", ["after"]),
+    ],
+    "java": [
+        ("class A { Object f() { return new B() { public int g(int x) { return x; } }; } }", ["f", "g"]), ("class A { A(int x) { y(); } public A() {} void m() throws E, F { for (int i = 0; i < 2; i++) { z(); } } }", ["m"]),
+        ('class A { @B({1, 2}) @C("x") public static <T extends D> Map<String, T> n(@E T t) { if (a) { b(); } else if (c) { d(); } return null; } }', ["n"]), ("record P(int x) { int twice() { return 2 * x; } }", ["twice"]),
+        ("class A { void m() { run(() -> { x(); }, new C() { void n() { } }); synchronized (this) { y(); } try (R r = s()) { } catch (E e) { } switch (k) { } } }", ["m", "n"]), ("interface I { int f(int x); default int g() { return 1; } }", ["g"]),
+    ],
+    "cpp": [
+        ("int* p() { return 0; }", []), ("int& r() { return x; }", []), ("int f(int a = g(1)) { if (a) { return 1; } }", ["f"]), ("void A::m() { x(); }", []), ("struct S { int m() { return 1; } }; int after() { return 2; }", ["after"]),
+        ("template <class T> std::vector<T> v(T x) { return {x}; }", ["v"]), ("namespace n { static inline int k() noexcept { return 1; } }", ["k"]), ("auto t() -> int { return 1; }", ["t"]), ("int main() { auto l = [](int x) { return x; }; while (1) { } do { } while (0); }", ["main"]),
+    ],
+    "go": [
+        ("func f(x interface{}) interface{} { return struct{ a int }{1} }", ["f"]), ("func (r R) m() { x() }", []), ("func g[T any, U comparable](a []T) (b struct{ c int }) { for i := 0; i < 3; i++ { } }", ["g"]), ("var v = func(x int) { y }", []), ("func a() {}\nfunc b() { if x := f(); x { } }", ["a", "b"]),
+    ],
+    "rust": [
+        ("pub fn f<T: Into<u8>>(x: T) -> [u8; { 1 + 1 }] where T: Copy { let s = S { a: 1 }; }", ["f"]), ("impl A { pub(crate) async unsafe fn m(&self) { match x { _ => { } } } } trait T { fn sig(&self); fn d(&self) { } }", ["m", "d"]), ("fn a() {} fn b() -> impl Fn(u8) -> u8 { |x| { x } }", ["a", "b"]),
+    ],
+}
+
+
+@pytest.mark.parametrize("lang", sorted(FORMS))
+def test_function_forms(lang):
+    for code, want in FORMS[lang]:
+        got = syntax.functions(code, lang)
+        assert [f[0] for f in got] == want, (code, got)
+        raw = ("/* ééé { */\n" + code).encode()
+        for name, l0, l1, a, b in syntax.functions("/* ééé { */\n" + code, lang):
+            assert raw[a:b].endswith(b"}") and name.encode() in raw[a:b] and l0 <= l1 and raw[a:b].count(b"{") == raw[a:b].count(b"}")
+        # cut off anywhere, it is read without an error
+        for k in range(0, len(code), 7):
+            syntax.functions(code[:k], lang)
+
+
+def test_syntax_is_linear_in_files_of_any_letters():
+    import time
+
+    for text_, lang in (("// é\n" * 100_000, "java"), ("int é() { }\n" * 30_000, "cpp"), ("function f(a: {b: c}) { }\n" * 30_000, "typescript"), ("{" * 200_000, "go"), ("(" * 200_000 + "}" * 200_000, "rust"), ("fn f() {\n" * 40_000, "rust")):
+        began = time.process_time()
+        syntax.comments(text_, lang)
+        syntax.functions(text_, lang)
+        assert time.process_time() - began < 5, (text_[:8], lang)
