@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from haystrata.functions import syntax
 from haystrata.functions.text import path_comment, position_ratio, prefix_budget, space_tokens
+from haystrata.operators.running import sums_before
 from haystrata.schema import COMMENT_SIGN
 
 ELLIPSIS = "...\n"
@@ -29,11 +30,10 @@ def budget_lines(lines: DataFrame, key: list[str], budget, backward: bool = Fals
     return lines.withColumn("run", F.sum("n_tok").over(w)).where(F.col("run") <= budget)
 
 
-def file_budget(costs: DataFrame, key: list[str], budget, order) -> DataFrame:
-    """costs (key, n_tok, …) of the files to visit, with left: the budget that is left for each, and whole: it fits."""
-    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    left = budget - F.coalesce(F.sum("n_tok").over(w), F.lit(0))
-    return costs.withColumn("left", left).where(F.col("left") > 0).withColumn("whole", F.col("n_tok") <= F.col("left"))
+def file_budget(costs: DataFrame, key: list[str], budget, order: str, backward: bool = False, orders: DataFrame | None = None) -> DataFrame:
+    """costs (key, order, n_tok, …) of the files to visit, the first by order first or, backward, the last, with left: the budget that is left for each, and whole: it fits. orders: see sums_before()."""
+    rows = sums_before(costs, key, order, {"left": "n_tok"}, backward, orders=orders).withColumn("left", budget - F.col("left"))
+    return rows.where(F.col("left") > 0).withColumn("whole", F.col("n_tok") <= F.col("left"))
 
 
 def _sign() -> Column:
@@ -67,8 +67,7 @@ def file_costs(files: DataFrame, count=space_tokens) -> DataFrame:
     else:  # batches of lines
         lines = files.select("language", "repo", "file_idx", F.explode(_rows()).alias("line"))
         costs = lines.withColumn("n", count(F.concat("line", F.lit("\n")))).groupBy("language", "repo", "file_idx").agg(F.sum("n").cast("long").alias("n_tok"))
-    w = Window.partitionBy("language", "repo").orderBy("file_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return costs.withColumn("before", F.coalesce(F.sum("n_tok").over(w), F.lit(0)).cast("long"))
+    return sums_before(costs, ["language", "repo"], "file_idx", {"before": "n_tok"}, orders=files)
 
 
 def visited(needles: DataFrame, costs: DataFrame, span: int, backward: bool) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haystrata.operators.running import sums_before
+
 REPO = ["language", "repo"]
 
 
@@ -32,16 +34,16 @@ def repo_sizes(files: DataFrame) -> DataFrame:
 def bin_first(functions: DataFrame, sizes: DataFrame, num_bins: int = 64) -> DataFrame:
     """The first function (topo_idx, fn_ord) in each of the repository's bins of global_start_byte."""
     rows = functions.join(sizes, REPO).withColumn("bin", F.floor(F.col("global_start_byte") / F.greatest(F.lit(1), F.floor(F.col("n_chars") / num_bins))))
-    w = Window.partitionBy(*REPO, "bin").orderBy("topo_idx", "fn_ord")
-    return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "n_chars")
+    first = F.min_by(F.struct(*functions.columns), F.struct("topo_idx", "fn_ord"))
+    return rows.groupBy(*[F.col(c).alias(f"__hs_{c}") for c in REPO], "bin").agg(first.alias("f")).select("f.*", "bin")
 
 
 def sample_per_repo(rows: DataFrame, k: int, seed: int = 0, by: str = "md5") -> DataFrame:
     """At most k rows a repository, in the order of a seeded hash of path and name, with needle_ord and n_needles."""
     text = F.concat_ws("/", F.lit(str(seed)), "path", "name")
     w = Window.partitionBy(*REPO).orderBy(F.md5(text) if by == "md5" else F.xxhash64(text), "path", "name")
-    got = rows.withColumn("needle_ord", F.row_number().over(w) - 1).where(F.col("needle_ord") < k)
-    return got.withColumn("n_needles", F.count(F.lit(1)).over(Window.partitionBy(*REPO)).cast("int"))
+    got = rows.withColumn("__hs_n", F.row_number().over(w)).where(F.col("__hs_n") <= k)  # cut in each task before the shuffle
+    return got.withColumn("needle_ord", F.col("__hs_n") - 1).drop("__hs_n").withColumn("n_needles", F.count(F.lit(1)).over(Window.partitionBy(*REPO)).cast("int"))
 
 
 def select_needles(functions: DataFrame, files: DataFrame, max_len: int = 2000, num_bins: int = 64, max_fn_per_repo: int = 10, seed: int = 0) -> DataFrame:
@@ -55,9 +57,7 @@ def select_needles(functions: DataFrame, files: DataFrame, max_len: int = 2000,
 def global_offsets(files: DataFrame, order: str = "topo_idx") -> DataFrame:
     """files, without their content, with the code points and lines of the files before them in their repository. Only numbers are shuffled and sorted."""
     rows = files.withColumn("__chars", F.length("content").cast("long")).withColumn("__lines", F.size(F.split("content", "\n")).cast("long")).drop("content")
-    w = Window.partitionBy(*REPO).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("chars_before", F.coalesce(F.sum("__chars").over(w), F.lit(0))).withColumn("lines_before", F.coalesce(F.sum("__lines").over(w), F.lit(0)))
-    return rows.drop("__chars", "__lines")
+    return sums_before(rows, REPO, order, {"chars_before": "__chars", "lines_before": "__lines"}, orders=files).drop("__chars", "__lines")
 
 
 def with_global_spans(functions: DataFrame, files: DataFrame) -> DataFrame:

@@ -149,19 +149,20 @@ r AS (SELECT *, 5000 - coalesce(sum(n_tok) OVER (PARTITION BY lang, source ORDER
 SELECT doc_id, l::BIGINT AS tokens_left, n_tok <= l AS whole FROM r WHERE l > 0"""
 
 
-def _file_budget(spark, d, order):
+def _file_budget(spark, d, backward):
+    docs = t(spark, d, "documents")
     rows = t(spark, d, "documents").select("lang", "source", "doc_id", context.space_tokens(F.col("text")).alias("n_tok"))
-    return context.file_budget(rows, ["lang", "source"], F.lit(5000), order).select("doc_id", F.col("left").cast("long").alias("tokens_left"), "whole")
+    return context.file_budget(rows, ["lang", "source"], F.lit(5000), "doc_id", backward, docs).select("doc_id", F.col("left").cast("long").alias("tokens_left"), "whole")
 
 
 @query(_FILE_SQL.format("DESC"))
 def q10_file_budget_prefix(spark, d):
-    return _file_budget(spark, d, F.desc("doc_id"))
+    return _file_budget(spark, d, True)
 
 
 @query(_FILE_SQL.format(""))
 def q11_file_budget_suffix(spark, d):
-    return _file_budget(spark, d, F.asc("doc_id"))
+    return _file_budget(spark, d, False)
 
 
 def _tok(x):
@@ -589,7 +590,7 @@ def q50_renamed_functions(spark, d):
     return rows.select("doc_id", F.md5(F.regexp_extract("c", r"(?s)((?:def|int|function|fn|func) function_0\(.*)$", 1)).alias("named_md5"))
 
 
-@query("SELECT lang AS language, source AS repo, sum(len(regexp_extract_all('# current path: ' || doc_id || chr(10) || text, '[^ \\t\\n\\x0B\\f\\r]+')))::INT + 1 AS tokens FROM documents GROUP BY lang, source")
+@query("SELECT lang AS language, source AS repo, len(regexp_extract_all(string_agg('# current path: ' || doc_id || chr(10) || text, '' ORDER BY doc_id::VARCHAR), '[^ \\t\\n\\x0B\\f\\r]+'))::INT + 1 AS tokens FROM documents GROUP BY lang, source")
 def q51_token_stats(spark, d):
-    files = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.concat("text", F.lit("\n")).alias("content"))
+    files = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return evaluate.token_stats(files)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from haystrata.functions import syntax, text
 from haystrata.functions.provider import Provider, run_provider
 from haystrata.operators import context, curate, deps, graph, score
+from haystrata.operators.running import sums_before
 from haystrata.streaming.resume import unfinished
 
 # The order of a prompt's parts, and the instruction that models are asked with.
@@ -90,18 +91,26 @@ def analyse_functions(files: DataFrame) -> DataFrame:
     return curate.with_global_spans(rows, files)
 
 
-def annotation_requests(needles: DataFrame, files: DataFrame, prefix_lines: int = 100) -> DataFrame:
+def annotation_requests(needles: DataFrame, files: DataFrame, prefix_lines: int = 100, span: int = 4096) -> DataFrame:
     """needles (language, repo, name, global_start_line, global_end_line) with prompt: a request to describe the function, shown after the prefix_lines
-    lines before it. Lines count through all files (language, repo, path, file_idx, content) of the repository in order, so they may reach into the files before."""
-    base = curate.global_offsets(files, "file_idx").select("language", "repo", "file_idx", F.col("lines_before").alias("first"))
-    base = base.join(files.select("language", "repo", "file_idx", "content"), ["language", "repo", "file_idx"]).withColumn("end", F.col("first") + F.size(F.split("content", "\n")))
-    low = F.greatest(F.lit(0), F.col("global_start_line") - prefix_lines)
-    near = needles.withColumn("low", low).join(base, ["language", "repo"]).where("end > low and first < global_end_line")
-    part = text.line_slice("content", F.greatest(F.lit(0), F.col("low") - F.col("first")).cast("int"), (F.least("global_end_line", "end") - F.col("first")).cast("int"))
-    names = needles.columns
-    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", F.col("part").alias("t")))), lambda x: x["t"]), "\n")
-    rows = near.withColumn("part", part).groupBy(*names).agg(code.alias("code"))
-    return rows.withColumn("prompt", text.annotation_prompt("name", "code")).drop("code")
+    lines before it. Lines count through all files (language, repo, path, file_idx, content) of the repository in order, so they may reach into the files before.
+
+    Needles find their files by numbers only, by an equality join on stretches of span lines; then the files' texts are fetched, and only the lines wanted leave the tasks."""
+    key = ["language", "repo"]
+    ends = files.select(*key, "file_idx", F.size(F.split("content", "\n")).alias("lines"))
+    base = sums_before(ends, key, "file_idx", {"first": "lines"}, orders=files).withColumn("end", F.col("first") + F.col("lines")).drop("lines")
+    base = base.withColumn("stretch", F.explode(F.expr(f"sequence(first div {span}, (end - 1) div {span})")))
+    low = F.greatest(F.lit(0), F.col("global_start_line") - prefix_lines).cast("long")
+    wanted = needles.select(*key, F.col("name").alias("__hs_name"), F.col("global_start_line").cast("long").alias("__hs_start"), low.alias("low"), F.col("global_end_line").cast("long").alias("high")).distinct().where("high > low")
+    spread = wanted.withColumn("stretch", F.explode(F.expr(f"sequence(low div {span}, (high - 1) div {span})")))
+    near = spread.join(base, [*key, "stretch"]).where(F.expr(f"end > low and first < high and stretch = greatest(low div {span}, first div {span})")).drop("stretch")
+    part = text.line_slice("content", F.greatest(F.lit(0), F.col("low") - F.col("first")).cast("int"), (F.least("high", "end") - F.col("first")).cast("int"))
+    rows = near.join(files.select(*key, "file_idx", "content"), [*key, "file_idx"]).select(*key, "__hs_name", "__hs_start", "high", "file_idx", part.alias("t"))
+    code = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "t"))), lambda x: x["t"]), "\n")  # of the wanted lines only
+    found = rows.groupBy(*key, "__hs_name", "__hs_start", "high").agg(code.alias("__hs_code"))
+    found = found.select(*[F.col(k).alias(f"__hs_{k}") for k in key], "__hs_name", "__hs_start", F.col("high").alias("__hs_end"), "__hs_code")
+    same = [F.col(k).eqNullSafe(F.col(f"__hs_{k}")) for k in [*key, "name"]] + [F.col("global_start_line") == F.col("__hs_start"), F.col("global_end_line") == F.col("__hs_end")]
+    return needles.join(found, same).withColumn("prompt", text.annotation_prompt("name", "__hs_code")).select(*needles.columns, "prompt")
 
 
 def annotate(needles: DataFrame, files: DataFrame, make: Callable[[], Provider], done: DataFrame | None = None) -> DataFrame:
@@ -119,10 +128,15 @@ def parse_annotations(replies: DataFrame) -> DataFrame:
 
 
 def token_stats(files: DataFrame, count=context.space_tokens) -> DataFrame:
-    """language, repo, tokens of each repository's files as one text, with a path comment each."""
-    sign = F.any_value(context._sign())
-    one = files.groupBy("language", "repo").agg(text.big_file(F.collect_list(F.struct("path", "content")), sign).alias("text"))
-    return one.select("language", "repo", count(F.col("text")).alias("tokens"))
+    """language, repo, tokens of each repository's files as one text, with a path comment each, in the order of their paths. Files are counted where they are and only numbers meet.
+
+    White-space tokens are exact: a file that ends in a token joins the next one's first. Other counters' tokens are the sum over the files, each with its comment."""
+    piece = text.big_file(F.array(F.struct("path", "content")), context._sign())
+    joins = F.lit(count is context.space_tokens) & F.right(piece, F.lit(1)).rlike(r"\S")
+    rows = files.select("language", "repo", "path", count(piece).cast("long").alias("n"), joins.cast("int").alias("joins"))
+    one = rows.groupBy("language", "repo").agg(F.sum("n").alias("n"), F.sum("joins").alias("joins"), F.count(F.lit(1)).alias("files"), F.max_by("joins", "path").alias("last"))
+    whole = F.col("n") - F.col("joins") + F.col("last") - (F.col("files") - 1) if count is context.space_tokens else F.col("n")
+    return one.select("language", "repo", whole.cast("int").alias("tokens"))
 
 
 def obfuscate_files(files: DataFrame) -> DataFrame:

@@ -99,12 +99,18 @@ def read_git_tree(spark: SparkSession, checkout: str, sha: str, entrypoint: str
     blobs = blobs.repartition(max(1, min(len(rows) // 100, 10 * spark.sparkContext.defaultParallelism)), "blob")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = []
-            for blob in frame["blob"]:
-                raw = subprocess.run(["git", "-C", checkout, "cat-file", "blob", blob], check=True, capture_output=True).stdout
-                texts.append(raw.decode("utf-8", "replace"))
-            yield pd.DataFrame({"path": frame["path"], "content": texts})
+        with subprocess.Popen(["git", "-C", checkout, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:  # one process a task
+            for frame in frames:
+                texts = []
+                for blob in frame["blob"]:
+                    git.stdin.write(blob.encode() + b"\n")
+                    git.stdin.flush()
+                    head = git.stdout.readline().split()
+                    if len(head) != 3:
+                        raise OSError(f"git has no object {blob}")
+                    texts.append(git.stdout.read(int(head[2])).decode("utf-8", "replace"))
+                    git.stdout.read(1)
+                yield pd.DataFrame({"path": frame["path"], "content": texts})
 
     return blobs.mapInPandas(run, "path string, content string")
 
