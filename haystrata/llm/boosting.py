@@ -40,6 +40,7 @@ class Boosted:
 
     def __init__(self):
         self.trees, self.scale, self.shift, self.threshold = [], 1.0, 0.0, 0.5
+        self.precision = self.recall = float("nan")  # at the threshold, on the held-out rows
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return sum((_apply(t, x) for t in self.trees), np.zeros(len(x)))
@@ -47,9 +48,8 @@ class Boosted:
     def probability(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(x) + self.shift, -30, 30)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.95) -> Boosted:
-        """Every third row is held out for calibration: a logistic fit of the raw score, and the lowest threshold from 0.5 on of at least that precision."""
-        held = np.arange(len(y)) % 3 == 2
+    def fit(self, x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.3, precision: float = 0.95) -> Boosted:
+        """The held rows calibrate: a logistic fit of the raw score, and of the thresholds from which on that precision holds the highest with the most recall."""
         tx, ty = x[~held], y[~held].astype(float)
         bins = [np.unique(np.quantile(tx[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
         score = np.zeros(len(ty))
@@ -65,10 +65,12 @@ class Boosted:
             w += np.linalg.solve((design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(2), design.T @ (cy - p) - 0.1 * (w - [1, 0]))
         self.scale, self.shift = map(float, w)
         p = self.probability(x[held])
-        for t in np.linspace(0.5, 0.95, 10):
-            if (p >= t).any() and cy[p >= t].mean() >= precision:
-                self.threshold = float(t)
+        self.threshold, best = 0.95, -1.0
+        for t in np.linspace(0.95, 0.05, 19):
+            if not (p >= t).any() or cy[p >= t].mean() < precision:
                 break
-        else:
-            self.threshold = 0.95
+            if (found := (p >= t)[cy > 0].mean()) > best:
+                self.threshold, best = float(t), found
+        chosen = p >= self.threshold
+        self.precision, self.recall = float(cy[chosen].mean()) if chosen.any() else float("nan"), float(chosen[cy > 0].mean())
         return self
