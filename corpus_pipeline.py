@@ -1,12 +1,15 @@
 """The corpus pipeline: quality classifier, near-dedup, decontamination, PII redaction, source mixing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of docs, whatever others docs has.
+
+Cases, of every stage: null texts count as empty and stay null, null ids are rows like others; repeated rows are rows of their own (but for near-dedup, where they are copies); an empty table
+gives an empty one; texts of any length are read whole; extra columns pass through whatever they are called, but for the last stage, which has columns of its own. Ties are the operators': see their modules.
 """
 
 from __future__ import annotations
 
 from haystrata.llm import decontaminate, mixing, pii, quality_classifier, simhash_vptree
-from haystrata.llm.common import staged, table
+from haystrata.llm.common import clear_staged, staged, staged_paths, table
 
 
 def classify(spark, docs, sf_dir):
@@ -41,9 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """The last stage's rows. What a stage has staged goes when the next one's input is written, so one copy of the corpus stays at a time."""
     docs = table(spark, sf_dir, "documents")
+    since = len(staged_paths(spark))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs)
+            clear_staged(spark, since, (staged_paths(spark)[-1],))
     return docs

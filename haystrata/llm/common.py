@@ -79,16 +79,23 @@ def remember(spark: SparkSession, path: str) -> None:
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
 
 
-def clear_staged(spark: SparkSession) -> int:
-    """Removes every table that this session has staged and says how many; call it when no result that reads them is needed any more."""
-    gone = spark.__dict__.pop("_haystrata_staged", [])
+def clear_staged(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Removes the tables that this session has staged, from the since-th on and but for those whose paths keep has, and says how many; call it when no result that reads them is needed any more."""
+    held = spark.__dict__.setdefault("_haystrata_staged", [])
+    gone = [path for path in held[since:] if path not in keep]
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for path in gone:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(hadoop).delete(at, True)
+        held.remove(path)
     return len(gone)
 
 
+def staged_paths(spark: SparkSession) -> list[str]:
+    """Where this session's staged tables are, the last one last."""
+    return list(spark.__dict__.get("_haystrata_staged", []))
+
+
 def fits(df: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> bool:
     """Whether the columns of df (all of them if none are named) take at most limit bytes as a hash table: 64 a row, 8 a value and the length of strings and arrays."""
     columns = columns or tuple(df.columns)
@@ -96,11 +103,20 @@ def fits(df: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> bool:
     return (df.agg(F.sum(F.coalesce(size, F.lit(0)) + 64 + 8 * len(columns))).first()[0] or 0) <= limit
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has: name, with underscores after it."""
+    held = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
     """left_semi or left_anti of docs with a staged one-column table of ids, broadcast only when it fits()."""
-    ids = ids.select(F.col(ids.columns[0]).alias("__hs_id"))
+    own = fresh("__hs_id", docs)
+    ids = ids.select(F.col(ids.columns[0]).alias(own))
     ids = F.broadcast(ids) if fits(ids) else ids
-    return docs.join(ids, docs[key] == F.col("__hs_id"), how)
+    return docs.join(ids, docs[key] == F.col(own), how)
 
 
 def join_counted(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -109,10 +125,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, hot_rows: int = HO
     All rows of one key would be one task's: keys of hot_rows rows or more, of which there are few, meet theirs by a broadcast.
     """
     more = [c for c in table.columns if c not in (key, "n")]
-    hot = table.where(F.col("n") >= hot_rows).select(F.col(key).alias("__hs_key"), *[F.col(c).alias(f"__hs_{c}") for c in more])
-    both = rows.join(F.broadcast(hot), rows[key] == F.col("__hs_key"), "left")
-    few = both.where("__hs_key is not null").select(*rows.columns, *[F.col(f"__hs_{c}").alias(c) for c in more])
-    rest = both.where("__hs_key is null").select(*rows.columns).join(table.where(F.col("n") < hot_rows).drop("n"), key)
+    to, names = fresh("__hs_key", rows), {c: fresh(f"__hs_{c}", rows) for c in more}
+    hot = table.where(F.col("n") >= hot_rows).select(F.col(key).alias(to), *[F.col(c).alias(names[c]) for c in more])
+    both = rows.join(F.broadcast(hot), rows[key] == F.col(to), "left")
+    few = both.where(F.col(to).isNotNull()).select(*rows.columns, *[F.col(names[c]).alias(c) for c in more])
+    rest = both.where(F.col(to).isNull()).select(*rows.columns).join(table.where(F.col("n") < hot_rows).drop("n"), key)
     return few.unionByName(rest)
 
 

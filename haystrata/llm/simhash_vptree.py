@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haystrata.llm.common import LOWER, components, fits, flat, grouped, join_counted, keep_ids, staged, words
+from haystrata.llm.common import LOWER, components, fits, flat, grouped, join_counted, fresh, keep_ids, staged, words
 
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 SEED = 42
@@ -315,11 +315,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by a row number, not by doc_id: of several with that doc_id (or of a group whose ids are all null) the first row stays.
     """
-    rows = staged(docs.withColumn("__hs_row", F.monotonically_increasing_id()))
-    fps = staged(fingerprint_table(rows, "__hs_row"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__hs_row")).alias("best")
+    at = fresh("__hs_row", docs)
+    rows = staged(docs.withColumn(at, F.monotonically_increasing_id()))
+    fps = staged(fingerprint_table(rows, at).withColumnRenamed(at, "row"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     reps = staged(fps.groupBy("fp").agg(best))
     comp = staged(components(links(reps.select("fp"), reps.count())))
     roots = reps.join(comp, comp.v == reps.fp, "left").select(F.coalesce("root", "fp").alias("root"), "best.*")
-    kept = staged(roots.groupBy("root").agg(best).select("best.__hs_row"))
-    return keep_ids(rows, kept, "left_semi", "__hs_row").drop("__hs_row")
+    kept = staged(roots.groupBy("root").agg(best).select("best.row"))
+    return keep_ids(rows, kept, "left_semi", at).drop(at)

@@ -96,9 +96,21 @@ def records_in(data: bytes) -> Iterator[tuple[int, int, int, int, dict[str, str]
             at = end
 
 
+def _below(spark: SparkSession, path: str) -> Column:
+    """A file's path below the folder that is read (below the last folder without a wildcard); its own name if it is what is read."""
+    fixed = []
+    for part in path.rstrip("/").split("/"):
+        if any(c in part for c in "*?[{"):
+            break
+        fixed.append(part)
+    at = spark._jvm.org.apache.hadoop.fs.Path("/".join(fixed) or "/")
+    root = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/") + "/"
+    return F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.substring_index("path", "/", -1))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, begin, end, kind, target, payload, digest, length) of the records of the WARC files, gzip members or plain, under a path that Spark reads. digest covers
-    the record as it lies in the file's member. A task holds one file, which its writer's rotation bounds."""
+    the record as it lies in the file's member. name is the file's path below what is read, so that files of one name in several folders stay apart. A task holds one file at a time, which its writer's rotation bounds."""
     schema = pa.schema([("name", pa.string()), ("seq", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("target", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("length", pa.int64())])
 
     def run(batches):
@@ -109,7 +121,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1000]), schema.types)], schema=schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.substring_index("path", "/", -1).alias("name"), "content").mapInArrow(run, "name string, seq long, begin long, end long, kind string, target string, payload binary, digest string, length long")
+    return files.select(_below(spark, path).alias("name"), "content").mapInArrow(run, "name string, seq long, begin long, end long, kind string, target string, payload binary, digest string, length long")
 
 
 def archived(records: DataFrame) -> DataFrame:

@@ -233,3 +233,29 @@ def test_dedup_of_long_and_null_texts(spark):
     assert got == Counter({(5, 3): 1, (3, 3): 1, (None, 2): 1, (8, 2): 1, (2, 2): 1})
     assert pd.Series([r["doc_id"] for r in simhash_vptree.one_of_each(df).collect()]).tolist() in ([3, 2], [2, 3])
     assert re.fullmatch("[0-9a-f]{16}", simhash_vptree.near_duplicates(df).first()["fingerprint"])
+
+
+def test_working_names_of_other_columns_are_kept(spark):
+    names = ["__hs_id", "__hs_row", "__HS_ROW_", "__hs_key", "__hs_n", "row", "fp", "best", "root"]
+    rows = [(1, "same words in this text here"), (2, "same words in this text here"), (3, "quite another text with its own words"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    got = simhash_vptree.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(str(r) for r in df.collect() if r["doc_id"] != 2)
+    left = common.keep_ids(df, df.select("doc_id").where("doc_id = 3"), "left_anti")
+    assert left.columns == df.columns and left.count() == 3
+
+
+def test_the_pipeline_leaves_one_staged_copy(spark, tmp_path):
+    rng = random.Random(4)
+    text = lambda: " ".join(rng.choice("river stone quiet lamp garden winter paper train".split()) for _ in range(60))
+    rows = [(i, text(), "en", "ab"[i % 2], 1) for i in range(12)]
+    spark.createDataFrame(rows, DDL).write.parquet(str(tmp_path / "documents.parquet"))
+    for name, (ddl, own) in STAGE_TABLES.items():
+        spark.createDataFrame(own, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = common.staged_paths(spark)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    during = [p for p in common.staged_paths(spark) if p not in before]
+    whole = [p for p in during if "text" in spark.read.parquet(p).columns]
+    assert out.count() > 0 and len(whole) == 1 and common.staged_paths(spark)[: len(before)] == before
+    assert common.clear_staged(spark, len(before)) == len(during) and common.staged_paths(spark) == before

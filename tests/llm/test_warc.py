@@ -44,3 +44,16 @@ def test_audit_of_files(spark, tmp_path):
     assert {r["status"] for r in same.collect()} == {"match"}
     found = W.compare(W.archived(one), W.archived(two), fan_out=4).where("status not in ('match', 'moved')").collect()
     assert sorted((r["id"], r["status"]) for r in found) == [(5, "altered"), (20, "missing")]
+
+
+def test_files_of_one_name_in_several_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "x.warc.gz").write_bytes(W.warc_bytes([(f"http://{folder}/{i}", b"p" * i) for i in range(5)]))
+    for path in (str(tmp_path), f"file://{tmp_path}/", f"{tmp_path}/*"):
+        rows = W.read_warc(spark, path).collect()
+        names = {r["name"] for r in rows}
+        assert len(rows) == 10 and len(names) == 2 and all(n.endswith("x.warc.gz") for n in names)
+    one = W.archived(W.read_warc(spark, str(tmp_path)))
+    assert one.select("file").distinct().count() == 2 and one.select("file", "id").distinct().count() == 10
+    assert {r["name"] for r in W.read_warc(spark, str(tmp_path / "a" / "x.warc.gz")).collect()} == {"x.warc.gz"}
