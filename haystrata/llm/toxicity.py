@@ -2,13 +2,15 @@
 
 A lexicon reads the words of a clause as symbols: insult, threat, target, negation, report, other. Insults are word stems whose
 weights are log odds learned from labelled rows, next to a few fixed entries; the other lists are fixed. Over the symbols run
-deterministic weighted transducers, each a table of (next state, marks, weight): reach() transducers of target, negation and
-reported speech keep whether such a word is still near and mark the insults and threats in its reach, insult() passes an
-insult on, threat() a threat that is marked with a target. compose() makes one table of them. Targets that come after are read by the
-same target transducer over the clause backwards. A mark's weight, how much a target raises and a negation or a report lowers
+deterministic weighted transducers: an arc is (next state, symbol written, weight). reach() transducers of target, negation and
+reported speech keep whether such a word is still near; they write an insult or a threat in its reach as a marked one, with the mark's weight on the arc, and
+pass all else on. insult() reads those and writes insults as hits; threat() reads what insult() writes and makes a threat a hit only if the target transducer has marked it.
+compose() makes one table of two machines of which the second reads what the first writes, and multiplies their weights. Targets that come after are read by the
+same target transducer from the clause's end; the composed machine then reads, from its beginning, what that has written: together they are a two-way transducer.
+A mark's weight, how much a target raises and a negation or a report lowers
 an insult, is learned from the labelled rows too, around a fixed prior.
 
-A clause's score is the sum over its insults and threats of word weight times mark weights; a document's score is a logistic function,
+A clause's score is the sum over its hits of word weight times the weight of the arcs; a document's score is a logistic function,
 fitted on the same rows, of the sum of its clauses and of that sum by length. Clauses end at .!?;:\\n, of any length; words are found
 at word beginnings only, so a stem inside a word does not count.
 
@@ -47,10 +49,10 @@ REACH = {"target": 4, "negation": 3, "report": 6}
 #: Prior weights of the marks, and the deviation of their logarithms.
 FACTOR = {"target": 1.5, "negation": 0.3, "report": 0.4}
 SPREAD = 1.0
-SYMBOLS = ("other", "insult", "threat", "target", "negation", "report")
-OTHER, INSULT, THREAT = 0, 1, 2
+#: Symbols: words of no kind and of three kinds, then insults and threats with each set of marks, of which the first has none, then what the grammar looks for.
+OTHER, CONTEXT, INSULT, THREAT, HIT, SYMBOLS = 0, {"target": 1, "negation": 2, "report": 3}, 4, 12, 20, 21
 MARK = {"target": 1, "negation": 2, "report": 4}
-_CONTEXT = {w: SYMBOLS.index(k) for k, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words}
+_CONTEXT = {w: CONTEXT[k] for k, words in (("report", REPORTS), ("negation", NEGATIONS), ("target", TARGETS)) for w in words}
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
@@ -60,75 +62,85 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs[state][symbol] = (next state, marks written, weight as {mark set: factor}); state 0 is the start, every state is final.
+    """arcs[state][symbol] = (next state, symbol written, weight); state 0 is the start, every state is final."""
 
-    needs[symbol]: a mark that a symbol must bear to be passed on; passes: symbols that are passed on at all.
-    """
+    arcs: tuple[tuple[tuple[int, int, float], ...], ...]
 
-    arcs: tuple[tuple[tuple[int, int], ...], ...]
-    passes: frozenset[int] = frozenset()
-    needs: tuple[tuple[int, int], ...] = ()
 
+def marks_of(symbol: int) -> int:
+    return (symbol - INSULT) % 8 if INSULT <= symbol < HIT else 0
 
-def reach(kind: str, words: int) -> Transducer:
-    """Counts down from a word of the kind; marks insults and threats that it reaches."""
-    own = SYMBOLS.index(kind)
+
+def reach(kind: str, words: int, weight: float = 1.0) -> Transducer:
+    """Counts down from a word of the kind; writes the insults and threats that it reaches with its mark, where they have none, at its weight."""
     rows = []
     for left in range(words + 1):
         row = []
-        for symbol in range(len(SYMBOLS)):
-            after = words if symbol == own else max(0, left - 1)
-            row.append((after, MARK[kind] if after and symbol in (INSULT, THREAT) else 0))
+        for symbol in range(SYMBOLS):
+            after = words if symbol == CONTEXT[kind] else max(0, left - 1)
+            new = bool(after) and INSULT <= symbol < HIT and not marks_of(symbol) & MARK[kind]
+            row.append((after, symbol + MARK[kind] if new else symbol, weight if new else 1.0))
         rows.append(tuple(row))
     return Transducer(tuple(rows))
 
 
 def insult() -> Transducer:
-    """Writes insults, whatever their marks."""
-    return Transducer((((0, 0),) * len(SYMBOLS),), frozenset([INSULT]))
+    """Writes insults, whatever their marks, as hits."""
+    return Transducer((tuple((0, HIT if INSULT <= x < THREAT else x, 1.0) for x in range(SYMBOLS)),))
 
 
 def threat() -> Transducer:
-    """Writes threats that bear a target's mark."""
-    return Transducer((((0, 0),) * len(SYMBOLS),), frozenset([THREAT]), ((THREAT, MARK["target"]),))
+    """Writes threats that bear a target's mark as hits, others as no symbol of any kind."""
+    return Transducer((tuple((0, (HIT if marks_of(x) & MARK["target"] else OTHER) if THREAT <= x < HIT else x, 1.0) for x in range(SYMBOLS)),))
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """second reads the symbols that first writes with their marks, and passes the marks on. States are the reachable pairs."""
+    """One machine that writes what second writes when it reads what first writes, at the product of their weights. States are the reachable pairs."""
     number, todo, rows = {(0, 0): 0}, [(0, 0)], []
     for a, b in todo:
         row = []
-        for symbol in range(len(SYMBOLS)):
-            (x, m), (y, n) = first.arcs[a][symbol], second.arcs[b][symbol]
+        for symbol in range(SYMBOLS):
+            x, between, u = first.arcs[a][symbol]
+            y, written, v = second.arcs[b][between]
             if (x, y) not in number:
                 number[x, y] = len(number)
                 todo.append((x, y))
-            row.append((number[x, y], m | n))
+            row.append((number[x, y], written, u * v))
         rows.append(tuple(row))
-    return Transducer(tuple(rows), first.passes | second.passes, first.needs + second.needs)
+    return Transducer(tuple(rows))
 
 
-def run(t: Transducer, symbols: list[int]) -> list[int]:
-    """The marks that the transducer writes at each symbol."""
+def run(t: Transducer, symbols: list[int]) -> list[tuple[int, float]]:
+    """The symbol that the transducer writes for each, and its arc's weight."""
     state, out = 0, []
     for s in symbols:
-        state, marks = t.arcs[state][s]
-        out.append(marks)
+        state, written, weight = t.arcs[state][s]
+        out.append((written, weight))
     return out
 
 
-#: The grammar's table over a clause, and the target transducer that reads it backwards.
-FORWARD = compose(compose(compose(reach("target", REACH["target"]), reach("negation", REACH["negation"])), reach("report", REACH["report"])), compose(insult(), threat()))
+def marker(weights: dict[str, float] | None = None) -> Transducer:
+    """The transducers of target, negation and report as one, which writes marked insults and threats."""
+    w = weights or dict.fromkeys(MARK, 1.0)
+    return compose(compose(reach("target", REACH["target"], w["target"]), reach("negation", REACH["negation"], w["negation"])), reach("report", REACH["report"], w["report"]))
+
+
+#: What finds hits among marked symbols, the marks alone, and the target transducer that reads a clause from its end.
+JUDGE = compose(insult(), threat())
+FORWARD = marker()
 BACKWARD = reach("target", REACH["target"])
 
 
-def _written(symbol: int, marks: int) -> bool:
-    return symbol in FORWARD.passes and all(marks & m for s, m in FORWARD.needs if s == symbol)
+def read(symbols: list[int], forward: Transducer = FORWARD, backward: Transducer = BACKWARD) -> list[tuple[int, float]]:
+    """What the two-way transducer writes: forward reads what backward, from the end, has written."""
+    after = run(backward, symbols[::-1])[::-1]
+    return [(written, u * v) for (written, u), (_, v) in zip(run(forward, [x for x, _ in after]), after)]
 
 
 def factors(weights: dict[str, float]) -> np.ndarray:
-    """The weight of each (insult or threat, mark set) as 16 numbers: the product of its marks' weights, 0 where the grammar writes nothing."""
-    return np.array([np.prod([weights[k] for k, m in MARK.items() if marks & m]) if _written(symbol, marks) else 0.0 for symbol in (INSULT, THREAT) for marks in range(8)])
+    """The weight of each marked symbol, 16 numbers: the product of its marks' weights where the grammar finds a hit, else 0."""
+    hits = [x for x, _ in (run(JUDGE, [s])[0] for s in range(INSULT, HIT))]
+    return np.array([np.prod([weights[k] for k, m in MARK.items() if marks_of(s) & m]) if hit == HIT else 0.0 for s, hit in zip(range(INSULT, HIT), hits)])
 
 
 @dataclass
@@ -161,15 +173,15 @@ class Grammar:
             at = end - n + 1
             if at and low[at - 1].isalnum() or kind == THREAT and end + 1 < len(low) and low[end + 1].isalnum():
                 continue
-            if (weight, -kind) > (found.get(at, (9, 0.0))[1], -found.get(at, (9, 0.0))[0]):
+            if (weight, -kind) > (found.get(at, (99, 0.0))[1], -found.get(at, (99, 0.0))[0]):
                 found[at] = (kind, weight)
         return found
 
-    def events(self, text: str | None) -> list[np.ndarray]:
-        """For each clause with an insult or a threat, the sums of its word weights by (insult or threat, mark set), 16 numbers."""
+    def symbols(self, text: str | None):
+        """For each clause with an insult or a threat, its words as symbols and their weights."""
         low = (text or "").lower()
         found = self.matches(low)
-        out, at = [], sorted(found)
+        at = sorted(found)
         i = end = 0
         while i < len(at):
             begin = max((low.rfind(c, end, at[i]) for c in ".!?;:\n"), default=-1)
@@ -179,23 +191,28 @@ class Grammar:
             for w in _WORD.finditer(low, begin, end):
                 hit = found.get(w.start())
                 word = w[0]
-                symbols.append(hit[0] if hit else _CONTEXT.get(word, 4 if word.endswith("n't") else OTHER))
+                symbols.append(hit[0] if hit else _CONTEXT.get(word, CONTEXT["negation"] if word.endswith("n't") else OTHER))
                 weights.append(hit[1] if hit else 0.0)
-            marks = run(FORWARD, symbols)
-            after = run(BACKWARD, symbols[::-1])[::-1]
+            yield symbols, weights
+            while i < len(at) and at[i] < end:
+                i += 1
+
+    def events(self, text: str | None) -> list[np.ndarray]:
+        """For each clause with an insult or a threat, the sums of its word weights by marked symbol, 16 numbers."""
+        out = []
+        for symbols, weights in self.symbols(text):
             sums = np.zeros(16)
-            for s, w, m, b in zip(symbols, weights, marks, after):
+            for (s, _), w in zip(read(symbols), weights):
                 if w:
-                    sums[(s - INSULT) * 8 + (m | b)] += w
+                    sums[s - INSULT] += w
             out.append(sums)
-            while i < len(at) and at[i] < end:
-                i += 1
         return out
 
     def clauses(self, text: str | None) -> list[float]:
-        """Scores of the matched clauses."""
-        f = factors(self.marks)
-        return [x for e in self.events(text) if (x := float(e @ f)) > 0]
+        """Scores of the matched clauses, by the whole weighted machine."""
+        whole, back = compose(marker(self.marks), JUDGE), reach("target", REACH["target"], self.marks["target"])
+        scores = [sum(w * v for (s, v), w in zip(read(symbols, whole, back), weights) if s == HIT) for symbols, weights in self.symbols(text)]
+        return [x for x in scores if x > 0]
 
     def score(self, text: str | None) -> float:
         x = features(np.sum([np.zeros(16), *self.events(text)], axis=0)[None], np.array([len(text or "")]), self.marks)

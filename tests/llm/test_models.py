@@ -45,6 +45,51 @@ def test_composed_transducers_equal_brute_force():
     assert T.factors(T.FACTOR)[8] == 0 and T.factors(T.FACTOR)[9] == 1.5  # a threat without a target is not written
 
 
+RAW = [T.OTHER, *T.CONTEXT.values(), T.INSULT, T.THREAT]
+
+
+def strings(most):
+    import itertools
+
+    return (list(x) for n in range(most + 1) for x in itertools.product(RAW, repeat=n))
+
+
+def test_composition_reads_what_the_first_writes():
+    """Every string of up to six symbols: one composed table writes, at the same weight, what the machines write one after another."""
+    weights = {"target": 1.5, "negation": 0.25, "report": 0.5}
+    parts = [T.reach(k, T.REACH[k], weights[k]) for k in T.MARK] + [T.insult(), T.threat()]
+    whole = T.compose(T.marker(weights), T.JUDGE)
+    for symbols in strings(6):
+        read, total = symbols, [1.0] * len(symbols)
+        for t in parts:
+            got = T.run(t, read)
+            read, total = [x for x, _ in got], [u * v for u, (_, v) in zip(total, got)]
+        assert T.run(whole, symbols) == list(zip(read, total)), symbols
+
+
+def test_verdicts_depend_on_what_was_written_before():
+    """Every string of up to six symbols: with a target transducer before it threat() finds exactly the threats near a target, alone none; in the other order nothing is marked."""
+    target = T.reach("target", 2)
+    both, alone, turned = T.compose(target, T.threat()), T.threat(), T.compose(T.threat(), target)
+    differ = 0
+    for symbols in strings(6):
+        near = [x == T.THREAT and T.CONTEXT["target"] in symbols[max(0, i - 1) : i] for i, x in enumerate(symbols)]
+        hits = [x == T.HIT for x, _ in T.run(both, symbols)]
+        assert hits == near and not any(x == T.HIT for t in (alone, turned) for x, _ in T.run(t, symbols)), symbols
+        differ += any(hits)
+    assert differ > 5000
+
+
+def test_weighted_machine_equals_the_sums_by_marks():
+    rng = random.Random(4)
+    g = T.Grammar(marks={"target": 1.7, "negation": 0.2, "report": 0.6})
+    words = ["you", "not", "said", "idiot", "kill", "moron", "tree", "the", "isn't", "."]
+    for _ in range(1500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))
+        want = [x for e in g.events(text) if (x := float(e @ T.factors(g.marks))) > 0]
+        assert np.allclose(g.clauses(text), want), text
+
+
 def test_clauses_of_any_length_follow_one_rule():
     g = T.Grammar()
     short = g.clauses("she did not. idiot x x")
