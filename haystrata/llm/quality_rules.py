@@ -1,10 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base statistics. Documents that pass the base then go through the rules, each of which only sees
-what the rules before it kept. Each task estimates every rule's cost (seconds a document) and selectivity (share rejected) on a sample of
-SAMPLE_ROWS of its own whole texts, spread over its first batch, and runs the rules by rejections per second, highest first. All rules are
-deterministic and a document is kept if none rejects it, so the order changes the time, never the verdict; a lost task
-may come to another order and gives the same rows.
+what the rules before it kept. Every rule's cost (seconds) and selectivity (documents rejected) are estimated first on a hash sample of about SAMPLE_ROWS whole texts of
+all documents, summed over the tasks that have them; all tasks then run the rules by rejections per second, highest first. All rules are
+deterministic and a document is kept if none rejects it, so the order changes the time, never the verdict.
 
 Cases. Null and empty texts have no words and fail the base. Ties of rates keep the rules' given order. Repeated rows give repeated
 rows; other columns are not read; empty tables give no rows. Very long texts take linear time and about 40 times their bytes.
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from haystrata.llm.common import flat, grouped, mix, owner, windows, word_hashes, words
 
-#: Bound of the sample of each task that orders its rules.
-SAMPLE_ROWS = 256
+#: Bound, on average, of the sample that orders the rules.
+SAMPLE_ROWS = 5_000
 #: Share of the packed texts below which those left are packed anew.
 SPARSE = 0.7
 _BLANK = " \t\n\x0b\x0c\r"
@@ -151,18 +150,31 @@ def cascade(t: Texts, b: dict[str, np.ndarray], rules) -> np.ndarray:
     return kept
 
 
-def order_rules(t: Texts, b: dict[str, np.ndarray], rules=RULES, sample: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on up to `sample` of the texts that pass the base, evenly spread; without such texts as they are."""
-    at = np.flatnonzero(~base_failed(b))
-    if not len(at):
-        return list(rules)
-    at = at[np.unique(np.linspace(0, len(at) - 1, sample).astype(int))]
-    held, stats, rate = t.take(at), {k: v[at] for k, v in b.items()}, {}
+def rates(t: Texts, b: dict[str, np.ndarray], rules=RULES) -> dict[str, tuple[float, int]]:
+    """(seconds, texts rejected) of each rule on all texts that pass the base."""
+    at, out = np.flatnonzero(~base_failed(b)), {}
+    held, stats = t.take(at), {k: v[at] for k, v in b.items()}
     for rule in rules:
         began = time.perf_counter()
         no = rule.rejects(held, stats)
-        rate[rule.name] = no.mean() / max(time.perf_counter() - began, 1e-6)
-    return sorted(rules, key=lambda r: -rate[r.name])
+        out[rule.name] = (time.perf_counter() - began, int(no.sum()))
+    return out
+
+
+def order_rules(docs: DataFrame, rules=RULES, sample: int = SAMPLE_ROWS) -> list[Rule]:
+    """Rules by rejections per second on a hash sample of docs (doc_id, text); as they are where nothing is rejected. The driver gets a row a rule."""
+    total = docs.count()
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // sample))) == 0)
+    schema = pa.schema([("name", pa.string()), ("seconds", pa.float64()), ("rejected", pa.int64())])
+
+    def one(batch):
+        t = Texts(batch.column(1))
+        found = rates(t, base(t), rules)
+        return {"name": list(found), "seconds": [x for x, _ in found.values()], "rejected": [n for _, n in found.values()]}
+
+    rows = chosen.mapInArrow(lambda it: grouped(it, "text", schema, one), "name string, seconds double, rejected long")
+    rate = {r[0]: r[1] / max(r[2], 1e-9) for r in rows.groupBy("name").agg(F.sum("rejected"), F.sum("seconds")).collect()}
+    return sorted(rules, key=lambda r: -rate.get(r.name, 0.0))
 
 
 def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -174,17 +186,11 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in names), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
-    def run(batches):
-        ordered = None
-
-        def one(batch):
-            nonlocal ordered
-            t = Texts(batch.column(1))
-            b = base(t)
-            if ordered is None and not base_failed(b).all():
-                ordered = order_rules(t, b, rules)
-            return {"doc_id": batch.column(0)} | {n: b[n] for n in names} | {"base_failed": base_failed(b), "kept": cascade(t, b, ordered or rules)}
+    ordered = order_rules(docs, rules)
 
-        yield from grouped(batches, "text", schema, one)
+    def one(batch):
+        t = Texts(batch.column(1))
+        b = base(t)
+        return {"doc_id": batch.column(0)} | {n: b[n] for n in names} | {"base_failed": base_failed(b), "kept": cascade(t, b, ordered)}
 
-    return docs.mapInArrow(run, ", ".join(["doc_id long", *(f"{n} long" for n in names), "base_failed boolean", "kept boolean"]))
+    return docs.mapInArrow(lambda it: grouped(it, "text", schema, one), ", ".join(["doc_id long", *(f"{n} long" for n in names), "base_failed boolean", "kept boolean"]))

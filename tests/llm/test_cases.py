@@ -168,7 +168,11 @@ def test_cascade_order_never_changes_a_verdict_and_long_texts_are_linear(spark):
         order = rng.sample(quality_rules.RULES, len(quality_rules.RULES))
         assert (quality_rules.cascade(t, b, order) == want).all()
     slow = quality_rules.Rule("slow", lambda t, b: time.sleep(0.01) or np.zeros(len(b["n_words"]), bool))
-    assert quality_rules.order_rules(t, b, [slow, *quality_rules.RULES])[-1] is slow or not want.all()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = quality_rules.order_rules(docs, [slow, *quality_rules.RULES])
+    found = quality_rules.rates(t, b, [slow, *quality_rules.RULES])
+    assert {r.name for r in wanted} == set(found) and found["slow"] == (found["slow"][0], 0) and found[wanted[0].name][1] > 0
+    assert quality_rules.order_rules(docs.where("false")) == list(quality_rules.RULES)
     df = spark.createDataFrame([(1, "ab " * 400_000), (2, "a" * 1_000_000), (2, None), (None, "")], "doc_id long, text string").select("*", F.lit(1).alias("n_words"))
     got = sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in quality_rules.quality_rules(df).collect())
     assert got == [(0, 0, False), (1, 400_000, False), (2, 0, False), (2, 1, False)]
