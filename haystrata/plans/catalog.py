@@ -617,3 +617,6 @@ def q50_renamed_functions(spark, d):
 def q51_token_stats(spark, d):
     files = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return evaluate.token_stats(files)
+
+
+from haystrata.plans import catalog_stages  # noqa: E402,F401  registers its queries
