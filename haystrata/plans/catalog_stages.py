@@ -9,7 +9,7 @@ from haystrata.functions.provider import Echo
 from haystrata.operators import curate, deps, score
 from haystrata.plans import evaluate
 from haystrata.plans.catalog import _BINS, _functions, _import_edges, query, t
-from haystrata.sources import readers, sinks
+from haystrata.sources import readers, sinks, trees
 
 
 def _files(spark, d):
@@ -146,3 +146,19 @@ def q65_prefixed_paths(spark, d):
     files = docs.select("repo", F.concat(F.when(F.col("doc_id") % 5 == 0, "src/").otherwise("lib/"), "doc_id").alias("path"))
     edges = docs.select("repo", F.col("doc_id").cast("string").alias("src"), (F.col("doc_id") + 1).cast("string").alias("dst"))
     return deps.prefix_paths(edges, "lib", files)
+
+
+@query("""SELECT CASE k WHEN 0 THEN 'py' WHEN 1 THEN 'en' ELSE 'one' END AS kind, lang || '/' || source || '/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.txt' END AS path, strlen(text) AS size, md5(text) AS content_md5 FROM documents, (SELECT unnest([0, 1, 2]) AS k)
+WHERE k = 0 AND doc_id % 2 = 0 OR k = 1 AND lang = 'en' OR k = 2 AND doc_id = (SELECT min(doc_id) FROM documents)""")
+def q66_file_tree(spark, d):
+    """Every document as a file in a tree of folders, read through the tree source by ending, by beginning and by name."""
+    docs = t(spark, d, "documents")
+    name = F.concat("lang", F.lit("/"), "source", F.lit("/"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".txt"))
+    folder = sinks.work_folder(spark)
+    trees.write_tree(docs.select(name.alias("path"), F.col("text").alias("content")), folder)
+    first = docs.agg(F.min_by(name, "doc_id")).first()[0] or "none"
+    out = None
+    for kind, picked in (("py", {"ends": [".py"]}), ("en", {"begins": ["en/"]}), ("one", {"names": [first]})):
+        one = trees.read_tree(spark, folder, **picked).select(F.lit(kind).alias("kind"), "path", "size", F.md5("content").alias("content_md5"))
+        out = one if out is None else out.union(one)
+    return out

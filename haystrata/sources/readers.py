@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import os
-import subprocess
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haystrata import schema
+from haystrata.sources.trees import read_tree
 
 
 def dataset_path(path: str | None = None, version: str = "latest", cache: str = ".", override: str | None = None) -> str:
@@ -84,35 +82,9 @@ def ingest_checkout(spark: SparkSession, root: str, entrypoint: str, suffixes: l
 
 
 def read_git_tree(spark: SparkSession, checkout: str, sha: str, entrypoint: str = "", suffixes: list[str] | None = None) -> DataFrame:
-    """path, content of the files of a commit under the entry point with one of the suffixes (all without any), read from git's objects whatever is checked out.
-
-    The driver lists names and object ids only; tasks read the objects, so checkout must be a folder that the executors share. Content that is
-    not UTF-8 has replacement characters. Links and submodules are left out.
-    """
-    listed = subprocess.run(["git", "-C", checkout, "ls-tree", "-r", "-z", "--full-tree", sha], check=True, capture_output=True).stdout
-    rows = []
-    for entry in listed.decode("utf-8", "replace").split("\0"):
-        meta, _, path = entry.partition("\t")
-        if meta.startswith("100") and path.startswith(entrypoint.removeprefix("/")) and (not suffixes or path.endswith(tuple(suffixes))):
-            rows.append((path, meta.split(" ")[2]))
-    blobs = spark.createDataFrame(rows, "path string, blob string")
-    blobs = blobs.repartition(max(1, min(len(rows) // 100, 10 * spark.sparkContext.defaultParallelism)), "blob")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with subprocess.Popen(["git", "-C", checkout, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as git:  # one process a task
-            for frame in frames:
-                texts = []
-                for blob in frame["blob"]:
-                    git.stdin.write(blob.encode() + b"\n")
-                    git.stdin.flush()
-                    head = git.stdout.readline().split()
-                    if len(head) != 3:
-                        raise OSError(f"git has no object {blob}")
-                    texts.append(git.stdout.read(int(head[2])).decode("utf-8", "replace"))
-                    git.stdout.read(1)
-                yield pd.DataFrame({"path": frame["path"], "content": texts})
-
-    return blobs.mapInPandas(run, "path string, content string")
+    """path, content of the files of a commit under the entry point with one of the suffixes (all without any), read from git's objects whatever is checked out (sources/trees.py)."""
+    entry = entrypoint.removeprefix("/")
+    return read_tree(spark, checkout, sha, [entry] if entry else None, suffixes).select("path", "content")
 
 
 def read_results(spark: SparkSession, folder: str, min_bytes: int = 10 << 20, ddl: str = schema.OUTPUT) -> DataFrame:
