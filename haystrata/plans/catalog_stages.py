@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from haystrata.functions import text
 from haystrata.functions.provider import Echo
-from haystrata.operators import curate, deps, score
+from haystrata.operators import context, curate, deps, score
 from haystrata.plans import evaluate
 from haystrata.plans.catalog import _BINS, _functions, _import_edges, query, t
 from haystrata.sources import readers, sinks, trees
@@ -162,3 +162,29 @@ def q66_file_tree(spark, d):
         one = trees.read_tree(spark, folder, **picked).select(F.lit(kind).alias("kind"), "path", "size", F.md5("content").alias("content_md5"))
         out = one if out is None else out.union(one)
     return out
+
+
+_CLEAN_SQL = """WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '[\\r\\x00\\x0c]', ' ', 'g'), chr(10)) AS l FROM documents),
+c AS (SELECT doc_id, len(l) AS n, list_sum(list_transform(l, lambda x: 1 + len(regexp_extract_all(x, '[^ \\t\\n\\x0B\\f\\r]+'))))::BIGINT AS lost FROM d),
+p AS (SELECT *, greatest(0, (lost + 3) // 5) AS k, '# Path: ' || doc_id || '.py' || chr(10) || repeat(chr(10), n) || 'x = 1' || chr(10) || chr(10) AS a, chr(10) || repeat(chr(10), n) || 'z = 3' || chr(10) AS b FROM c),
+m AS (SELECT doc_id, 'no_padding' AS mode, a, b, 7 AS s FROM p
+UNION ALL SELECT doc_id, 'positional_padding', array_to_string(list_transform(range(k), lambda i: '# Line Number ' || i || chr(10)), '') || chr(10) || a, b || array_to_string(list_transform(range(k, 2 * k), lambda i: '# Line Number ' || i || chr(10)), '') || chr(10), 7 + 4 * k FROM p)
+SELECT doc_id, mode, md5(a || 'y = 2' || b) AS context_md5, s::INT AS needle_token_start, (s + 4)::INT AS needle_token_end FROM m"""
+
+
+@query(_CLEAN_SQL)
+def q67_clean_contexts(spark, d):
+    """Contexts without comments, padded and not, of a needle in each document's own file: all lines of its text as comments before the needle and again after it."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
+    notes = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("# "), x, F.lit("\n"))), "")
+    before = F.concat(notes, F.lit("x = 1\n"))
+    path = F.concat("doc_id", F.lit(".py"))
+    docs = t(spark, d, "documents").select(F.lit("python").alias("language"), F.col("doc_id").cast("string").alias("repo"), path.alias("path"), F.lit(0).alias("file_idx"), F.concat(before, F.lit("y = 2\n"), notes, F.lit("z = 3")).alias("content"), F.length(before).alias("at"))
+    needles = docs.select("language", "repo", "path", F.lit("y").alias("name"), F.col("at").alias("start_byte"), (F.col("at") + 5).alias("end_byte"), F.lit(2).alias("needle_ord"), F.lit(5).alias("n_needles"))
+    rows = context.make_context(needles, docs.drop("at"), 4_000_000, offset_mode="chars", parts=True)
+    out = None
+    for mode in ("no_padding", "positional_padding"):
+        one = context.clean_contexts(rows, mode == "positional_padding")
+        one = one.select(F.col("repo").cast("long").alias("doc_id"), F.lit(mode).alias("mode"), F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end")
+        out = one if out is None else out.union(one)
+    return out
