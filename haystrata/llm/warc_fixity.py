@@ -17,10 +17,12 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from haystrata.llm.common import staged
 FAN_OUT = 16
 #: Pages to a WARC file when a page table is written as an archive.
 FILE_PAGES = 1000
+#: Bytes read from a file at once, and of payloads in a batch of records.
+CHUNK, BATCH_BYTES = 1 << 16, 8 << 20
 
 
 def record(target: Column, payload: Column) -> Column:
@@ -54,46 +58,86 @@ def warc_bytes(records: list[tuple[str, bytes]], packed: bool = True) -> bytes:
     return b"".join(out)
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(begin, end, content) of the gzip members of a file; a plain file is one member, and so is what no longer unpacks."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] != b"\x1f\x8b":
-            yield at, len(data), data[at:]
-            return
-        unpack, body, end = zlib.decompressobj(31), [], at
-        try:
-            while not unpack.eof and end < len(data):
-                piece = data[end : end + 65536]
-                body.append(unpack.decompress(piece))
-                end += len(piece)
-        except zlib.error:
-            yield at, len(data), data[at:]
+def members_of(read: Callable[[int], bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(begin, end, unpacked) of the gzip members of a stream, one in memory at a time; from what is none on, the rest as it is."""
+    at, data = 0, read(CHUNK)
+    while data:
+        if len(data) < 2:
+            data += read(CHUNK)
+        unpack, body, raw, size = zlib.decompressobj(31), [], [], 0
+        good = data[:2] == b"\x1f\x8b"
+        while good and data:
+            try:
+                body.append(unpack.decompress(data))
+            except zlib.error:
+                good = False
+                break
+            raw.append(data)
+            size += len(data)
+            if unpack.eof:
+                break
+            data = read(CHUNK)
+        if not good or not unpack.eof:
+            rest = b"".join([*raw, data, *iter(lambda: read(CHUNK), b"")])
+            yield at, at + len(rest), rest
             return
-        if not unpack.eof:
-            yield at, len(data), data[at:]
-            return
-        end -= len(unpack.unused_data)
+        data = unpack.unused_data
+        end = at + size - len(data)
         yield at, end, b"".join(body)
         at = end
+        data = data or read(CHUNK)
+
+
+def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """members_of() a file in memory."""
+    return members_of(io.BytesIO(data).read)
+
+
+def _parsed(read: Callable[[int], bytes]) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(begin, end, headers, payload) of the WARC records of a stream, one in memory at a time; what is no record any more ends as one with empty headers."""
+    at, data = 0, bytearray(read(CHUNK))
+    while data:
+        seen = 0
+        while (head := data.find(b"\r\n\r\n", seen)) < 0 and (more := read(CHUNK)):
+            seen = max(0, len(data) - 3)
+            data += more
+        lines = bytes(data[:head]).decode("utf-8", "replace").split("\r\n") if head >= 0 else []
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        length = headers.get("content-length", "")
+        good = bool(lines) and lines[0].startswith("WARC/") and length.isascii() and length.isdigit()
+        end = head + 4 + int(length) if good else 0
+        while len(data) < end + 4 and (more := read(CHUNK)):
+            data += more
+        if not good or end > len(data):
+            rest = bytes(data) + b"".join(iter(lambda: read(CHUNK), b""))
+            yield at, at + len(rest), {}, rest
+            return
+        payload = bytes(data[head + 4 : end])
+        end += 4 * (data[end : end + 4] == b"\r\n\r\n")
+        yield at, at + end, headers, payload
+        del data[:end]
+        at += end
+        data = data or bytearray(read(CHUNK))
+
+
+def records_of(read: Callable[[int], bytes]) -> Iterator[tuple[int, int, int, int, dict[str, str], bytes]]:
+    """(begin, end, inner begin, inner end, headers, payload) of each record of a WARC file that read() gives piece by piece: the range of its gzip member in the file (of the record itself in a plain
+    file), and its place in what that unpacks to. What is no record any more ends as one with empty headers. A member or a record is in memory, never the file."""
+    first = read(2)
+    again = iter([first])
+    whole = lambda n: next(again, b"") or read(n)
+    if first != b"\x1f\x8b":
+        for a, b, headers, payload in _parsed(whole):
+            yield a, b, a, b, headers, payload
+        return
+    for a, b, body in members_of(whole):
+        for x, y, headers, payload in _parsed(io.BytesIO(body).read):
+            yield a, b, x, y, headers, payload
 
 
 def records_in(data: bytes) -> Iterator[tuple[int, int, int, int, dict[str, str], bytes]]:
-    """(begin, end, inner begin, inner end, headers, payload) of each record of a WARC file: the range of its gzip member in the file (of the record itself in a plain
-    file), and its place in what that unpacks to. What is no record any more ends as one with empty headers."""
-    for a, b, body in members(data):
-        at = 0
-        while at < len(body):
-            head = body.find(b"\r\n\r\n", at)
-            lines = body[at:head].decode("utf-8", "replace").split("\r\n") if head >= 0 else []
-            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-            size = headers.get("content-length", "")
-            good = bool(lines) and lines[0].startswith("WARC/") and size.isascii() and size.isdigit() and head + 4 + int(size) <= len(body)
-            end = head + 4 + int(size) if good else len(body)
-            payload = body[head + 4 : end] if good else body[at:]
-            end += 4 * (body[end : end + 4] == b"\r\n\r\n")
-            yield (a, b, at, end, headers if good else {}, payload) if data[:2] == b"\x1f\x8b" else (a + at, a + end, at, end, headers if good else {}, payload)
-            at = end
+    """records_of() a file in memory."""
+    return records_of(io.BytesIO(data).read)
 
 
 def _below(spark: SparkSession, path: str) -> Column:
@@ -108,20 +152,47 @@ def _below(spark: SparkSession, path: str) -> Column:
     return F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.substring_index("path", "/", -1))
 
 
+def _opener(path: str):
+    """What opens a path of Spark's as a stream in a task, None where Arrow has no such file system."""
+    uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+    try:
+        system, _ = pafs.FileSystem.from_uri(uri)
+    except (pa.ArrowException, OSError):
+        return None
+    return lambda x: system.open_input_stream(pafs.FileSystem.from_uri("file://" + x[5:] if x.startswith("file:/") and not x.startswith("file://") else x)[1], compression=None)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """(name, seq, begin, end, kind, target, payload, digest, length) of the records of the WARC files, gzip members or plain, under a path that Spark reads. digest covers
-    the record as it lies in the file's member. name is the file's path below what is read, so that files of one name in several folders stay apart. A task holds one file at a time, which its writer's rotation bounds."""
+    the record as it lies in the file's member. name is the file's path below what is read, so that files of one name in several folders stay apart. A task streams one file after another through Arrow's file
+    systems, a record and BATCH_BYTES of them in memory; where Arrow has no such file system a file comes whole."""
     schema = pa.schema([("name", pa.string()), ("seq", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("target", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("length", pa.int64())])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    first = files.select("path").first()
+    streamed = first is not None and _opener(first[0]) is not None
+    files = files.select(_below(spark, path).alias("name"), *(["path"] if streamed else [F.lit(None).cast("string").alias("path")]), *([] if streamed else ["content"]))
+
+    def batches_of(name: str, read: Callable[[int], bytes]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for k, (a, b, _, _, h, payload) in enumerate(records_of(read)):
+            rows.append((name, k, a, b, h.get("warc-type"), h.get("warc-target-uri"), payload, hashlib.sha256(repr(sorted(h.items())).encode() + payload).hexdigest(), b - a))
+            size += len(payload)
+            if size > BATCH_BYTES or len(rows) == 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(name, k, a, b, h.get("warc-type"), h.get("warc-target-uri"), payload, hashlib.sha256(repr(sorted(h.items())).encode() + payload).hexdigest(), b - a) for k, (a, b, _, _, h, payload) in enumerate(records_in(data.as_py() or b""))]
-                for i in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 1000]), schema.types)], schema=schema)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(_below(spark, path).alias("name"), "content").mapInArrow(run, "name string, seq long, begin long, end long, kind string, target string, payload binary, digest string, length long")
+            for i, (name, at) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if streamed:
+                    with _opener(at)(at) as f:
+                        yield from batches_of(name, f.read)
+                else:
+                    yield from batches_of(name, io.BytesIO(batch.column(2)[i].as_py() or b"").read)
+
+    return files.mapInArrow(run, "name string, seq long, begin long, end long, kind string, target string, payload binary, digest string, length long")
 
 
 def archived(records: DataFrame) -> DataFrame:

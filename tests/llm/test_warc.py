@@ -3,6 +3,9 @@
 import gzip
 import random
 import time
+import zlib
+
+import pytest
 
 from haystrata.llm import warc_fixity as W
 
@@ -57,3 +60,67 @@ def test_files_of_one_name_in_several_folders_stay_apart(spark, tmp_path):
     one = W.archived(W.read_warc(spark, str(tmp_path)))
     assert one.select("file").distinct().count() == 2 and one.select("file", "id").distinct().count() == 10
     assert {r["name"] for r in W.read_warc(spark, str(tmp_path / "a" / "x.warc.gz")).collect()} == {"x.warc.gz"}
+
+
+def whole_records(data):
+    """records_in() with the whole file at hand."""
+    out, packed, at = [], data[:2] == b"\x1f\x8b", 0
+    parts = []
+    while at < len(data):
+        body = end = None
+        if packed and data[at : at + 2] == b"\x1f\x8b":
+            unpack = zlib.decompressobj(31)
+            try:
+                body = unpack.decompress(data[at:])
+                end = len(data) - len(unpack.unused_data) if unpack.eof else None
+            except zlib.error:
+                end = None
+        parts.append((at, end, body) if end is not None else (at, len(data), data[at:]))
+        at = parts[-1][1]
+    for a, b, body in parts:
+        x = 0
+        while x < len(body):
+            head = body.find(b"\r\n\r\n", x)
+            lines = body[x:head].decode("utf-8", "replace").split("\r\n") if head >= 0 else []
+            h = {k.strip().lower(): v.strip() for k, _, v in (q.partition(":") for q in lines[1:])}
+            n = h.get("content-length", "")
+            good = bool(lines) and lines[0].startswith("WARC/") and n.isascii() and n.isdigit() and head + 4 + int(n) <= len(body)
+            y = head + 4 + int(n) if good else len(body)
+            payload = body[head + 4 : y] if good else body[x:]
+            y += 4 * (body[y : y + 4] == b"\r\n\r\n")
+            out.append((a, b, x, y, h if good else {}, payload) if packed else (a + x, a + y, a + x, a + y, h if good else {}, payload))
+            x = y
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64, 1 << 16])
+def test_streams_equal_whole_files(monkeypatch, chunk):
+    monkeypatch.setattr(W, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    rows = [(f"http://h/{i}", rng.choice([b"", b"\r\n\r\n", b"WARC/1.0\r\n", rng.randbytes(rng.randint(0, 300))])) for i in range(12)]
+    for packed in (True, False):
+        data = W.warc_bytes(rows, packed)
+        cases = [data, data[:-7], data + b"rest", data[:40], b"", b"\x1f", b"\x1f\x8b", data[: len(data) // 2] + b"?" + data[len(data) // 2 + 1 :], data.replace(b"Content-Length: 0", b"Content-Length: x", 1), W.warc_bytes(rows[:3], True) + W.warc_bytes(rows[3:6], False)]
+        for case in cases:
+            assert list(W.records_in(case)) == whole_records(case), (packed, len(case))
+
+
+def test_a_task_holds_a_member_and_not_the_file():
+    import resource
+
+    big = W.warc_bytes([("http://h/0", b"x" * 1_000_000)])
+    left = [400]
+
+    def read(n):
+        if not left[0]:
+            return b""
+        if not held[0]:
+            left[0] -= 1
+            held[0] = big
+        out, held[0] = held[0][:n], held[0][n:]
+        return out
+
+    held = [b""]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert sum(1 for _ in W.records_of(read)) >= 399
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kilobytes, of 400 MB unpacked
