@@ -7,6 +7,10 @@ size, since k and the largest sketch hash of a partition (below which a document
 document's own sketch at that partition's scale) depend on size. Candidates are then verified on the words themselves.
 
 Shingles are runs of 5 words, A-Z in lower case; an item of fewer words is one shingle, its whole sequence.
+
+Cases. Null and empty texts contain nothing; items without words are never contained. Null ids are ids like others, and the filter looks at each row's own text only. Repeated documents or items give repeated pairs. Ties: containment
+is whole numbers against ceil(t m), so an item at the threshold counts. An empty benchmark leaves all documents; an empty table has no rows. Very long texts take linear time and about 40 times their
+bytes. Other columns pass the filter whatever they are called and are not read by the search. A benchmark of over ITEM_BYTES goes in slices, one index at a time, with one pass over the documents each.
 """
 
 from __future__ import annotations
@@ -104,13 +108,15 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, width: int, threshold: float, item_bytes: int) -> Iterator[Broadcast]:
-    """The broadcast index of each slice of the benchmark, one after another; at least one."""
+    """The broadcast index of each slice of the benchmark, one after another, at least one, with `more`: whether another follows."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_slices = max(1, -(-total // item_bytes))
     for k in range(n_slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_slices)) == k) if n_slices > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x)), width, threshold))
+        index = benchmark.sparkSession.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in part.collect()), key=lambda x: (x[0] is None, x)), width, threshold))
+        index.more = k < n_slices - 1
+        yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -132,13 +138,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
             return {"doc_id": batch.column(0).take(pa.array(at)), "item_id": item, "n_shingles": n, "n_shared": shared, "containment": [b / a for a, b in zip(n, shared)]}
 
         found = docs.mapInArrow(lambda it, one=one: grouped(it, "text", schema, one), "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
+        if index.more:  # one index at a time on the driver and in a worker
+            found = staged(found)
+            index.unpersist()
         out = found if out is None else out.union(found)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """The rows of docs, all columns, whose own text contains no item; ids play no part. A pass over docs for each slice of the benchmark, the next over what is left."""
-    for k, index in enumerate(indexes(benchmark, width, threshold, item_bytes)):
+    for index in indexes(benchmark, width, threshold, item_bytes):
 
         def run(batches, index=index):
             for batch in batches:
@@ -147,5 +156,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thr
                     kept[[at for at, *_ in index.value.contained(piece.column(piece.schema.get_field_index("text")))]] = False
                     yield piece.filter(pa.array(kept))
 
-        docs = (staged(docs) if k else docs).mapInArrow(run, docs.schema)  # one index at a time in a worker
+        docs = docs.mapInArrow(run, docs.schema)
+        if index.more:  # one index at a time on the driver and in a worker
+            docs = staged(docs)
+            index.unpersist()
     return docs
