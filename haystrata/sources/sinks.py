@@ -28,6 +28,13 @@ def work_folder(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: cuts its lineage, and what reads it twice reads the same."""
+    path = work_folder(df.sparkSession)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def output_name(folder: str, context_size: int, model: str) -> str:
     return f"{folder}/ntoken_{context_size}/{model.replace('/', '_slash_')}.jsonl"
 
