@@ -608,8 +608,7 @@ def q49_obfuscated(spark, d):
 
 @query(f"WITH {_CODE_SQL} SELECT doc_id, md5(replace(fn, 'f' || doc_id, 'function_0')) AS named_md5 FROM code")
 def q50_renamed_functions(spark, d):
-    rename = F.pandas_udf(lambda c, x: c.combine(x, lambda a, b: syntax.rename_functions(a, b)), "string")
-    rows = _code(spark, d).select("doc_id", rename("code", "language").alias("c"))
+    rows = _code(spark, d).select("doc_id", syntax.renamed_functions("code", "language").alias("c"))
     return rows.select("doc_id", F.md5(F.regexp_extract("c", r"(?s)((?:def|int|function|fn|func) function_0\(.*)$", 1)).alias("named_md5"))
 
 
