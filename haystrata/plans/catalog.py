@@ -193,16 +193,19 @@ SELECT lang AS language, source AS repo, doc_id::VARCHAR AS path, md5(prefix ||
 
 @query(_CONTEXT_SQL)
 def q12_context_text(spark, d):
-    got = _middle_needles(spark, d, 2000, context.space_tokens)
+    got = _middle_needles(_documents(spark, d), 2000, context.space_tokens)
     return got.select("language", "repo", "path", F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end", "code_context_ntokens")
 
 
-def _middle_needles(spark, d, size, count):
-    docs = t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("file_idx"), F.col("text").alias("content"))
+def _documents(spark, d):
+    return t(spark, d, "documents").select(F.col("lang").alias("language"), F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("file_idx"), F.col("text").alias("content"))
+
+
+def _middle_needles(docs, size, count, costs=None):
     w = Window.partitionBy("language", "repo")
     place = docs.select("language", "repo", "path", "file_idx", F.length("content").alias("n")).withColumn("i", F.row_number().over(w.orderBy("file_idx"))).withColumn("k", F.count(F.lit(1)).over(w))
     needles = place.where("i = (k + 1) div 2").select("language", "repo", "path", F.lit("needle").alias("name"), F.expr("n div 10").cast("int").alias("start_byte"), F.expr("n div 2").cast("int").alias("end_byte"), F.lit(2).alias("needle_ord"), F.lit(5).alias("n_needles"))
-    return context.make_context(needles, docs, size, count, offset_mode="chars")
+    return context.make_context(needles, docs, size, count, offset_mode="chars", costs=costs)
 
 
 _NEEDLES = "n AS (SELECT item_id, text, 'src' || (item_id % 20) AS repo, row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id) - 1 AS needle_ord, count(*) OVER (PARTITION BY item_id % 20) AS n_needles FROM benchmark)"
@@ -339,10 +342,10 @@ def _subwords():
 def q53_subword_contexts(spark, d):
     """The budget of 512 subword tokens of every document's lines from the top, and the needle contexts of q12 in subword tokens. SQL has no such tokenizer; tests hold both against loops."""
     count = _subwords()
-    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("n_tok", count(F.concat("line", F.lit("\n")))).drop("line")
-    kept = context.budget_lines(lines, ["doc_id"], 512).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.max("run").alias("n_tokens"))
-    got = _middle_needles(spark, d, 2000, count)
+    files = _documents(spark, d)
+    lines = sinks.written(context.line_costs(files, count))  # each line is counted once
+    kept = context.budget_lines(lines.where("line_no > 0"), ["file_idx"], 512).groupBy(F.col("file_idx").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_lines"), F.max("run").alias("n_tokens"))
+    got = _middle_needles(files, 2000, count, sinks.written(context.file_costs(files, count, lines)))
     cut = got.select(F.col("path").cast("long").alias("doc_id"), F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end", "code_context_ntokens")
     return t(spark, d, "documents").select("doc_id").join(kept, "doc_id", "left").join(cut, "doc_id", "left")
 

@@ -182,9 +182,5 @@ def q67_clean_contexts(spark, d):
     docs = t(spark, d, "documents").select(F.lit("python").alias("language"), F.col("doc_id").cast("string").alias("repo"), path.alias("path"), F.lit(0).alias("file_idx"), F.concat(before, F.lit("y = 2\n"), notes, F.lit("z = 3")).alias("content"), F.length(before).alias("at"))
     needles = docs.select("language", "repo", "path", F.lit("y").alias("name"), F.col("at").alias("start_byte"), (F.col("at") + 5).alias("end_byte"), F.lit(2).alias("needle_ord"), F.lit(5).alias("n_needles"))
     rows = context.make_context(needles, docs.drop("at"), 4_000_000, offset_mode="chars", parts=True)
-    out = None
-    for mode in ("no_padding", "positional_padding"):
-        one = context.clean_contexts(rows, mode == "positional_padding")
-        one = one.select(F.col("repo").cast("long").alias("doc_id"), F.lit(mode).alias("mode"), F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end")
-        out = one if out is None else out.union(one)
-    return out
+    got = context.clean_modes(rows, {"no_padding": False, "positional_padding": True})
+    return got.select(F.col("repo").cast("long").alias("doc_id"), F.col("clean_mode").alias("mode"), F.md5("code_context").alias("context_md5"), "needle_token_start", "needle_token_end")

@@ -237,3 +237,19 @@ def test_tasks_with_separators_in_their_names_stay_apart(spark):
     needles = outs.select("language", "repo", "name", F.lit(0).alias("needle_ord"), F.lit("x y").alias("code"))
     got = score.score_outputs(outs, needles).collect()
     assert len(got) == 3 and all(r["is_best_similar"] for r in got)
+
+
+def test_modes_share_one_search_for_comments(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from haystrata.operators import context
+
+    files = spark.createDataFrame([("python", "r", "f.py", 0, "# one\nx = 1\ny = 2\n# two\nz = 3")], "language string, repo string, path string, file_idx int, content string")
+    needles = files.select("language", "repo", "path", F.lit("y").alias("name"), F.lit(12).alias("start_byte"), F.lit(17).alias("end_byte"), F.lit(0).alias("needle_ord"), F.lit(1).alias("n_needles"))
+    rows = context.make_context(needles, files, 1000, parts=True)
+    both = context.clean_modes(rows, {"bare": False, "padded": True})
+    assert both._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") == 1
+    got = {r["clean_mode"]: r["code_context"] for r in both.collect()}
+    for mode, pad in (("bare", False), ("padded", True)):
+        assert got[mode] == context.clean_contexts(rows, pad).first()["code_context"]
+    assert "# one" not in got["bare"] and "y = 2" in got["bare"] and "# Line Number 0" in got["padded"]

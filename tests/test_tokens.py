@@ -76,3 +76,30 @@ def test_budgets_and_contexts_in_subwords_equal_loops(spark):
     assert "# Path: f0.py" in task["code_context"] and "# Path: f1.py" in task["code_context"]
     stats = evaluate.token_stats(files, count).first()["tokens"]
     assert stats == sum(one(f"# current path: f{k}.py\ndef f{k}():\n{body}") for k in range(3))
+
+
+def test_chunks_add_up_and_are_encoded_once():
+    import random
+
+    count = tokens._many(P.path("byte_bpe_50k.json"), None)
+    count.known.clear()
+    random.seed(7)
+    some = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", " ", "​", "'s", " 'll", "a", "é", "ſ", "日本", "1", "١", "!?", "<|endoftext|>", "_", "-", " –", "«", "́", "\U0001f600", "\x00", "word"]
+    texts = ["".join(random.choices(some, k=random.randint(0, 14))) for _ in range(3000)]
+    asked, ids = [], count.ids
+    count.ids = lambda x: asked.extend(x) or ids(x)
+    try:
+        assert count(texts) == [len(x) for x in ids(texts)]
+        asked.clear()
+        assert count(["one two, three\n"] * 1000) == [len(ids(["one two, three\n"])[0])] * 1000
+        assert sum(map(len, asked)) < 100  # before: the text 1,000 times
+    finally:
+        count.ids = ids
+
+
+def test_costs_from_lines_that_are_held(spark):
+    count = tokens.SubwordCounter(P.path("byte_bpe_50k.json"))
+    files = spark.createDataFrame([("python", "r", f"f{k}.py", k, f"a\nb{k} c\n") for k in range(3)], "language string, repo string, path string, file_idx int, content string")
+    lines = context.line_costs(files, count)
+    assert lines.count() == 12
+    assert sorted(map(tuple, context.file_costs(files, count, lines).collect())) == sorted(map(tuple, context.file_costs(files, count).collect()))
