@@ -16,6 +16,7 @@ other columns are not read.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import json
 import os
@@ -82,11 +83,13 @@ class WordEncoder:
         """(ids, how many each line has) of lines by their parts."""
         found = self.pattern.findall(lines.lower())
         at = self.parts.places(found)
-        new = list(dict.fromkeys(found[i] for i in np.flatnonzero(at < 0).tolist()))
-        if new:
+        gone = np.flatnonzero(at < 0)
+        if len(gone):
+            asked = [found[i] for i in gone.tolist()]
+            new = list(dict.fromkeys(asked))
             lists = [[] if x == "\n" else [t.id for t in self.tokenizer.model.tokenize(x.translate(self.spelled))] for x in new]
             self.parts.add(new, *_flattened(lists))
-            at = self.parts.places(found)
+            at[gone] = self.parts.places(asked)
         begin, size = self.parts.spans(at)
         line = np.cumsum(at == self.parts.known.get("\n", -2))
         return self.parts.ids[_ranges(begin, size)], np.bincount(line, size, minlength=lines.count("\n") + 1).astype(np.int64)
@@ -95,6 +98,16 @@ class WordEncoder:
         self.words, self.parts = _Remembered(), _Remembered()
 
     def learn(self, new: list[bytes]) -> None:
+        """Remembers new words. Nothing made here is cyclic, so the collector rests: with a list a word it would look through all of them time and again."""
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            self._learn(new)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _learn(self, new: list[bytes]) -> None:
         odd = new
         if self.pattern is not None:
             lines = b"\n".join(new).decode("utf-8", "replace")
@@ -118,9 +131,11 @@ class WordEncoder:
         starts, ends, first = words(data, offs)
         which, distinct = _numbered(data, starts, ends)
         at = self.words.places(distinct)
-        if (at < 0).any():
-            self.learn(list(dict.fromkeys(distinct[i] for i in np.flatnonzero(at < 0).tolist())))
-            at = self.words.places(distinct)
+        gone = np.flatnonzero(at < 0)
+        if len(gone):
+            asked = [distinct[i] for i in gone.tolist()]
+            self.learn(list(dict.fromkeys(asked)))
+            at[gone] = self.words.places(asked)
         begin, size = (x[which] for x in self.words.spans(at))
         before = np.concatenate([[0], np.cumsum(size)])
         return self.words.ids[_ranges(begin, size)], np.diff(before[first])
