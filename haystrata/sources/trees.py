@@ -8,18 +8,20 @@ submodules are left out. Folders are read through Arrow's file systems (local, H
 
 from __future__ import annotations
 
+import functools
 import subprocess
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PART_BYTES, PART_FILES = 16 << 20, 1000
 DDL = "path string, size long, content string"
 
 
+@functools.lru_cache(4)
 def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
     system, path = pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
     return system, path.rstrip("/")
@@ -107,13 +109,12 @@ def read_tree(spark: SparkSession, path: str, commit: str | None = None, begins:
 def write_tree(files: DataFrame, folder: str) -> int:
     """Writes every row of files (path, content) as a file below a folder; a task that runs again writes the same. Says how many there are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(path, content):
         system, root = file_system(folder)
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"]):
-                system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
-                with system.open_output_stream(f"{root}/{path}") as f:
-                    f.write((content or "").encode())
-            yield pd.DataFrame({"n": [len(frame)]})
-
-    return files.select("path", "content").mapInPandas(run, "n long").groupBy().sum("n").first()[0] or 0
+        system.create_dir(f"{root}/{path}".rpartition("/")[0], recursive=True)
+        with system.open_output_stream(f"{root}/{path}") as f:
+            f.write((content or "").encode())
+        return 1
+
+    put = F.udf(one, "int", useArrow=False).asNondeterministic()  # a hundred rows at a time, whatever the table's size
+    return files.select(put("path", "content").alias("n")).groupBy().sum("n").first()[0] or 0

@@ -23,3 +23,12 @@ def test_values_of_rows(spark):
     assert [r["bare"] for r in got] == ["\ndef f(): return 1\n", "", "int f() { return 1; } "]
     assert [r["obfuscated"] for r in got] == ["\0\0\0\n\ndef f(): return 1\n", "", "int f() { return 1; } \0\0\0\n"]
     assert [r["renamed"] for r in got] == ["# é\ndef function_0(): return 1\n", None, "int function_0() { return 1; } // x"]
+
+
+def test_trees_are_written_without_large_batches(spark, tmp_path, monkeypatch):
+    from haystrata.sources import trees
+
+    rows = spark.createDataFrame([("a/b.py", "é\n"), ("c.txt", None)], "path string, content string")
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda *_: pytest.fail("batches of 10,000 files"))
+    assert trees.write_tree(rows, str(tmp_path)) == 2 and trees.write_tree(rows.limit(0), str(tmp_path)) == 0
+    assert (tmp_path / "a/b.py").read_text() == "é\n" and (tmp_path / "c.txt").read_text() == ""
