@@ -14,8 +14,7 @@ article nothing goes but whole containers that are called adverts, comments and
 that more than two and a third of the host's pages share word for word.
 Containers a page has beyond its wrapper are judged by the page alone, as is a page without its host's main node.
 
-Sampling: a wrapper is inferred from the commonest of SAMPLE_PAGES hash slots of a host's page structures (counted over all pages);
-sums and extraction are over every page.
+Nothing is sampled: a wrapper is inferred from all structures of a host's pages, and sums and extraction are over every page.
 
 Cases. Null html is empty and gives empty text. Repeated rows give repeated rows. Equal containers: the deeper one, then the first in
 the page. Tables of any extra columns: only page_id, url and html are read. Empty tables give no rows. Time is linear in the
@@ -35,13 +34,13 @@ from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haystrata.llm.common import fits, grouped, staged
 
-#: Bound of the page structures that a host's wrapper is inferred from.
-SAMPLE_PAGES = 8
+#: Page structures that are merged in one task; a host's are all merged, level by level.
+GROUP = SAMPLE_PAGES = 8
 #: Ways that a host's pages are dealt when wrappers are too large to broadcast.
 SALTS = 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -766,17 +765,28 @@ def _number(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def wrappers(found: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper, expression) of each host of structures(): of each of sample_pages hash slots of its structures the commonest goes into
-    the wrapper, commonest first."""
-    rows = found.groupBy("host", F.pmod("h", F.lit(sample_pages)).alias("slot")).agg(F.max_by(F.struct("n", "h", "shape"), F.struct("n", "h")).alias("s"))
+def wrappers(found: DataFrame, group: int = GROUP) -> DataFrame:
+    """(host, wrapper, expression) of each host of structures(): all of them go into the wrapper, the commonest first. Runs of `group` structures
+    become one expression each, then runs of those, until a host has one; so no task has more than `group` of them."""
+    order = Window.partitionBy("host").orderBy(F.desc("n"), "h")
+    places = found.select("host", "h", "n").withColumn("r", F.row_number().over(order) - 1).select("host", "h", "r")  # numbers only
+    rows = found.select("host", "h", "shape").join(places, ["host", "h"]).select("host", "r", "shape")
+    most = (places.agg(F.max("r")).first()[0] or 0) + 1
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        best = sorted(((r["n"], r["h"], r["shape"]) for r in pdf["s"]), key=lambda r: (-r[0], r[1]))
-        w = infer([_from_portable(s) for *_, s in best])
+    def merged(pdf: pd.DataFrame) -> Part:
+        return infer([_from_portable(s) for s in pdf.sort_values("r")["shape"]])
+
+    def some(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": [key[0]], "r": [key[1]], "shape": [_portable(merged(pdf))]})
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        w = merged(pdf)
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [packed(w)], "expression": [expression(w)]})
 
-    return rows.groupBy("host").applyInPandas(one, "host string, wrapper string, expression string")
+    while most > group:
+        rows = staged(rows.groupBy("host", F.floor(F.col("r") / group).cast("int").alias("to")).applyInPandas(some, "host string, r int, shape string"))
+        most = -(-most // group)
+    return rows.groupBy("host").applyInPandas(last, "host string, wrapper string, expression string")
 
 
 def _with_host(rows: DataFrame, learned: DataFrame, salt: str, *columns: str) -> DataFrame:
