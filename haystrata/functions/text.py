@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -46,9 +45,8 @@ class Counter:
         return run
 
 
-_TOKEN = re.compile(r"\S+", re.A)
-#: White-space tokens and the line end: the built-in line cost.
-space_tokens = Counter(lambda x: len(_TOKEN.findall(x)) + 1, lambda c: F.regexp_count(c, F.lit(r"\S+")) + 1)
+#: White-space tokens and the line end: the built-in line cost. Bytes, unlike text, are split at the white space of \\s alone.
+space_tokens = Counter(lambda x: len(x.encode("utf-8", "surrogatepass").split()) + 1, lambda c: F.regexp_count(c, F.lit(r"\S+")) + 1)
 
 
 def task_id(language, repo, name) -> Column:

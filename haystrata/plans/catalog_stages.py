@@ -175,8 +175,8 @@ SELECT doc_id, mode, md5(a || 'y = 2' || b) AS context_md5, s::INT AS needle_tok
 @query(_CLEAN_SQL)
 def q67_clean_contexts(spark, d):
     """Contexts without comments, padded and not, of a needle in each document's own file: all lines of its text as comments before the needle and again after it."""
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00\x0c]", " "), "\n", -1)
-    notes = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("# "), x, F.lit("\n"))), "")
+    shown = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x00\x0c]", " ")
+    notes = F.concat(F.lit("# "), F.replace(shown, F.lit("\n"), F.lit("\n# ")), F.lit("\n"))
     before = F.concat(notes, F.lit("x = 1\n"))
     path = F.concat("doc_id", F.lit(".py"))
     docs = t(spark, d, "documents").select(F.lit("python").alias("language"), F.col("doc_id").cast("string").alias("repo"), path.alias("path"), F.lit(0).alias("file_idx"), F.concat(before, F.lit("y = 2\n"), notes, F.lit("z = 3")).alias("content"), F.length(before).alias("at"))

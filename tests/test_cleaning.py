@@ -253,3 +253,49 @@ def test_modes_share_one_search_for_comments(spark, monkeypatch):
     for mode, pad in (("bare", False), ("padded", True)):
         assert got[mode] == context.clean_contexts(rows, pad).first()["code_context"]
     assert "# one" not in got["bare"] and "y = 2" in got["bare"] and "# Line Number 0" in got["padded"]
+
+
+def test_of_a_run_of_comment_lines_the_tokenizer_reads_the_first(monkeypatch):
+    read = []
+    whole = syntax.tokenize.generate_tokens
+
+    def counted(readline):
+        return whole(lambda: read.append(readline()) or read[-1])
+
+    monkeypatch.setattr(syntax.tokenize, "generate_tokens", counted)
+    run = "# é\n" + "  # it's x\n" * 500
+    code = run + "def f():\n" + run + "    'said'\n\t# tab\n#\n    return (\n" + run + "1)  # end\n"
+    raw = code.encode()
+    assert [raw[a:b].decode() for a, b in syntax.comments(code, "python")] == ["# é", *["# it's x"] * 500, "# é", *["# it's x"] * 500, "'said'", "# tab", "#", "# é", *["# it's x"] * 500, "# end"]
+    assert len(read) < 20
+
+
+def test_runs_in_strings_and_line_ends_in_comments_are_read_whole():
+    for code, want in (
+        ("x = '''\n# a\n# b ''' # c\n# d\n# e\n", ["# c", "# d", "# e"]),
+        ("# a\n# b\nx = '''\n# ''' # c\n# d\ny = 1", ["# a", "# b", "# c", "# d"]),
+        ("# a\n# b\nx = '''\n# c\n# d\n", ["# a", "# b"]),
+        ("x = 1 \\\n# a\n# b\ny = 2", ["# a", "# b"]),
+        ("f'''{\n# a\n# b\nx}'''", ["# a", "# b"]),
+        ("# a\n# b\r\n# c\n", ["# a", "# b", "# c"]),
+    ):
+        raw = code.encode()
+        assert [raw[a:b].decode() for a, b in syntax.comments(code, "python")] == want, code
+
+
+def test_padding_lines_are_counted_once():
+    def loop_of(tokens, k):
+        out = ""
+        while tokens > 0:
+            out, tokens, k = out + f"# Line Number {k}\n", tokens - count(f"# Line Number {k}\n"), k + 1
+        return out, k
+
+    count = lambda x: 3 + ("7" in x)
+    for tokens, k in ((-1, 4), (0, 0), (1, 0), (10_000, 0), (10_000, 2_000), (50, syntax._Numbered.HELD - 3), (50, syntax._Numbered.HELD + 3)):
+        assert syntax.padding("#", tokens, count, k) == loop_of(tokens, k)
+    asked = []
+    counted = lambda x: asked.append(x) or 5
+    for _ in range(100):
+        syntax.padding("#", 5_000, counted)
+    assert len(asked) == len(set(asked))
+    assert text.space_tokens.text(" a\x1cb c \x85d\n\te\x0bf\x0cg\rh ") == 7
