@@ -18,14 +18,13 @@ def _grams(words: str = "w") -> Column:
 
 
 def _starts(words: str = "w") -> Column:
-    """For each word of an array, the word and the three after it, null beyond the end."""
-    return F.expr(f"transform({words}, (x, i) -> struct({', '.join(f'get({words}, i + {k}) as w{k}' for k in range(4))}))")
+    """For each word of an array, the word and the three after it, null beyond the end. Without a lambda, so Spark compiles it."""
+    return F.arrays_zip(*[F.col(words) if k == 0 else F.slice(words, F.lit(k + 1), F.size(words)) for k in range(4)])
 
 
 def _begun() -> Column:
-    """The n-grams that begin at a word, n from 1 to 4, as (n, g)."""
-    grams = [f"if(x.w{n - 1} is null, null, struct({n} as n, concat_ws(' ', {', '.join(f'x.w{k}' for k in range(n))}) as g))" for n in range(1, 5)]
-    return F.expr(f"array_compact(array({', '.join(grams)}))")
+    """The n-grams that begin at the words w0 to w3, n from 1 to 4, as (n, g); null where there are fewer words. Without a lambda, too."""
+    return F.array(*[F.when(F.col(f"w{n - 1}").isNotNull(), F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(n)]).alias("g"))) for n in range(1, 5)])
 
 
 def formula(h: str = "h", r: str = "r") -> Column:
@@ -55,11 +54,11 @@ def similarity(replies: DataFrame, needles: DataFrame) -> DataFrame:
     b = needles.select("nid", "key", tokens("text").alias("w"))
     ref = b.select("nid", "key", F.size("w").alias("r"), F.explode(_grams()).alias("x")).groupBy("nid", "key", "r", "x.n", "x.g").agg(F.count(F.lit(1)).alias("have"))
     vocabulary = ref.where("n = 1").select("key", F.col("g").alias("first")).distinct()
-    cand = a.select("rid", "key", F.size("w").alias("h"), F.explode(_starts()).alias("x"))
+    cand = a.select("rid", "key", F.size("w").alias("h"), F.inline(_starts()).alias("w0", "w1", "w2", "w3"))
     if (ref.agg(F.sum(F.octet_length("g") + F.octet_length("key") + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         ref, vocabulary = F.broadcast(ref), F.broadcast(vocabulary)
-    cand = cand.withColumn("first", F.col("x.w0")).join(vocabulary, ["key", "first"], "left_semi")  # of the words, only those that a needle has begin an n-gram
-    cand = cand.select("rid", "key", "h", F.explode(_begun()).alias("g")).select("rid", "key", "h", "g.n", "g.g")
+    cand = cand.join(vocabulary.withColumnRenamed("first", "w0"), ["key", "w0"], "left_semi")  # of the words, only those that a needle has begin an n-gram
+    cand = cand.select("rid", "key", "h", F.inline(_begun())).where("g is not null")
     hits = cand.join(ref, ["key", "n", "g"]).groupBy("rid", "h", "nid", "r", "n", "g", "have").agg(F.count(F.lit(1)).alias("got"))
     pairs = hits.groupBy("rid", "h", "nid", "r").agg(*[F.sum(F.when(F.col("n") == n, F.least("got", "have")).otherwise(0)).alias(f"m{n}") for n in range(1, 5)])
     return pairs.select("rid", "nid", formula().alias("sim"))

@@ -1,10 +1,12 @@
 import json
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from haystrata.functions import syntax, text
+from haystrata.functions import bleu, syntax, text
 from haystrata.functions.bleu import similarity
 from haystrata.functions.provider import Echo, backend, run_provider
 from haystrata.operators import context, curate, deps, graph, score
@@ -26,6 +28,40 @@ def test_bleu_goldens(spark):
         assert c[2] is None and i not in got or got[i] == pytest.approx(c[2], abs=1e-6)
 
 
+def plain_bleu(a, b):
+    """Sentence BLEU-4 of two lists of words by loops, smoothed as in bleu.formula()."""
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    logs, zeros = 0.0, 1
+    for n in range(1, 5):
+        m, den = (grams(a, n) & grams(b, n)).total(), max(1, len(a) - n + 1)
+        if n == 1 and not m:
+            return None
+        p = m / den if m else math.log(len(a)) / (5 * 2**zeros) / den if len(a) > 1 else 0
+        zeros += not m
+        logs += 0.25 * math.log(p) if p > 0 else 0
+    return (1 if len(a) > len(b) else math.exp(1 - len(b) / len(a))) * math.exp(logs)
+
+
+@pytest.mark.parametrize("limit", [bleu.BROADCAST_BYTES, 0])
+def test_bleu_equals_loops(spark, monkeypatch, limit):
+    monkeypatch.setattr(bleu, "BROADCAST_BYTES", limit)
+    r = random.Random(limit)
+    texts = lambda n: [(i, f"k{i % 3}", " ".join(r.choice("a b c d é".split()) for _ in range(r.randint(1, 9)))) for i in range(n)]
+    replies, needles = texts(60), texts(12)
+    rows = spark.createDataFrame([*replies, (60, "k0", None), (61, None, "a b"), (62, "k0", "a")], "rid int, key string, text string")
+    got = {(x["rid"], x["nid"]): x["sim"] for x in similarity(rows, spark.createDataFrame(needles, "nid int, key string, text string")).collect()}
+    want = {(i, j): plain_bleu(t.split(), u.split()) for i, k, t in [*replies, (62, "k0", "a")] for j, o, u in needles if k == o}
+    want = {k: v for k, v in want.items() if v is not None}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, abs=1e-12) for k, v in want.items())
+
+
+def test_bleu_makes_no_rows_of_replies_in_lambdas(spark):
+    rows = spark.createDataFrame([(1, "k", "a b")], "id int, key string, text string")
+    plan = similarity(rows.withColumnRenamed("id", "rid"), rows.withColumnRenamed("id", "nid"))._jdf.queryExecution().optimizedPlan().toString()
+    made = ["lambdafunction" in x for x in plan.split("\n") if "Generate" in x]
+    assert len(made) == 4 and sum(made) == 2  # those of the needles' n-grams and of their first words
+
+
 def test_pass_at_k(spark):
     for k, n, c, want in [(1, 10, 3, 0.3), (10, 100, 5, 0.416248), (10, 12, 0, 0.0), (1, 1, 0, 0.0), (1, 1, 1, 1.0)]:
         assert one(spark, text.pass_at_k(F.lit(n), F.lit(c), F.lit(k))) == pytest.approx(want, abs=1e-6)
