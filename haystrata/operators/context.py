@@ -139,7 +139,9 @@ def make_context(needles: DataFrame, files: DataFrame, context_size: int, count=
             out = out.join(_cut(lines, key, backward, not backward).withColumnRenamed("part", f"{side}_own"), key, "left")
         # neighbour files, nearest first: numbers only, then the texts of those
         near = visited(base.withColumn("budget", F.col("side_budget") - F.col("own_tok")).drop("own_tok", "side_budget"), costs, context_size, backward)
-        near = written(near).join(texts, ["language", "repo", "file_idx"])
+        near = written(near)
+        alone = near.isEmpty()
+        near = near.join(texts, ["language", "repo", "file_idx"])
         name = [*key, "file_idx", "to_path", "content"]
         whole = near.where("whole").select(*name, F.concat(F.array_join(_rows_of("to_path"), "\n"), F.lit("\n")).alias("part"))
         edge = near.where("not whole")
@@ -151,7 +153,10 @@ def make_context(needles: DataFrame, files: DataFrame, context_size: int, count=
         far = F.max_by(F.struct(F.col("to_path").alias("path"), "content", (F.size(F.split("part", "\n")) - 1).alias("n_lines")), -F.col("file_idx") if backward else F.col("file_idx"))
         paths = F.transform(F.array_sort(F.collect_list(F.struct("file_idx", "to_path"))), lambda x: x["to_path"])
         around = whole.union(edge).groupBy(*key).agg(_text("file_idx").alias(f"{side}_files"), far.alias("top_file" if backward else "bottom_file"), paths.alias(f"{side}_paths"))
-        out = out.join(around, key, "left")
+        if alone:  # no needle has a neighbour file on this side, so the contexts stay where they are
+            out = out.select(*key, *[c for c in out.columns if c not in key], *[F.lit(None).cast(f.dataType).alias(f.name) for f in around.schema if f.name not in key])
+        else:
+            out = out.join(around, key, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     none = F.array().cast("array<string>")
     out = out.withColumn("prefix", F.concat(text("prefix_files"), text("prefix_own"))).withColumn("suffix", F.concat(text("suffix_own"), text("suffix_files")))

@@ -299,3 +299,16 @@ def test_padding_lines_are_counted_once():
         syntax.padding("#", 5_000, counted)
     assert len(asked) == len(set(asked))
     assert text.space_tokens.text(" a\x1cb c \x85d\n\te\x0bf\x0cg\rh ") == 7
+
+
+def test_contexts_without_neighbour_files_are_not_shuffled(spark):
+    files = spark.createDataFrame([("python", f"r{i}", "f.py", 0, f"x = {i}\ny = 2\nz = 3") for i in range(3)], "language string, repo string, path string, file_idx int, content string")
+    needle = lambda f: f.select("language", "repo", "path", F.lit("y").alias("name"), F.lit(6).alias("start_byte"), F.lit(11).alias("end_byte"), F.lit(0).alias("needle_ord"), F.lit(1).alias("n_needles"))
+    rows = context.make_context(needle(files), files, 1000, parts=True)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    more = files.union(files.limit(0).union(spark.createDataFrame([("python", "r9", "g.py", 0, "g = 1"), ("python", "r9", "h.py", 1, "h = 1")], files.schema)))
+    with_others = context.make_context(needle(files).union(needle(more.where("path = 'g.py'"))), more, 1000, parts=True)
+    assert rows.schema.simpleString() == with_others.schema.simpleString()
+    alone = with_others.where("repo <> 'r9'")
+    assert sorted(map(str, rows.collect())) == sorted(map(str, alone.collect()))
+    assert {r["repo"]: r["code_context"] for r in rows.collect()} == {f"r{i}": f"# Path: f.py\nx = {i}\n\ny = 2\nz = 3\n" for i in range(3)}
